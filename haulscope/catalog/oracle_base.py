@@ -132,11 +132,12 @@ part(
 )
 part(
     "pair_label",
-    f"""SELECT t.shipment_id, s.stop_id, s.seq, t.occurred_us, t.event_id, usable,
+    f"""SELECT shipment_id, stop_id, seq, occurred_us, event_id, usable,
     CASE WHEN NOT usable THEN NULL WHEN m < radius_m THEN 'in' WHEN m > radius_m * 1.25::DOUBLE THEN 'out' END AS label
-  FROM (SELECT *, coalesce(accuracy_m <= radius_m * 0.25::DOUBLE, true) AS usable FROM
-      (SELECT t.*, s.stop_id, s.seq, s.radius_m, {dist('t.lat', 't.lon', 's.lat', 's.lon')} AS m
-       FROM track t JOIN lane_stop s USING (lane))) t JOIN lane_stop s ON s.stop_id = t.stop_id""",
+  FROM (SELECT t.shipment_id, s.stop_id, s.seq, t.occurred_us, t.event_id, s.radius_m,
+      coalesce(t.accuracy_m <= s.radius_m * 0.25::DOUBLE, true) AS usable,
+      {dist('t.lat', 't.lon', 's.lat', 's.lon')} AS m
+    FROM track t JOIN lane_stop s USING (lane))""",
 )
 part(
     "pair_side",
@@ -162,3 +163,299 @@ part(
       QUALIFY row_number() OVER (PARTITION BY shipment_id, stop_id ORDER BY run) = 1) d
     ON a.shipment_id = d.shipment_id AND a.stop_id = d.stop_id""",
 )
+
+part(
+    "learned",
+    """RECURSIVE learned AS (
+    SELECT *, CASE WHEN moving THEN speed_kph END AS learned_kph, 0::BIGINT AS moving_s,
+      CASE WHEN moving THEN occurred_us END AS last_moving_us, 0.0::DOUBLE AS gap_s
+    FROM numbered_track WHERE rn = 1
+    UNION ALL
+    SELECT t.*,
+      CASE WHEN NOT t.moving THEN l.learned_kph WHEN l.learned_kph IS NULL THEN t.speed_kph
+        ELSE l.learned_kph + (1 - pow(2.0::DOUBLE, -((t.occurred_us - l.occurred_us) / 1000000.0::DOUBLE) / 300.0::DOUBLE)) * (t.speed_kph - l.learned_kph) END,
+      CASE WHEN t.moving THEN least(900, l.moving_s + (t.occurred_us - l.occurred_us) // 1000000) ELSE l.moving_s END,
+      CASE WHEN t.moving THEN t.occurred_us ELSE l.last_moving_us END,
+      (t.occurred_us - l.occurred_us) / 1000000.0::DOUBLE
+    FROM learned l JOIN numbered_track t ON t.shipment_id = l.shipment_id AND t.rn = l.rn + 1)""",
+)
+part(
+    "numbered_track",
+    """SELECT shipment_id, lane, occurred_us, event_id, lat, lon, speed_kph, accuracy_m,
+    coalesce(speed_kph >= 5.0::DOUBLE, false) AS moving,
+    row_number() OVER (PARTITION BY shipment_id ORDER BY occurred_us) AS rn FROM track""",
+)
+part(
+    "ahead",
+    """SELECT s.shipment_id, s.occurred_us,
+    bool_or(s.side = 'in' AND coalesce(s.occurred_us < v.departure_proof_us, true)) AS at_a_stop,
+    arg_min(s.stop_id, s.seq) FILTER (WHERE NOT coalesce(v.arrival_proof_us <= s.occurred_us, false)) AS stop_id
+  FROM pair_side s LEFT JOIN visit v USING (shipment_id, stop_id) GROUP BY s.shipment_id, s.occurred_us""",
+)
+part(
+    "candidate",
+    f"""SELECT *, row_number() OVER (PARTITION BY shipment_id, stop_id ORDER BY occurred_us) AS cn,
+    occurred_us + CAST(floor(km / greatest(5.0::DOUBLE, coalesce(learned_kph, 60.0::DOUBLE)) * 3600.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) * 1000000 AS estimate_us
+  FROM (SELECT l.*, a.stop_id, {dist('l.lat', 'l.lon', 's.lat', 's.lon')} / 1000.0::DOUBLE * 1.30::DOUBLE AS km
+    FROM learned l JOIN ahead a USING (shipment_id, occurred_us)
+    JOIN lane_stop s ON s.lane = l.lane AND s.stop_id = a.stop_id WHERE NOT at_a_stop)""",
+)
+part(
+    "chain",
+    """RECURSIVE chain AS (
+    SELECT *, true AS kept, NULL::BIGINT AS previous_us, estimate_us AS held_us FROM candidate WHERE cn = 1
+    UNION ALL
+    SELECT c.*, abs(c.estimate_us - h.held_us) >= 120000000, h.held_us,
+      CASE WHEN abs(c.estimate_us - h.held_us) >= 120000000 THEN c.estimate_us ELSE h.held_us END
+    FROM chain h JOIN candidate c ON c.shipment_id = h.shipment_id AND c.stop_id = h.stop_id AND c.cn = h.cn + 1)""",
+)
+part(
+    "eta",
+    f"""SELECT shipment_id, lane, stop_id, {uuid3("'ETA'", 'shipment_id', 'stop_id', 'event_id')} AS event_id,
+    CAST(event_id AS VARCHAR) AS caused_by, occurred_us, estimate_us, previous_us, {up('km', 3)} AS remaining_km,
+    {up("""least(1.0::DOUBLE, greatest(0.05::DOUBLE, (0.2::DOUBLE + 0.8::DOUBLE * least(1.0::DOUBLE, moving_s / 900.0::DOUBLE))
+      * exp(-gap_s / 900.0::DOUBLE)
+      * exp(-greatest(0.0::DOUBLE, coalesce((occurred_us - last_moving_us) / 1000000.0::DOUBLE, 0.0::DOUBLE)) / 1800.0::DOUBLE)
+      * coalesce(greatest(0.0::DOUBLE, 1 - accuracy_m / 500.0::DOUBLE), 1.0::DOUBLE)))""", 2)} AS confidence
+  FROM chain WHERE kept""",
+)
+
+NULLS = {"s": "NULL::VARCHAR", "b": "NULL::BIGINT", "d": "NULL::DOUBLE"}
+
+
+def islands(name: str, source: str) -> None:
+    """Runs of breach rows of ``source`` (breach, hold_us, excess, recovery, ... per fix), one row per proven run."""
+    part(
+        f"{name}_side",
+        f"""SELECT *, sum(turn) OVER (PARTITION BY shipment_id ORDER BY occurred_us) AS run FROM (
+    SELECT *, CASE WHEN breach <> lag(breach, 1, false) OVER (PARTITION BY shipment_id ORDER BY occurred_us) THEN 1 ELSE 0 END AS turn
+    FROM {source} WHERE breach IS NOT NULL)""",
+    )
+    part(
+        f"{name}_run",
+        f"""SELECT b.*, e.cleared_us, e.cleared_by, e.recovery FROM (
+    SELECT shipment_id, run, min(onset_us) AS onset_us, min(occurred_us) FILTER (WHERE proven) AS raised_us,
+      max(occurred_us) FILTER (WHERE proven) AS last_us, count(*) FILTER (WHERE proven) AS findings,
+      arg_min(event_id, occurred_us) FILTER (WHERE proven) AS raised_by,
+      arg_min(excess, occurred_us) FILTER (WHERE proven) AS first_excess, arg_max(excess, occurred_us) FILTER (WHERE proven) AS last_excess,
+      arg_min(observed, occurred_us) FILTER (WHERE proven) AS first_observed, arg_max(observed, occurred_us) FILTER (WHERE proven) AS last_observed,
+      arg_min(threshold, occurred_us) FILTER (WHERE proven) AS first_threshold,
+      arg_min(severity, occurred_us) FILTER (WHERE proven) AS severity,
+      greatest(max(excess) FILTER (WHERE NOT proven), arg_min(excess, occurred_us) FILTER (WHERE proven)) AS raise_worst, max(excess) AS worst
+    FROM (SELECT *, occurred_us - onset_us >= hold_us AS proven FROM
+      (SELECT *, min(occurred_us) OVER (PARTITION BY shipment_id, run) AS onset_us FROM {name}_side WHERE breach))
+    GROUP BY shipment_id, run) b
+  LEFT JOIN (SELECT shipment_id, run, arg_min(event_id, occurred_us) AS cleared_by, min(occurred_us) AS cleared_us,
+      arg_min(recovery, occurred_us) AS recovery FROM {name}_side WHERE NOT breach GROUP BY shipment_id, run) e
+    ON e.shipment_id = b.shipment_id AND e.run = b.run + 1
+  WHERE raised_us IS NOT NULL""",
+    )
+
+
+def incident(kind: str, source: str, stop: str, columns: str) -> str:
+    return f"""SELECT {uuid3("'INCIDENT'", f"'{kind}'", 'shipment_id', 'stop_id', instant('onset_us'))} AS exception_id, '{kind}' AS type,
+    *, CASE WHEN cleared_us IS NULL THEN 'OPEN' ELSE 'CLEARED' END AS state,
+    CASE WHEN cleared_us IS NOT NULL THEN greatest(0, (cleared_us - onset_us) // 1000000) END AS open_s
+  FROM (SELECT shipment_id, {stop} AS stop_id, {columns} FROM {source})"""
+
+
+def minutes(us: str) -> str:
+    return f"(({us}) // 60000000)"
+
+
+part(
+    "terms",
+    """SELECT shipment_id, lane, user_id,
+    CASE WHEN full_body AND lane = 'HYD' THEN 2.0::DOUBLE END AS min_c,
+    CASE WHEN full_body AND lane = 'HYD' THEN CASE WHEN fault = 3 THEN 99.0::DOUBLE ELSE 8.0::DOUBLE END END AS max_c,
+    CASE WHEN full_body AND lane = 'HYD' THEN 1800 END::BIGINT AS tolerance_s,
+    CASE WHEN full_body AND lane = 'DEL' THEN 1788220800000000 END::BIGINT AS opens_us,
+    CASE WHEN full_body AND lane = 'DEL' THEN last_us - (user_id % 5) * 1200000000 END AS closes_us,
+    full_body AND lane = 'HYD' AS cold_chain, customer_id, mode, schema_version, created_us, fault, full_body
+  FROM manifest_fact""",
+)
+part(
+    "manifest_fact",
+    """SELECT user_id, shipment_id, lane, last_us, fault, user_id % 29 <> 7 AS full_body,
+    CASE WHEN fault = 4 THEN 'NOBODY' ELSE CASE lane WHEN 'HYD' THEN 'MEDIVAULT' WHEN 'DEL' THEN 'VISTAMART' WHEN 'BLR' THEN 'SOUTHERN-FREIGHT' ELSE 'QUICKSHIP' END END AS customer_id,
+    CASE lane WHEN 'HYD' THEN 'PHARMA_COLD_CHAIN' WHEN 'DEL' THEN 'RETAIL_REPLENISHMENT' WHEN 'BLR' THEN 'LTL' ELSE 'PARCEL' END AS mode,
+    CASE WHEN user_id % 23 <> 5 THEN '1' END AS schema_version, (1788220800 + user_id % 1000) * 1000000 AS created_us
+  FROM (SELECT user_id, any_value(shipment_id) AS shipment_id, any_value(lane) AS lane, max(occurred_us) AS last_us,
+      CASE WHEN user_id % 9 = 4 THEN (user_id // 9) % 5 ELSE -1 END AS fault FROM fixes GROUP BY user_id)""",
+)
+part(
+    "reading",
+    """SELECT t.shipment_id, t.occurred_us, t.event_id, NOT (temp_c BETWEEN low AND high) AS breach, hold_us,
+    greatest(temp_c - high, low - temp_c, 0.0::DOUBLE) AS excess, temp_c AS observed,
+    CASE WHEN temp_c > high THEN high WHEN temp_c < low THEN low END AS threshold,
+    CASE WHEN agreed THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'RECOVERED' AS recovery
+  FROM (SELECT t.*, m.min_c IS NOT NULL AS agreed, coalesce(m.min_c, setpoint_c - 3) AS low, coalesce(m.max_c, setpoint_c + 3) AS high,
+      CASE WHEN m.min_c IS NOT NULL THEN coalesce(m.tolerance_s, 1200) ELSE 1200 END * 1000000 AS hold_us
+    FROM track t LEFT JOIN terms m USING (shipment_id) WHERE temp_c IS NOT NULL) t""",
+)
+part(
+    "standing",
+    f"""SELECT shipment_id, occurred_us, event_id,
+    CASE WHEN coalesce(accuracy_m <= 150.0::DOUBLE, true) AND speed_kph IS NOT NULL THEN speed_kph < 5.0::DOUBLE AND NOT expected END AS breach,
+    1200000000 AS hold_us, km AS excess, NULL::DOUBLE AS observed, 20.0::DOUBLE AS threshold,
+    CASE WHEN cold_chain THEN 'CRITICAL' ELSE 'WARNING' END AS severity, CASE WHEN speed_kph >= 5.0::DOUBLE THEN 'RESUMED' ELSE 'RECOVERED' END AS recovery
+  FROM (SELECT t.shipment_id, t.occurred_us, t.event_id, any_value(t.accuracy_m) AS accuracy_m, any_value(t.speed_kph) AS speed_kph,
+      bool_or({dist('t.lat', 't.lon', 's.lat', 's.lon')} <= s.radius_m * 2.0::DOUBLE) AS expected,
+      min({dist('t.lat', 't.lon', 's.lat', 's.lon')}) / 1000.0::DOUBLE AS km
+    FROM track t JOIN lane_stop s USING (lane) GROUP BY ALL) LEFT JOIN terms USING (shipment_id)""",
+)
+part(
+    "leg_fact",
+    f"""SELECT event_id, shipment_id, occurred_us, accuracy_m, min(CASE WHEN leg < 1.0::DOUBLE THEN least(to_a, to_b) WHEN cos(turn) < 0 THEN to_a
+      WHEN acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, cos(to_a / 6371008.8::DOUBLE) / cos(xt)))) * 6371008.8::DOUBLE > leg THEN to_b
+      ELSE abs(xt) * 6371008.8::DOUBLE END) / 1000.0::DOUBLE AS km
+  FROM (SELECT *, asin(sin(to_a / 6371008.8::DOUBLE) * sin(turn)) AS xt FROM (
+    SELECT t.event_id, t.shipment_id, t.occurred_us, t.accuracy_m, {dist('lat_a', 'lon_a', 't.lat', 't.lon')} AS to_a, {dist('lat_b', 'lon_b', 't.lat', 't.lon')} AS to_b,
+      {dist('lat_a', 'lon_a', 'lat_b', 'lon_b')} AS leg, {brg('lat_a', 'lon_a', 't.lat', 't.lon')} - {brg('lat_a', 'lon_a', 'lat_b', 'lon_b')} AS turn
+    FROM track t JOIN lane_leg g USING (lane)))
+  GROUP BY event_id, shipment_id, occurred_us, accuracy_m""",
+)
+part(
+    "off_plan",
+    """SELECT shipment_id, occurred_us, event_id, CASE WHEN coalesce(accuracy_m <= 150.0::DOUBLE, true) THEN km > 12.0::DOUBLE END AS breach,
+    900000000 AS hold_us, km AS excess, km AS observed, 12.0::DOUBLE AS threshold, 'WARNING' AS severity, 'BACK_ON_ROUTE' AS recovery
+  FROM leg_fact""",
+)
+islands("hot", "reading")
+islands("idle", "standing")
+islands("astray", "off_plan")
+
+
+def _sustained(obs_first: str, obs_last: str, detail_first: str, detail_last: str) -> str:
+    return f"""severity, onset_us, raised_us, last_us AS last_seen_us, cleared_us, findings - 1 AS restated,
+    CAST(raised_by AS VARCHAR) AS raised_by, CAST(cleared_by AS VARCHAR) AS cleared_by, {detail_first} AS raised_detail, {detail_last} AS detail,
+    {obs_first} AS raised_value, {obs_last} AS observed_value, first_threshold AS threshold_value, worst, recovery AS resolution"""
+
+
+def _hot(obs: str, worst: str, at: str) -> str:
+    return (
+        f"printf('%.1fC is outside ', {obs}) || CASE WHEN severity = 'CRITICAL' THEN printf('the agreed %.1f to %.1fC band', min_c, max_c) "
+        f"ELSE 'its reported setpoint' END || printf(', peaking at %.1fC outside it, and has been for %d minutes', {worst}, {minutes(at + ' - onset_us')})"
+    )
+
+
+def _idle(km: str, at: str) -> str:
+    return (
+        f"printf('Stationary for %d minutes %.0f km from the nearest scheduled stop.', {minutes(at + ' - onset_us')}, {km}) || "
+        "CASE WHEN severity = 'CRITICAL' THEN ' The load is temperature-controlled.' ELSE '' END"
+    )
+
+
+def _astray(km: str, worst: str, at: str) -> str:
+    return (
+        f"printf('%.0f km off the planned route for %d minutes', {km}, {minutes(at + ' - onset_us')}) || "
+        f"CASE WHEN {worst} <= {km} THEN '' ELSE printf(', having reached %.0f km', {worst}) END || '.'"
+    )
+
+
+part(
+    "hot_incident",
+    incident(
+        "TEMPERATURE_EXCURSION", "hot_run LEFT JOIN terms USING (shipment_id)", NULLS["s"],
+        _sustained("first_observed", "last_observed", _hot("first_observed", "raise_worst", "raised_us"), _hot("last_observed", "worst", "last_us")),
+    ),
+)
+part(
+    "idle_incident",
+    incident(
+        "UNPLANNED_STOP", "idle_run", NULLS["s"],
+        _sustained(
+            f"CAST({minutes('raised_us - onset_us')} AS DOUBLE)", f"CAST({minutes('last_us - onset_us')} AS DOUBLE)",
+            _idle("first_excess", "raised_us"), _idle("last_excess", "last_us"),
+        ),
+    ),
+)
+part(
+    "astray_incident",
+    incident(
+        "ROUTE_DEVIATION", "astray_run", NULLS["s"],
+        _sustained("first_observed", "last_observed", _astray("first_excess", "raise_worst", "raised_us"), _astray("last_excess", "worst", "last_us")),
+    ),
+)
+part(
+    "late_row",
+    f"""SELECT r.*, m.closes_us, estimate_us - closes_us AS late_us, NOT arrived AND estimate_us - closes_us > 900000000 AS breach FROM (
+    SELECT shipment_id, stop_id, occurred_us, event_id, estimate_us, remaining_km, confidence, false AS arrived FROM eta
+    UNION ALL
+    SELECT shipment_id, stop_id, arrived_us, {uuid3("'ARRIVED'", 'shipment_id', 'stop_id', instant('arrived_us'))}, arrived_us, NULL, NULL, true FROM visit) r
+  JOIN (SELECT stop_id FROM lane_final) USING (stop_id) JOIN terms m USING (shipment_id) WHERE closes_us IS NOT NULL""",
+)
+part(
+    "late_side",
+    """SELECT *, sum(turn) OVER (PARTITION BY shipment_id ORDER BY occurred_us) AS run, arrived AND late_us > 0 AS late FROM (
+    SELECT *, coalesce(lag(breach) OVER (PARTITION BY shipment_id ORDER BY occurred_us), false) AS was,
+      CASE WHEN breach <> lag(breach, 1, false) OVER (PARTITION BY shipment_id ORDER BY occurred_us) THEN 1 ELSE 0 END AS turn FROM late_row)""",
+)
+part(
+    "late_text",
+    f"""SELECT s.*, CASE WHEN arrived THEN printf('Arrived %d minutes after the delivery window closed.', {minutes('late_us')})
+    ELSE printf('Projected to arrive %d minutes after the delivery window closes at %s, %.0f km still to run (confidence %.0f%%).',
+      {minutes('late_us')}, {instant('closes_us')}, remaining_km, confidence * 100) END AS detail,
+    CASE WHEN breach THEN run WHEN was THEN run - 1 ELSE -1 END AS island,
+    CASE WHEN NOT arrived THEN 'BACK_WITHIN_WINDOW' WHEN late THEN 'ARRIVED_LATE' ELSE 'ARRIVED_ON_TIME' END AS how
+  FROM late_side s WHERE breach OR was OR late""",
+)
+part(
+    "late_incident",
+    incident(
+        "LATE_ARRIVAL", "late_group", "stop_id AS stop0, stop0",
+        """severity, onset_us, raised_us, last_seen_us, cleared_us, restated, raised_by, cleared_by, raised_detail, detail, raised_value,
+    observed_value, threshold_value, NULL::DOUBLE AS worst, resolution""",
+    ).replace("stop_id AS stop0, stop0 AS stop_id", "stop_id"),
+)
+part(
+    "late_group",
+    f"""SELECT shipment_id, stop_id, coalesce(min(occurred_us) FILTER (WHERE breach), min(closes_us)) AS onset_us,
+    CASE WHEN bool_or(late) THEN 'CRITICAL' ELSE 'WARNING' END AS severity, min(occurred_us) FILTER (WHERE breach OR late) AS raised_us,
+    max(occurred_us) FILTER (WHERE breach OR late) AS last_seen_us, min(occurred_us) FILTER (WHERE NOT breach) AS cleared_us,
+    count(*) FILTER (WHERE breach OR late) - 1 AS restated, arg_min(event_id, occurred_us) FILTER (WHERE breach OR late) AS raised_by,
+    arg_min(event_id, occurred_us) FILTER (WHERE NOT breach) AS cleared_by,
+    arg_min(detail, occurred_us) FILTER (WHERE breach OR late) AS raised_detail, arg_max(detail, occurred_us) FILTER (WHERE breach OR late) AS detail,
+    CAST(arg_min({minutes('late_us')}, occurred_us) FILTER (WHERE breach OR late) AS DOUBLE) AS raised_value,
+    CAST(arg_max({minutes('late_us')}, occurred_us) FILTER (WHERE breach OR late) AS DOUBLE) AS observed_value,
+    arg_min(CASE WHEN arrived THEN 0.0::DOUBLE ELSE 15.0::DOUBLE END, occurred_us) FILTER (WHERE breach OR late) AS threshold_value,
+    arg_min(how, occurred_us) FILTER (WHERE NOT breach) AS resolution
+  FROM late_text GROUP BY shipment_id, stop_id, island""",
+)
+part(
+    "completion",
+    "SELECT shipment_id, arrived_us AS completed_us FROM visit JOIN (SELECT stop_id FROM lane_final) USING (stop_id)",
+)
+part(
+    "quiet",
+    """SELECT shipment_id, onset_us, cleared_us, raised_by, cleared_by, cleared_us - onset_us AS quiet_us, 'REPORTING_AGAIN' AS resolution FROM (
+    SELECT shipment_id, occurred_us AS cleared_us, event_id AS cleared_by, lag(occurred_us) OVER w AS onset_us, lag(event_id) OVER w AS raised_by
+    FROM track LEFT JOIN completion USING (shipment_id) WHERE completed_us IS NULL OR occurred_us <= completed_us
+    WINDOW w AS (PARTITION BY shipment_id ORDER BY occurred_us)) WHERE cleared_us - onset_us >= 1800000000
+  UNION ALL
+  SELECT shipment_id, last_us, NULL, last_id, NULL, fleet_us - last_us, NULL FROM (
+    SELECT shipment_id, max(occurred_us) AS last_us, arg_max(event_id, occurred_us) AS last_id FROM track
+    WHERE shipment_id NOT IN (SELECT shipment_id FROM completion) GROUP BY shipment_id), (SELECT max(occurred_us) AS fleet_us FROM track)
+  WHERE fleet_us - last_us >= 1800000000""",
+)
+_quiet_text = f"printf('No events of any kind for %d minutes; last heard from at %s.', {minutes('quiet_us')}, {instant('onset_us')})"
+part(
+    "quiet_incident",
+    incident(
+        "SIGNAL_LOSS", "quiet LEFT JOIN (SELECT shipment_id, cold_chain FROM terms) USING (shipment_id)", NULLS["s"],
+        f"""CASE WHEN cold_chain THEN 'CRITICAL' ELSE 'WARNING' END AS severity, onset_us, onset_us + 1800000000 AS raised_us,
+    onset_us + 1800000000 AS last_seen_us, cleared_us, 0::BIGINT AS restated, CAST(raised_by AS VARCHAR) AS raised_by,
+    CAST(cleared_by AS VARCHAR) AS cleared_by, {_quiet_text} AS raised_detail, {_quiet_text} AS detail, NULL::DOUBLE AS raised_value,
+    NULL::DOUBLE AS observed_value, NULL::DOUBLE AS threshold_value, NULL::DOUBLE AS worst, resolution""",
+    ),
+)
+INCIDENT_COLUMNS = (
+    "exception_id, type, shipment_id, stop_id, severity, state, onset_us, raised_us, last_seen_us, cleared_us, open_s, restated, "
+    "raised_by, cleared_by, raised_detail, detail, raised_value, observed_value, threshold_value, worst, resolution"
+)
+part(
+    "incidents",
+    "\n  UNION ALL ".join(
+        f"SELECT {INCIDENT_COLUMNS} FROM {n}_incident" for n in ("hot", "idle", "astray", "late", "quiet")
+    ),
+)
