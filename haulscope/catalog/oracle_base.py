@@ -395,7 +395,7 @@ part(
     "late_text",
     f"""SELECT s.*, CASE WHEN arrived THEN printf('Arrived %d minutes after the delivery window closed.', {minutes('late_us')})
     ELSE printf('Projected to arrive %d minutes after the delivery window closes at %s, %.0f km still to run (confidence %.0f%%).',
-      {minutes('late_us')}, {instant('closes_us')}, remaining_km, confidence * 100) END AS detail,
+      {minutes('late_us')}, {instant('closes_us')}, floor(remaining_km + 0.5::DOUBLE), floor(confidence * 100 + 0.5::DOUBLE)) END AS detail,
     CASE WHEN breach THEN run WHEN was THEN run - 1 ELSE -1 END AS island,
     CASE WHEN NOT arrived THEN 'BACK_WITHIN_WINDOW' WHEN late THEN 'ARRIVED_LATE' ELSE 'ARRIVED_ON_TIME' END AS how
   FROM late_side s WHERE breach OR was OR late""",

@@ -126,3 +126,12 @@ def outcomes(rows: DataFrame) -> DataFrame:
     good = rows.where("reason IS NULL AND violation IS NULL").select("source", F.lit("PUBLISHED").alias("outcome"))
     bad = dead_letters(rows).select("source", F.col("reason").alias("outcome"))
     return good.unionByName(bad).groupBy("source", "outcome").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def first_missing() -> Column:
+    """First field a consumer finds missing, in its order of checks; null for a complete event."""
+    return (
+        F.when(F.col("shipment_id").isNull(), "shipmentId")
+        .when(F.col("occurred_us").isNull(), "occurredAt")
+        .when(F.col("lat").isNull() | F.col("lon").isNull(), "position")
+    )
