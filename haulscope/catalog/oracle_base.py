@@ -117,11 +117,11 @@ part(
     CASE WHEN still THEN 0.0::DOUBLE ELSE 20.0::DOUBLE + value / 5.0::DOUBLE END AS speed_kph,
     CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 50 * 3 AS DOUBLE) END AS accuracy_m,
     CASE WHEN l.lane = 'HYD' THEN 4.0::DOUBLE + CAST(event_id % 7 AS DOUBLE) / 10.0::DOUBLE
-      + CASE WHEN user_id % 3 = 1 AND k >= n // 3 AND k < n // 3 + 8 THEN 9.0::DOUBLE ELSE 0.0::DOUBLE END END AS temp_c,
+      + CASE WHEN user_id % 3 = 1 AND k >= hot_k AND k < hot_k + 8 THEN 9.0::DOUBLE ELSE 0.0::DOUBLE END END AS temp_c,
     CASE WHEN l.lane = 'HYD' THEN 4.0::DOUBLE END AS setpoint_c
   FROM (SELECT q.*,
       CASE WHEN parked THEN 0.0::DOUBLE WHEN halted THEN 0.5::DOUBLE ELSE (u - 0.4::DOUBLE) / 0.6::DOUBLE END AS t,
-      parked OR halted AS still
+      parked OR halted AS still, CASE WHEN user_id % 8 = 5 THEN n - 7 ELSE n // 3 END AS hot_k
     FROM (SELECT *, (u < 0.4::DOUBLE OR j = s - 1) AS parked, (user_id % 5 = 2 AND j = 1 AND u < 0.8::DOUBLE) AS halted FROM fix_leg) q) l
   JOIN lane_stop a ON a.lane = l.lane AND a.seq = l.j
   LEFT JOIN lane_stop b ON b.lane = l.lane AND b.seq = l.j + 1""",

@@ -14,7 +14,7 @@ from haulscope.catalog.oracle_base import (
 from haulscope.fixtures import archive as archive_fixtures
 from haulscope.functions import geo, ids
 from haulscope.functions.text import abbreviate, first_line, lane_code, round_half_up, safe_int
-from haulscope.functions.timeparts import day_text, floor_div, hour_start_us, hour_text, instant_text, instant_us
+from haulscope.functions.timeparts import day_text, int_div, hour_start_us, hour_text, instant_text, instant_us
 from haulscope.model.contracts import CONTRACTS
 from haulscope.model.params import MICROS
 from haulscope.operators import asof, conditions, contracts, eta, geofence, manifests, positions, reconcile, slices
@@ -128,7 +128,7 @@ def geofence_polygons(run: Run) -> DataFrame:
     f"""SELECT event_id, {uuid3("'TELEMATICS'", 'tracker_id', instant('occurred_us'), "''")} AS source_event_id, {instant('occurred_us')} AS occurred_text,
     occurred_us // 3600000000 * 3600000000 AS hour_us, strftime(make_timestamp(occurred_us), '%Y-%m-%d') AS dt, strftime(make_timestamp(occurred_us), '%H') AS hour,
     {minutes('received_us - occurred_us')} AS lag_minutes, lane AS lane_code, floor(-value + 0.5::DOUBLE) AS rounded_up,
-    coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN ' ' || event_id || ' ' WHEN event_id % 3 = 1 THEN 'x' || event_id END AS INTEGER), 0) AS safe_number,
+    coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN ' ' || event_id || ' ' WHEN event_id % 3 = 1 THEN 'x' || event_id END AS BIGINT), 0) AS safe_number,
     'line ' || event_id AS first_line,
     CASE WHEN length(repeat('ab', 18) || event_id) <= 40 THEN repeat('ab', 18) || event_id ELSE substr(repeat('ab', 18) || event_id, 1, 40) || '...' END AS short,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS json_k
@@ -148,10 +148,10 @@ def scalar_functions(run: Run) -> DataFrame:
         hour_start_us(instant_us(at)).alias("hour_us"),
         day_text(F.col("occurred_us")).alias("dt"),
         hour_text(F.col("occurred_us")).alias("hour"),
-        floor_div(F.col("received_us") - F.col("occurred_us"), 60 * MICROS).alias("lag_minutes"),
+        int_div(F.col("received_us") - F.col("occurred_us"), 60 * MICROS).alias("lag_minutes"),
         lane_code(F.col("shipment_id")).alias("lane_code"),
         round_half_up(-F.col("value"), 0).alias("rounded_up"),
-        safe_int(text).alias("safe_number"),
+        safe_int(text).cast("bigint").alias("safe_number"),
         first_line(F.concat(F.lit("line "), e.cast("string"), F.lit("\nsecond"))).alias("first_line"),
         abbreviate(F.concat(F.lit("ab" * 18), e.cast("string"))).alias("short"),
         F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("json_k"),
@@ -282,17 +282,17 @@ part(
   (SELECT event_id, shipment_id, received_us FROM fixes QUALIFY row_number() OVER (PARTITION BY shipment_id, received_us ORDER BY event_id) = 1)""",
 )
 part(
-    "gate",
-    """RECURSIVE gate AS (
+    "gate_pass",
+    """RECURSIVE gate_pass AS (
     SELECT event_id, shipment_id, received_us, rn, true AS kept, received_us AS held FROM gate_row WHERE rn = 1
     UNION ALL
     SELECT r.event_id, r.shipment_id, r.received_us, r.rn, r.received_us - g.held >= 900000000,
       CASE WHEN r.received_us - g.held >= 900000000 THEN r.received_us ELSE g.held END
-    FROM gate g JOIN gate_row r ON r.shipment_id = g.shipment_id AND r.rn = g.rn + 1)""",
+    FROM gate_pass g JOIN gate_row r ON r.shipment_id = g.shipment_id AND r.rn = g.rn + 1)""",
 )
 
 
-@query("SELECT event_id, shipment_id, received_us FROM gate WHERE kept")
+@query("SELECT event_id, shipment_id, received_us FROM gate_pass WHERE kept")
 def thin_positions(run: Run) -> DataFrame:
     """At most one fix per shipment and quarter hour (the sample's fixes are minutes apart)."""
     fixes = run.fixes.select("event_id", "shipment_id", "received_us")
@@ -722,7 +722,7 @@ def conformance_report(run: Run) -> DataFrame:
 
 @query(
     """SELECT shipment_id, count(*) AS nodes FROM (SELECT m.shipment_id, unnest(range(n)) FROM (SELECT *, CASE WHEN NOT full_body THEN 1 ELSE
-      CASE lane WHEN 'HYD' THEN 15 - CASE WHEN fault = 1 THEN 4 ELSE 0 END WHEN 'DEL' THEN 19 - CASE WHEN fault = 1 THEN 1 ELSE 0 END
+      CASE lane WHEN 'HYD' THEN 16 - CASE WHEN fault = 1 THEN 4 ELSE 0 END WHEN 'DEL' THEN 19 - CASE WHEN fault = 1 THEN 1 ELSE 0 END
         WHEN 'BLR' THEN 16 - CASE WHEN fault = 1 THEN 3 ELSE 0 END + 1 ELSE 11 - CASE WHEN fault = 1 THEN 4 ELSE 0 END END + CASE WHEN fault = 0 THEN 1 ELSE 0 END END AS n
     FROM manifest_fact) m) GROUP BY shipment_id"""
 )
@@ -923,10 +923,10 @@ def distinct_ids(run: Run) -> DataFrame:
 
 _STORED = "received_us + (event_id * event_id % 400000) * 1000"
 _MS = f"(({_STORED} - received_us) // 1000)"
-_BOUNDS = ", ".join(str(b) for b in reconcile.LATENCY_BOUNDS_MS)
+_BOUNDS = " ".join(f"WHEN ms <= {b} THEN {b}" for b in reconcile.LATENCY_BOUNDS_MS)
 part(
     "histogram",
-    f"""SELECT coalesce(list_min(list_filter([{_BOUNDS}]::BIGINT[], b -> b >= ms)), 2147483648) AS le_ms, count(*) AS records
+    f"""SELECT CAST(CASE {_BOUNDS} ELSE 2147483648 END AS BIGINT) AS le_ms, count(*) AS records
   FROM (SELECT {_MS} AS ms FROM fixes) GROUP BY 1""",
 )
 
@@ -976,7 +976,7 @@ def average_latency(run: Run) -> DataFrame:
     """Mean latency between two snapshots of cumulative counters."""
 
     def snapshot(df: DataFrame) -> DataFrame:
-        spent = floor_div(F.col("stored_us") - F.col("received_us"), 1000).cast("double")
+        spent = int_div(F.col("stored_us") - F.col("received_us"), 1000).cast("double")
         return df.groupBy(F.col("lane").alias("operation")).agg(F.sum(spent).alias("total_ms"), F.count(F.lit(1)).alias("operations"))
 
     stored = stage(_stored(run).select("event_id", "lane", "received_us", "stored_us"), "stored")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from haulscope.fixtures import fleet
-from haulscope.functions.timeparts import floor_div, instant_text
+from haulscope.functions.timeparts import int_div, instant_text
 from haulscope.model.params import MICROS
 
 
@@ -28,11 +28,11 @@ def _json_messages(fixes: DataFrame) -> DataFrame:
         F.col("speed_kph") / 1.609344, ',"headingDeg":', (e % 720 - 180).cast("double"), hdop, fix_time, "},", odometer,
         '"sentAt":"', instant_text(F.col("received_us")), '","schemaVersion":"2.3"}',
     )
-    word = F.get(F.array(*[F.lit(w) for w in ("ping", "ARRIVE", "depart", "delivered", "", "teleport")]), (floor_div(e, 4) % 6).cast("int"))
+    word = F.get(F.array(*[F.lit(w) for w in ("ping", "ARRIVE", "depart", "delivered", "", "teleport")]), (int_div(e, 4) % 6).cast("int"))
     sid = F.when(e % 31 == 0, F.lit("")).otherwise(_cat('"sid":"', F.col("shipment_id"), '",'))
     acc = F.coalesce(_cat(',"acc":', F.col("accuracy_m")), F.lit(""))
     mobile = _cat(
-        "{", sid, '"ts":', floor_div(F.col("occurred_us"), 1000), ',"lat":', lat, ',"lng":', F.col("lon"), acc, ',"spd":',
+        "{", sid, '"ts":', int_div(F.col("occurred_us"), 1000), ',"lat":', lat, ',"lng":', F.col("lon"), acc, ',"spd":',
         F.col("speed_kph") / 3.6, ',"hdg":', e % 720 - 180, ',"evt":"', word, '","stop":"stop-', e % 9, '","seq":', e, ',"app":"3.4.1"}',
     )
     reading = F.when(e % 3 == 0, F.concat(F.substring(at, 1, 19), F.lit(".123456789Z"))).otherwise(at)
@@ -43,7 +43,7 @@ def _json_messages(fixes: DataFrame) -> DataFrame:
         '{"probe":"', F.col("probe_id"), '","model":"CX7","readingUtc":"', reading, '"', temp_part, ',"setpointC":4.0', alarm, ',"door":"SHUT"}'
     )
     body = F.when(e % 4 == 0, telematics).when(e % 4 == 1, mobile).otherwise(reefer)
-    body = F.when(e % 41 == 0, F.substring(body, F.lit(1), floor_div(F.length(body).cast("bigint"), 2).cast("int"))).when(
+    body = F.when(e % 41 == 0, F.substring(body, F.lit(1), int_div(F.length(body).cast("bigint"), 2).cast("int"))).when(
         e % 43 == 0, F.lit("<html><body>502 Bad Gateway</body></html>")
     ).otherwise(body)
     source = F.get(F.array(F.lit("TELEMATICS"), F.lit("MOBILE_APP"), F.lit("REEFER_SENSOR")), (e % 4).cast("int"))
@@ -59,11 +59,11 @@ def _json_messages(fixes: DataFrame) -> DataFrame:
 def _interchanges(fixes: DataFrame) -> DataFrame:
     """Ten or fewer shipment statuses per interchange: those of 40 consecutive event ids."""
     e = F.col("event_id")
-    number = floor_div(e, 40)
-    position = floor_div(e % 40, 4) + 1
+    number = int_div(e, 40)
+    position = int_div(e % 40, 4) + 1
     kind = number % 8
     control = F.lpad(position.cast("string"), 4, "0")
-    code = F.get(F.array(*[F.lit(c) for c in ("X3", "AF", "X1", "CD", "X4", "AG", "SD", "ZZ")]), (floor_div(e, 4) % 8).cast("int"))
+    code = F.get(F.array(*[F.lit(c) for c in ("X3", "AF", "X1", "CD", "X4", "AG", "SD", "ZZ")]), (int_div(e, 4) % 8).cast("int"))
     zone = F.get(F.array(F.lit("UT"), F.lit("ES"), F.lit("")), (e % 3).cast("int"))
     local = F.timestamp_micros(F.col("occurred_us") - F.when(zone == "ES", 5 * 3600 * MICROS).otherwise(0))
     why = F.when(e % 6 == 0, "A1").otherwise("NS")

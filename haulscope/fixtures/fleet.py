@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from haulscope.functions.timeparts import floor_div, ntz_micros
+from haulscope.functions.timeparts import int_div, ntz_micros
 from haulscope.model.params import MICROS
 from haulscope.operators import slices
 from haulscope.sources import plan
@@ -46,8 +46,10 @@ def fleet_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     wobble = (event * 7919 % 1000 - 500) / F.lit(500.0) * 0.002
     detour = (user % 7 == 3) & (F.col("j") == 1) & (F.col("t") > 0.2) & (F.col("t") < 0.8)
     number = padded(user)
-    occurred_s = F.lit(EPOCH_S) + floor_div(F.col("us") - SOURCE_US, 60 * MICROS)
-    hot = (user % 3 == 1) & (F.col("k") >= floor_div(F.col("n"), 3)) & (F.col("k") < floor_div(F.col("n"), 3) + 8)
+    occurred_s = F.lit(EPOCH_S) + int_div(F.col("us") - SOURCE_US, 60 * MICROS)
+    # eight warm readings after a third of the track, or at its end so that the incident stays open
+    warm_from = F.when(user % 8 == 5, F.col("n") - 7).otherwise(int_div(F.col("n"), 3))
+    hot = (user % 3 == 1) & (F.col("k") >= warm_from) & (F.col("k") < warm_from + 8)
     return df.select(
         "event_id",
         "user_id",

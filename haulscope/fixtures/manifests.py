@@ -34,14 +34,14 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max(ntz_micros(F.col("ts"))).alias("us"))
         .withColumn(
             "last_us",
-            (F.lit(fleet.EPOCH_S) + fleet.floor_div(F.col("us") - fleet.SOURCE_US, 60 * MICROS)) * MICROS,
+            (F.lit(fleet.EPOCH_S) + fleet.int_div(F.col("us") - fleet.SOURCE_US, 60 * MICROS)) * MICROS,
         )
         .select("user_id", "last_us")
     )
     df = fleet.shipments(spark, sf_dir).join(last, "user_id")
     n = F.col("user_id")
     # 0 undeclared key, 1 missing key, 2 pattern or enum, 3 range, 4 no contract on file
-    fault = F.when(n % 9 == 4, F.pmod(fleet.floor_div(n, 9), F.lit(5))).otherwise(-1)
+    fault = F.when(n % 9 == 4, F.pmod(fleet.int_div(n, 9), F.lit(5))).otherwise(-1)
     df = df.withColumn("fault", fault)
     is_fault = lambda k: F.col("fault") == k
     extra = F.when(is_fault(0), ',"surprise":1').otherwise("")

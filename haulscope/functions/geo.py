@@ -40,23 +40,41 @@ def destination(lat: Column, lon: Column, bearing_deg: Column, meters: Column) -
     return F.struct(F.degrees(out_lat).alias("latitude"), out_lon.alias("longitude"))
 
 
-def segment_distance_m(
-    lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column
-) -> Column:
-    """Distance from a point to the great-circle leg a-b, ends included."""
-    to_a = haversine_m(lat_a, lon_a, lat, lon)
-    to_b = haversine_m(lat_b, lon_b, lat, lon)
-    leg = haversine_m(lat_a, lon_a, lat_b, lon_b)
-    arc = to_a / EARTH_RADIUS_M
-    turn = bearing_rad(lat_a, lon_a, lat, lon) - bearing_rad(lat_a, lon_a, lat_b, lon_b)
-    cross = F.asin(F.sin(arc) * F.sin(turn))
-    along = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos(arc) / F.cos(cross)))) * EARTH_RADIUS_M
+def segment_distances_m(lat: Column, lon: Column, legs: Column) -> Column:
+    """Distance from a point to each great-circle leg (lat_a, lon_a, lat_b, lon_b), ends included.
+
+    Three passes over the short array, so that each quantity is computed once per leg.
+    """
+    ends = F.transform(
+        legs,
+        lambda g: F.struct(
+            haversine_m(g["lat_a"], g["lon_a"], lat, lon).alias("to_a"),
+            haversine_m(g["lat_b"], g["lon_b"], lat, lon).alias("to_b"),
+            haversine_m(g["lat_a"], g["lon_a"], g["lat_b"], g["lon_b"]).alias("leg"),
+            (bearing_rad(g["lat_a"], g["lon_a"], lat, lon) - bearing_rad(g["lat_a"], g["lon_a"], g["lat_b"], g["lon_b"])).alias("turn"),
+        ),
+    )
+    crossed = F.transform(
+        ends,
+        lambda e: F.struct(
+            e["to_a"].alias("to_a"),
+            e["to_b"].alias("to_b"),
+            e["leg"].alias("leg"),
+            F.cos(e["turn"]).alias("ahead"),
+            F.cos(e["to_a"] / EARTH_RADIUS_M).alias("cos_arc"),
+            F.asin(F.sin(e["to_a"] / EARTH_RADIUS_M) * F.sin(e["turn"])).alias("cross"),
+        ),
+    )
     # the turn exceeds a right angle exactly when its cosine is negative
-    return (
-        F.when(leg < 1.0, F.least(to_a, to_b))
-        .when(F.cos(turn) < 0.0, to_a)
-        .when(along > leg, to_b)
-        .otherwise(F.abs(cross) * EARTH_RADIUS_M)
+    return F.transform(
+        crossed,
+        lambda c: F.when(c["leg"] < 1.0, F.least(c["to_a"], c["to_b"]))
+        .when(c["ahead"] < 0.0, c["to_a"])
+        .when(
+            F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c["cos_arc"] / F.cos(c["cross"])))) * EARTH_RADIUS_M > c["leg"],
+            c["to_b"],
+        )
+        .otherwise(F.abs(c["cross"]) * EARTH_RADIUS_M),
     )
 
 

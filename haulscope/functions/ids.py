@@ -10,17 +10,16 @@ from haulscope.functions.timeparts import instant_text
 def uuid3(*parts: Column) -> Column:
     """UUID of the parts joined by '|'; a null part counts as the empty string."""
     name = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    h = F.md5(name.cast("binary"))
-    variant = F.substring(F.lit("89ab"), 1, 4)
-    nibble = F.instr(F.lit("0123456789abcdef"), h.substr(17, 1)) - 1
-    return F.concat_ws(
+    text = lambda h: F.concat_ws(
         "-",
         h.substr(1, 8),
         h.substr(9, 4),
         F.concat(F.lit("3"), h.substr(14, 3)),
-        F.concat(variant.substr(nibble % 4 + 1, F.lit(1)), h.substr(18, 3)),
+        F.concat(F.translate(h.substr(17, 1), "0123456789abcdef", "89ab" * 4), h.substr(18, 3)),
         h.substr(21, 12),
     )
+    # bound once: the name may be a large expression
+    return F.get(F.transform(F.array(F.md5(name.cast("binary"))), text), F.lit(0))
 
 
 def source_event_id(source: Column, reporter: Column, instant: Column, discriminator: Column) -> Column:

@@ -11,14 +11,8 @@ HOUR_US = 3600 * MICROS
 
 def instant_text(us: Column) -> Column:
     """ISO-8601 text with 0, 3 or 6 fraction digits, whichever is the shortest exact one."""
-    whole = F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.lpad(F.pmod(us, F.lit(MICROS)).cast("string"), 6, "0")
-    tail = (
-        F.when(fraction == "000000", F.lit("Z"))
-        .when(fraction.endswith("000"), F.concat(F.lit("."), fraction.substr(1, 3), F.lit("Z")))
-        .otherwise(F.concat(F.lit("."), fraction, F.lit("Z")))
-    )
-    return F.concat(whole, tail)
+    full = F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.regexp_replace(full, r"(\.000000|000)Z$", "Z")
 
 
 def canonical_instant(text: Column) -> Column:
@@ -57,12 +51,12 @@ def hour_text(us: Column) -> Column:
 
 
 def whole_minutes(us: Column) -> Column:
-    return floor_div(us, 60 * MICROS)
+    return int_div(us, 60 * MICROS)
 
 
-def floor_div(a: Column, b: int) -> Column:
-    """Exact integer division of a bigint, rounding towards minus infinity."""
-    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b).cast("bigint"))
+def int_div(a: Column, b: int) -> Column:
+    """Integer division of a bigint (towards zero)."""
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
 def ntz_micros(ts: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions import ids
 from haulscope.functions.text import severity_of_rank, severity_rank
-from haulscope.functions.timeparts import floor_div, instant_text, whole_minutes
+from haulscope.functions.timeparts import int_div, instant_text, whole_minutes
 from haulscope.model.params import DEFAULT, MICROS, Params
 from haulscope.operators import positions, slices
 from haulscope.operators.slices import SLICE
@@ -26,7 +26,7 @@ COLUMNS = (
 def finish(df: DataFrame, kind: str) -> DataFrame:
     """Identifiers, state and how long the incident was open, for rows that carry the other columns."""
     onset, cleared = F.col("onset_us"), F.col("cleared_us")
-    open_s = F.when(cleared.isNotNull(), F.greatest(F.lit(0).cast("bigint"), floor_div(cleared - onset, MICROS)))
+    open_s = F.when(cleared.isNotNull(), F.greatest(F.lit(0).cast("bigint"), int_div(cleared - onset, MICROS)))
     return (
         df.withColumn("type", F.lit(kind))
         .withColumn("exception_id", ids.incident_id(F.lit(kind), F.col("shipment_id"), F.col("stop_id"), onset))

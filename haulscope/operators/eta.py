@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from haulscope.functions import geo, ids
 from haulscope.functions.text import round_half_up
-from haulscope.functions.timeparts import floor_div
+from haulscope.functions.timeparts import int_div
 from haulscope.model.params import DEFAULT, MICROS, Params
 from haulscope.operators import slices
 from haulscope.operators.slices import SLICE

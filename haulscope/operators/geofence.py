@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from haulscope.functions import geo, ids
-from haulscope.functions.timeparts import floor_div
+from haulscope.functions.timeparts import int_div
 from haulscope.model.params import DEFAULT, MICROS, Params
 from haulscope.operators import slices
 from haulscope.operators.slices import SLICE
@@ -66,7 +66,7 @@ def visits(sides: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.col("d.run_start").alias("departed_us"),
         F.col("d.proof.occurred_us").alias("departure_proof_us"),
         F.col("d.proof.event_id").alias("departure_caused_by"),
-        floor_div(F.col("d.run_start") - F.col("a.run_start"), MICROS).alias("dwell_s"),
+        int_div(F.col("d.run_start") - F.col("a.run_start"), MICROS).alias("dwell_s"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haulscope.functions import geo
+from haulscope.functions.timeparts import int_div
 from haulscope.model.params import DEFAULT, Params
 from haulscope.operators import slices
 from haulscope.operators.slices import SLICE
@@ -64,10 +65,7 @@ def nearest_stop(df: DataFrame) -> DataFrame:
 
 def off_plan_km(lat: Column, lon: Column, legs: Column) -> Column:
     """Distance to the nearest leg of the plan; null with fewer than two stops."""
-    meters = F.transform(
-        legs, lambda l: geo.segment_distance_m(lat, lon, l["lat_a"], l["lon_a"], l["lat_b"], l["lon_b"])
-    )
-    return F.array_min(meters) / 1000.0
+    return F.array_min(geo.segment_distances_m(lat, lon, legs)) / 1000.0
 
 
 def movement(speed: Column, plan_size: Column, arrived: Column, at_stop: Column, params: Params = DEFAULT) -> Column:
@@ -89,9 +87,7 @@ def movement_after_fix(previous: Column, speed: Column, params: Params = DEFAULT
 
 
 def stale_seconds(received_us: Column, now_us: Column) -> Column:
-    from haulscope.functions.timeparts import floor_div
-
-    return F.when(received_us.isNotNull(), F.greatest(F.lit(0).cast("bigint"), floor_div(now_us - received_us, 1_000_000)))
+    return F.when(received_us.isNotNull(), F.greatest(F.lit(0).cast("bigint"), int_div(now_us - received_us, 1_000_000)))
 
 
 def fleet_bounds(current: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from haulscope.functions.timeparts import floor_div
+from haulscope.functions.timeparts import int_div
 from haulscope.model.params import MICROS
 
 # Upper bounds of the latency histogram, milliseconds.
@@ -53,7 +53,7 @@ def reconcile(produced: DataFrame, persisted: DataFrame, dead_letters: DataFrame
 
 def latency_histogram(df: DataFrame) -> DataFrame:
     """Counts by the smallest bound the latency fits; bounds are irregular, so no width_bucket."""
-    millis = F.greatest(F.lit(0).cast("bigint"), floor_div(F.col("stored_us") - F.col("received_us"), 1000))
+    millis = F.greatest(F.lit(0).cast("bigint"), int_div(F.col("stored_us") - F.col("received_us"), 1000))
     bounds = F.array(*[F.lit(b).cast("bigint") for b in LATENCY_BOUNDS_MS])
     bound = F.coalesce(F.array_min(F.filter(bounds, lambda b: b >= millis)), F.lit(BEYOND_MS).cast("bigint"))
     return df.select(bound.alias("le_ms")).groupBy("le_ms").agg(F.count(F.lit(1)).alias("records"))
@@ -82,7 +82,7 @@ def histogram_percentiles(histogram: DataFrame, quantiles: tuple[float, ...] = (
 
 
 def exact_percentiles(df: DataFrame) -> DataFrame:
-    millis = floor_div(F.col("stored_us") - F.col("received_us"), 1000)
+    millis = int_div(F.col("stored_us") - F.col("received_us"), 1000)
     return df.agg(
         F.percentile_approx(millis, [0.5, 0.99], 10000).alias("p"), F.max(millis).alias("max_ms")
     ).select(F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p99_ms"), "max_ms")
@@ -94,7 +94,7 @@ def throughput(df: DataFrame, at: str, seconds: int = 60) -> DataFrame:
     return df.groupBy(start.alias("window_us")).agg(
         F.count(F.lit(1)).alias("records"),
         (F.count(F.lit(1)) / float(seconds)).alias("per_second"),
-        F.max(floor_div(F.col("received_us") - F.col("occurred_us"), MICROS)).alias("max_lag_s"),
+        F.max(int_div(F.col("received_us") - F.col("occurred_us"), MICROS)).alias("max_lag_s"),
     )
 
 

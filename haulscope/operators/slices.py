@@ -21,14 +21,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from haulscope.functions.timeparts import floor_div
+from haulscope.functions.timeparts import int_div
 from haulscope.model.params import MICROS
 
 SLICE = "slice"
 
 
 def with_slice(df: DataFrame, at: str, seconds: int) -> DataFrame:
-    return df.withColumn(SLICE, floor_div(F.col(at), seconds * MICROS))
+    return df.withColumn(SLICE, int_div(F.col(at), seconds * MICROS))
 
 
 def _local(keys: Sequence[str], order: Sequence[Column | str]):

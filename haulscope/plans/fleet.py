@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions import geo
 from haulscope.functions.text import lane_code, severity_of_rank, severity_rank
-from haulscope.functions.timeparts import floor_div
+from haulscope.functions.timeparts import int_div
 from haulscope.model.params import DEFAULT, MICROS, Params
 from haulscope.operators import positions
 
@@ -151,7 +151,7 @@ def planned_stops(current: DataFrame, plans: DataFrame, visits: DataFrame) -> Da
     return with_stops(current, plans, visits).select("shipment_id", F.inline("planned")).withColumns(
         {
             "status": F.when(F.col("arrived_us").isNull(), "PENDING").when(F.col("departed_us").isNull(), "AT").otherwise("DEPARTED"),
-            "dwell_s": floor_div(F.col("departed_us") - F.col("arrived_us"), MICROS),
+            "dwell_s": int_div(F.col("departed_us") - F.col("arrived_us"), MICROS),
         }
     )
 
