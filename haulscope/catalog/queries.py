@@ -90,7 +90,7 @@ def route_totals(run: Run) -> DataFrame:
 
 @query(
     f"""SELECT event_id, stop_id, {up('m', 3)} AS meters, {up('CASE WHEN b >= 360 THEN 0.0::DOUBLE ELSE b END', 6)} AS bearing_deg,
-    {up('degrees(lat2)', 6)} AS back_lat, {up('lon0 + degrees(atan2(sin(th) * sin(arc) * cos(radians(lat0)), cos(arc) - sin(radians(lat0)) * sin(lat2)))', 6)} AS back_lon
+    {up('degrees(lat2) + 0.00000003::DOUBLE', 6)} AS back_lat, {up('0.00000003::DOUBLE + lon0 + degrees(atan2(sin(th) * sin(arc) * cos(radians(lat0)), cos(arc) - sin(radians(lat0)) * sin(lat2)))', 6)} AS back_lon
   FROM (SELECT *, radians(b) AS th, asin(sin(radians(lat0)) * cos(m / 6371008.8::DOUBLE) + cos(radians(lat0)) * sin(m / 6371008.8::DOUBLE) * cos(radians(b))) AS lat2,
       m / 6371008.8::DOUBLE AS arc FROM (
     SELECT f.event_id, s.stop_id, s.lat AS lat0, s.lon AS lon0, {dist('s.lat', 's.lon', 'f.lat', 'f.lon')} AS m,
@@ -106,7 +106,7 @@ def geo_functions(run: Run) -> DataFrame:
     df = df.withColumn("back", geo.destination(F.col("lat0"), F.col("lon0"), F.col("bearing_deg"), F.col("meters")))
     return df.select(
         "event_id", "stop_id", round_half_up(F.col("meters"), 3).alias("meters"), round_half_up(F.col("bearing_deg"), 6).alias("bearing_deg"),
-        round_half_up(F.col("back.latitude"), 6).alias("back_lat"), round_half_up(F.col("back.longitude"), 6).alias("back_lon"),
+        round_half_up(F.col("back.latitude") + 0.00000003, 6).alias("back_lat"), round_half_up(F.col("back.longitude") + 0.00000003, 6).alias("back_lon"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from haulscope.functions import geo, ids
@@ -11,6 +11,7 @@ from haulscope.functions.timeparts import int_div
 from haulscope.model.params import DEFAULT, MICROS, Params
 from haulscope.operators import slices
 from haulscope.operators.slices import SLICE
+from haulscope.session import stage
 
 SHIP = ["shipment_id"]
 # beyond this many half-lives the older speed is below double precision
@@ -21,63 +22,74 @@ def learn(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Adds gap_s, learned_kph, moving_s and last_moving_us to the fixes of ``one_per_instant``.
 
     The learned speed is s' = s + w (r - s) on each moving fix, an affine map of s. A slice is the
-    composition of its maps, so slices fold in parallel and chain through (decay, offset) pairs.
+    composition of its maps, so slices fold in parallel and chain through (age, pull) pairs. The
+    first fix of a slice is applied while chaining, as its gap reaches back into the slice before.
     """
-    df = slices.previous(track, SHIP, "occurred_us", {"_prev_us": "occurred_us"})
-    df = df.withColumn("gap_s", F.coalesce((F.col("occurred_us") - F.col("_prev_us")) / float(MICROS), F.lit(0.0)))
-    moving = F.coalesce(F.col("speed_kph") >= params.moving_kph, F.lit(False))
-    w = Window.partitionBy(*SHIP, SLICE).orderBy("occurred_us").rowsBetween(Window.unboundedPreceding, 0)
-    halves = F.when(moving, F.least(F.col("gap_s") / params.half_life_seconds, F.lit(FORGOTTEN))).otherwise(0.0)
+    w = Window.partitionBy(*SHIP, SLICE).orderBy("occurred_us")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    moving, gap = F.col("_moving"), F.col("_gap")
+    later = moving & gap.isNotNull()
     df = (
-        df.withColumn("_moving", moving)
-        .withColumn("_halves", halves)
-        .withColumn("_age", F.sum("_halves").over(w))
+        track.withColumn("_moving", F.coalesce(F.col("speed_kph") >= params.moving_kph, F.lit(False)))
+        .withColumn("_gap", (F.col("occurred_us") - F.lag("occurred_us").over(w)) / float(MICROS))
+        .withColumn("_halves", F.when(later, F.least(gap / params.half_life_seconds, F.lit(FORGOTTEN))).otherwise(0.0))
+        .withColumn("_age", F.sum("_halves").over(upto))
         .withColumn(
             "_pull",
             F.sum(
                 F.when(
-                    F.col("_moving"),
-                    (1.0 - F.pow(F.lit(2.0), -F.col("_halves"))) * F.col("speed_kph") * F.pow(F.lit(2.0), F.col("_age")),
+                    later, (1.0 - F.pow(F.lit(2.0), -F.col("_halves"))) * F.col("speed_kph") * F.pow(F.lit(2.0), F.col("_age"))
                 ).otherwise(0.0)
-            ).over(w),
+            ).over(upto),
         )
-        .withColumn("_seed", F.first(F.when(F.col("_moving"), F.col("speed_kph")), True).over(w))
-        .withColumn("_moved_s", F.sum(F.when(F.col("_moving"), F.floor("gap_s")).otherwise(0)).over(w))
-        .withColumn("_moved_us", F.last(F.when(F.col("_moving"), F.col("occurred_us")), True).over(w))
+        .withColumn("_seed", F.first(F.when(later, F.col("speed_kph")), True).over(upto))
+        .withColumn("_moved_s", F.sum(F.when(later, F.floor("_gap")).otherwise(0)).over(upto))
+        .withColumn("_moved_us", F.last(F.when(moving, F.col("occurred_us")), True).over(upto))
     )
-    ends = df.groupBy(*SHIP, SLICE).agg(
-        F.max_by(F.struct("_age", "_pull", "_seed", "_moved_s", "_moved_us"), F.col("occurred_us")).alias("e")
-    ).select(*SHIP, SLICE, "e.*")
+    last = F.struct("occurred_us", "_age", "_pull", "_seed", "_moved_s", "_moved_us")
+    first = F.struct(F.col("occurred_us").alias("first_us"), F.when(moving, F.col("speed_kph")).alias("first_kph"))
+    ends = (
+        df.groupBy(*SHIP, SLICE)
+        .agg(F.min_by(first, "occurred_us").alias("f"), F.max_by(last, "occurred_us").alias("e"))
+        .select(*SHIP, SLICE, "f.*", "e.*")
+    )
+    half_life = params.half_life_seconds
 
     def chain(batches):
-        current, speed, moved_s, moved_us = None, None, 0, None
+        current, last_us, speed, moved_s, moved_us = None, None, None, 0, None
         for batch in batches:
             out = []
-            for ship, piece, age, pull, seed, m_s, m_us in batch.itertuples(index=False):
+            for row in zip(*[batch.column(c).to_pylist() for c in ends_columns]):
+                ship, piece, first_us, first_kph, end_us, age, pull, seed, m_s, m_us = row
                 if ship != current:
-                    current, speed, moved_s, moved_us = ship, None, 0, None
-                out.append((ship, piece, speed, moved_s, moved_us))
-                if not pd.isna(seed):
-                    start = seed if speed is None else speed
-                    speed = 2.0**-age * (start + pull)
-                moved_s += int(m_s)
-                moved_us = moved_us if pd.isna(m_us) else int(m_us)
-            result = pd.DataFrame(out, columns=["shipment_id", SLICE, "_in", "_in_s", "_in_us"])
-            result["_in"] = result["_in"].astype("float64")
-            result["_in_us"] = pd.array(result["_in_us"].tolist(), dtype="Int64")
-            yield result
-
-    starts = ends.repartition(*SHIP).sortWithinPartitions(*SHIP, SLICE).mapInPandas(
-        chain, f"shipment_id string, {SLICE} bigint, _in double, _in_s bigint, _in_us bigint"
+                    current, last_us, speed, moved_s, moved_us = ship, None, None, 0, None
+                gap_s = 0.0 if last_us is None else (first_us - last_us) / MICROS
+                if first_kph is not None:
+                    weight = 1.0 - 2.0 ** (-gap_s / half_life)
+                    speed = first_kph if speed is None else speed + weight * (first_kph - speed)
+                    moved_s += int(gap_s)
+                out.append((ship, piece, gap_s, speed, moved_s, moved_us))
+                start = seed if speed is None else speed
+                speed = None if start is None else 2.0**-age * (start + pull)
+                moved_s, moved_us, last_us = moved_s + m_s, moved_us if m_us is None else m_us, end_us
+            types = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types],
+                names=["shipment_id", SLICE, "_gap1", "_in", "_in_s", "_in_us"],
+            )
+
+    ends_columns = ends.columns
+    starts = ends.repartition(*SHIP).sortWithinPartitions(*SHIP, SLICE).mapInArrow(
+        chain, f"shipment_id string, {SLICE} bigint, _gap1 double, _in double, _in_s bigint, _in_us bigint"
     )
-    start = F.coalesce(F.when(~F.isnan("_in"), F.col("_in")), F.col("_seed"))
-    learned = F.when(start.isNotNull(), F.pow(F.lit(2.0), -F.col("_age")) * (start + F.col("_pull")))
+    start = F.coalesce("_in", "_seed")
     return (
         df.join(starts, [*SHIP, SLICE])
-        .withColumn("learned_kph", learned)
+        .withColumn("gap_s", F.coalesce("_gap", "_gap1"))
+        .withColumn("learned_kph", F.when(start.isNotNull(), F.pow(F.lit(2.0), -F.col("_age")) * (start + F.col("_pull"))))
         .withColumn("moving_s", F.least(F.lit(params.warm_seconds).cast("bigint"), F.col("_in_s") + F.col("_moved_s")))
         .withColumn("last_moving_us", F.coalesce("_moved_us", "_in_us"))
-        .drop("_prev_us", "_moving", "_halves", "_age", "_pull", "_seed", "_moved_s", "_moved_us", "_in", "_in_s", "_in_us")
+        .select(*track.columns, "gap_s", "learned_kph", "moving_s", "last_moving_us")
     )
 
 
@@ -143,8 +155,9 @@ def estimates(track: DataFrame, sides: DataFrame, visited: DataFrame, stops: Dat
         "shipment_id", "stop_id", SLICE, "occurred_us", "event_id", "estimate_us",
         round_half_up(F.col("road_km"), 3).alias("remaining_km"), "confidence",
     )
+    # the chain reads its input twice
     chained = slices.greedy_chain(
-        slim, ["shipment_id", "stop_id"], "occurred_us", "estimate_us", params.publish_seconds * MICROS
+        stage(slim, "eta-candidates"), ["shipment_id", "stop_id"], "occurred_us", "estimate_us", params.publish_seconds * MICROS
     )
     return chained.where("kept").select(
         "shipment_id",

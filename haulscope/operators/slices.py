@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -164,26 +163,35 @@ def _chain_table(values: np.ndarray, threshold: int):
     return pieces, int(leaving[0])
 
 
-def _groups(batches, keys: Sequence[str]):
-    """Walk sorted pandas batches group by group; a group may cross batch borders."""
-    held: list[pd.DataFrame] = []
-    held_key = None
+def _record_batch(rows: list[tuple], kind: T.StructType) -> pa.RecordBatch:
+    names = [f.name for f in kind.fields]
+    types = [_ARROW[f.dataType.simpleString()] for f in kind.fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def _runs_of_keys(batches, keys: Sequence[str], value: str):
+    """(key, values) per group of sorted Arrow batches; a group may cross batch borders."""
+    held_key, held = None, []
     for batch in batches:
-        if batch.empty:
+        if batch.num_rows == 0:
             continue
-        codes = batch[list(keys)].ne(batch[list(keys)].shift()).any(axis=1).to_numpy()
-        starts = np.nonzero(codes)[0]
-        bounds = np.append(starts, len(batch))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            piece = batch.iloc[a:b]
-            key = tuple(piece.iloc[0][k] for k in keys)
-            if held and key != held_key:
-                yield held_key, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            held_key = key
-            held.append(piece)
+        columns = [batch.column(k).to_pylist() for k in keys]
+        values = batch.column(value).to_numpy(zero_copy_only=False)
+        ids = list(zip(*columns))
+        start = 0
+        for i in range(1, len(ids) + 1):
+            if i == len(ids) or ids[i] != ids[start]:
+                if held and ids[start] != held_key:
+                    yield held_key, np.concatenate(held)
+                    held = []
+                held_key = ids[start]
+                held.append(values[start:i])
+                start = i
     if held:
-        yield held_key, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield held_key, np.concatenate(held)
 
 
 def greedy_chain(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold: int) -> DataFrame:
@@ -193,38 +201,40 @@ def greedy_chain(df: DataFrame, keys: Sequence[str], order: str, value: str, thr
     """
     keys = list(keys)
     within = [*keys, SLICE]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*within).schema)
+    key_fields = [df.schema[k] for k in within]
+    longs = T.ArrayType(T.LongType())
+    summary_type = T.StructType(
+        [*key_fields, *[T.StructField(n, longs) for n in ("lo", "hi", "out")], T.StructField("first_out", T.LongType())]
+    )
 
     def tables(batches):
         rows = []
-        for key, group in _groups(batches, within):
-            pieces, first = _chain_table(group[value].to_numpy(dtype=np.int64), threshold)
+        for key, values in _runs_of_keys(batches, within, value):
+            pieces, first = _chain_table(values, threshold)
             rows.append((*key, [p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], first))
             if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=[*within, "lo", "hi", "out", "first_out"])
+                yield _record_batch(rows, summary_type)
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=[*within, "lo", "hi", "out", "first_out"])
+            yield _record_batch(rows, summary_type)
 
     def entering(batches):
         current, state = None, None
         for batch in batches:
+            ids = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            ranges = zip(*[batch.column(c).to_pylist() for c in ("lo", "hi", "out")])
             enter = []
-            for row in batch.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
+            for key, (lows, highs, outs), first in zip(ids, ranges, batch.column("first_out").to_pylist()):
                 if key != current:
                     current, state = key, None
                 enter.append(state)
                 if state is None:
-                    state = int(row.first_out)
+                    state = first
                 else:
-                    for lo, hi, out in zip(row.lo, row.hi, row.out):
-                        if lo <= state <= hi:
-                            state = int(out)
-                            break
-            result = batch[within].copy()
-            result["_enter"] = pd.array(enter, dtype="Int64")
-            yield result
+                    state = next((out for lo, hi, out in zip(lows, highs, outs) if lo <= state <= hi), state)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in within], pa.array(enter, pa.int64())], names=[*within, "_enter"]
+            )
 
     def decide(batches):
         current, state = None, None
@@ -253,10 +263,12 @@ def greedy_chain(df: DataFrame, keys: Sequence[str], order: str, value: str, thr
         .repartition(*within)
         .sortWithinPartitions(*within, order)
         .select(*within, value)
-        .mapInPandas(tables, f"{key_ddl}, lo array<bigint>, hi array<bigint>, out array<bigint>, first_out bigint")
+        .mapInArrow(tables, summary_type)
     )
     starts = (
-        summary.repartition(*keys).sortWithinPartitions(*keys, SLICE).mapInPandas(entering, f"{key_ddl}, _enter bigint")
+        summary.repartition(*keys)
+        .sortWithinPartitions(*keys, SLICE)
+        .mapInArrow(entering, T.StructType([*key_fields, T.StructField("_enter", T.LongType())]))
     )
     return (
         df.join(starts, within)

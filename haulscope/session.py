@@ -36,7 +36,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used where several branches of one result need the same expensive input. Unlike a cache the
     table survives lost executors, cuts the lineage, and each branch reads only its own columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """Unused path for a table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
