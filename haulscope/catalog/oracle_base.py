@@ -216,7 +216,7 @@ part(
     {up("""least(1.0::DOUBLE, greatest(0.05::DOUBLE, (0.2::DOUBLE + 0.8::DOUBLE * least(1.0::DOUBLE, moving_s / 900.0::DOUBLE))
       * exp(-gap_s / 900.0::DOUBLE)
       * exp(-greatest(0.0::DOUBLE, coalesce((occurred_us - last_moving_us) / 1000000.0::DOUBLE, 0.0::DOUBLE)) / 1800.0::DOUBLE)
-      * coalesce(greatest(0.0::DOUBLE, 1 - accuracy_m / 500.0::DOUBLE), 1.0::DOUBLE)))""", 2)} AS confidence
+      * CASE WHEN accuracy_m IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - accuracy_m / 500.0::DOUBLE) END))""", 2)} AS confidence
   FROM chain WHERE kept""",
 )
 

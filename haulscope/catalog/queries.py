@@ -18,9 +18,10 @@ from haulscope.functions.timeparts import day_text, int_div, hour_start_us, hour
 from haulscope.model.contracts import CONTRACTS
 from haulscope.model.params import MICROS
 from haulscope.operators import asof, conditions, contracts, eta, geofence, manifests, positions, reconcile, slices
-from haulscope.plans import archive, events as ev, fleet as fleet_plan, ingest, reference
-from haulscope.session import shared_folder, stage
+from haulscope.plans import archive, events as ev, fleet as fleet_plan, ingest, live, reference
+from haulscope.session import new_table, stage
 from haulscope.sources import plan
+from haulscope.streaming import flows, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -436,6 +437,28 @@ def recent_incidents(run: Run) -> DataFrame:
     return tidy(conditions.recent_incidents(run.incidents, params=run.params))
 
 
+@query(
+    f"""SELECT event_id, {up('temp_c - setpoint_c', 6)} AS deviation, breach, {up('excess', 6)} AS excess, {up('threshold', 6)} AS breached_bound
+  FROM reading JOIN (SELECT event_id, temp_c, setpoint_c FROM track) USING (event_id)"""
+)
+def temperature_bands(run: Run) -> DataFrame:
+    """Every reading against its band."""
+    readings = run.track.where("temp_c IS NOT NULL")
+    df = conditions.band_of(conditions.with_terms(readings, run.terms), run.params)
+    return tidy(df.select("event_id", "deviation", "breach", "excess", F.col("threshold").alias("breached_bound")))
+
+
+@query(
+    """SELECT shipment_id, count(*) AS instants, max(occurred_us) AS last_us FROM (SELECT shipment_id, occurred_us FROM fixes
+    UNION SELECT shipment_id, arrived_us FROM visit UNION SELECT shipment_id, departed_us FROM visit WHERE departed_us IS NOT NULL) GROUP BY shipment_id"""
+)
+def sightings(run: Run) -> DataFrame:
+    """Positions, arrivals and departures as one set of signs of life."""
+    derived = geofence.visit_events(run.visits)
+    seen = conditions.sightings(run.fixes, derived, params=run.params)
+    return seen.groupBy("shipment_id").agg(F.count(F.lit(1)).alias("instants"), F.max("occurred_us").alias("last_us"))
+
+
 # --- fleet read models ---------------------------------------------------------------------------
 
 part(
@@ -772,7 +795,7 @@ def _archived(run: Run) -> DataFrame:
 )
 def archive_layout(run: Run) -> DataFrame:
     """Records per topic and hour after a round trip through the archive; replayed copies are left out."""
-    path = f"{shared_folder(run.spark)}/archive-{_fresh()}"
+    path = new_table(run.spark, "archive")
     archive.write(archive_fixtures.position_records(run.fixes), path)
     schema = f"record_topic string, {archive.RECORD_SCHEMA}, topic string, dt string, hour string"
     return run.spark.read.schema(schema).json(path).groupBy("topic", "dt", "hour").agg(
@@ -780,15 +803,9 @@ def archive_layout(run: Run) -> DataFrame:
     )
 
 
-def _fresh() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 def _misfiled(run: Run) -> str:
     """Position archive in which every 101st record lies an hour too late."""
-    path = f"{shared_folder(run.spark)}/archive-{_fresh()}"
+    path = new_table(run.spark, "archive")
     records = archive.skip_replayed(archive_fixtures.position_records(run.fixes))
     shift = F.when(F.col("offset") % 101 == 0, 3600 * MICROS).otherwise(0)
     laid = archive.layout(records.withColumn("_at", F.col("timestamp_us")).withColumn("timestamp_us", F.col("timestamp_us") + shift))
@@ -1035,3 +1052,157 @@ def snapshot_sync(run: Run) -> DataFrame:
     old = run.shipments.where(user % 4 != 1).select("shipment_id", F.lit("old").alias("movement"), (user * 2).alias("seen"))
     snapshot = run.shipments.where(user % 7 != 0).select("shipment_id", F.concat(F.lit("m"), (user % 3).cast("string")).alias("movement"))
     return reference.replace_snapshot(old, snapshot, "shipment_id", keep=["seen"])
+
+
+# --- streaming: the same answers from micro-batches ----------------------------------------------
+
+
+def _fix_stream(run: Run, *columns: str) -> DataFrame:
+    """The fixes as a stream of files."""
+    fixes = run.fixes.select(*columns)
+    path = new_table(run.spark, "fix-stream")
+    fixes.write.parquet(path)
+    return flows.file_source(run.spark, path, fixes.schema)
+
+
+TRACK_COLUMNS = ("event_id", "shipment_id", "lane", "occurred_us", "lat", "lon", "speed_kph", "accuracy_m")
+
+
+@query(ORACLES["geofence_events"])
+def stream_geofence_events(run: Run) -> DataFrame:
+    derived = flows.run_to_table(tracking.derived_events(_fix_stream(run, *TRACK_COLUMNS), run.plans, run.params), "derived")
+    return derived.where("type <> 'eta.updated'").select("shipment_id", "stop_id", "type", "event_id", "occurred_us", "caused_by", "dwell_s")
+
+
+@query(ORACLES["eta_updates"])
+def stream_eta_updates(run: Run) -> DataFrame:
+    derived = flows.run_to_table(tracking.derived_events(_fix_stream(run, *TRACK_COLUMNS), run.plans, run.params), "derived")
+    return derived.where("type = 'eta.updated'").select(
+        "shipment_id", "stop_id", "event_id", "caused_by", "occurred_us", "estimate_us", "previous_us", "remaining_km", "confidence"
+    )
+
+
+@query(
+    f"""SELECT shipment_id, 'ROUTE_DEVIATION' AS rule, 'raised' AS change, onset_us, raised_us AS at_us, raised_by AS caused_by, NULL::VARCHAR AS recovery FROM astray_incident
+  UNION ALL SELECT shipment_id, 'ROUTE_DEVIATION', 'cleared', onset_us, cleared_us, cleared_by, resolution FROM astray_incident WHERE cleared_us IS NOT NULL"""
+)
+def stream_route_deviations(run: Run) -> DataFrame:
+    fixes = _fix_stream(run, *TRACK_COLUMNS).join(F.broadcast(run.plans), "lane")
+    km = positions.off_plan_km(F.col("lat"), F.col("lon"), F.col("legs"))
+    usable = F.coalesce(F.col("accuracy_m") <= run.params.rule_accuracy_m, F.lit(True))
+    rows = fixes.withColumn("excess", km).select(
+        "shipment_id", F.lit("ROUTE_DEVIATION").alias("rule"), "occurred_us", "event_id",
+        F.when(usable, F.col("excess") > run.params.corridor_km).alias("breach"),
+        F.lit(run.params.deviation_seconds * MICROS).alias("hold_us"), "excess", F.lit("BACK_ON_ROUTE").alias("recovery"),
+    )
+    return flows.run_to_table(tracking.sustained_changes(rows), "deviations").drop("worst")
+
+
+part(
+    "silence_gap",
+    """SELECT shipment_id, onset_us, cleared_us, CAST(raised_by AS VARCHAR) AS raised_by, CAST(cleared_by AS VARCHAR) AS cleared_by FROM (
+    SELECT shipment_id, occurred_us AS cleared_us, event_id AS cleared_by, lag(occurred_us) OVER w AS onset_us, lag(event_id) OVER w AS raised_by
+    FROM track WINDOW w AS (PARTITION BY shipment_id ORDER BY occurred_us)) WHERE cleared_us - onset_us >= 1800000000""",
+)
+
+
+@query(
+    """SELECT shipment_id, 'raised' AS change, onset_us, onset_us + 1800000000 AS at_us, raised_by AS caused_by FROM silence_gap
+  UNION ALL SELECT shipment_id, 'cleared', onset_us, cleared_us, cleared_by FROM silence_gap
+  UNION ALL SELECT shipment_id, 'raised', last_us, last_us + 1800000000, CAST(last_id AS VARCHAR) FROM (
+    SELECT shipment_id, max(occurred_us) AS last_us, arg_max(event_id, occurred_us) AS last_id FROM track GROUP BY shipment_id)
+  WHERE last_us + 1800000000 <= (SELECT max(occurred_us) FROM track)"""
+)
+def stream_signal_loss(run: Run) -> DataFrame:
+    """Silences by event-time timers; with no watermark delay the last ones show as in batch."""
+    sightings = _fix_stream(run, "shipment_id", "occurred_us", "event_id")
+    return flows.run_to_table(tracking.silence_changes(sightings, "0 seconds", run.params), "silence")
+
+
+@query(ORACLES["dedup_events"])
+def stream_dedup(run: Run) -> DataFrame:
+    fixes = run.fixes.select("event_id", "shipment_id", "received_us")
+    repeats = fixes.where("event_id % 37 = 0")
+    path = new_table(run.spark, "repeats")
+    fixes.unionByName(repeats).write.parquet(path)
+    return flows.run_to_table(flows.dedup_stream(flows.file_source(run.spark, path, fixes.schema)), "dedup")
+
+
+@query(ORACLES["current_position"])
+def stream_current_position(run: Run) -> DataFrame:
+    stream = _fix_stream(run, *run.fixes.columns)
+    current = flows.current_positions(stream)
+    path = new_table(run.spark, "current")
+    flows.run_batches(current, "current", flows.upsert_current(path), "update")
+    return tidy(flows.latest_version(run.spark, path, current.schema).select(*run.fixes.columns))
+
+
+@query(ORACLES["archive_layout"])
+def stream_archive(run: Run) -> DataFrame:
+    """The hourly archive written from a stream of log records."""
+    records = archive_fixtures.position_records(run.fixes)
+    source, path = new_table(run.spark, "records"), new_table(run.spark, "archive")
+    records.write.parquet(source)
+    flows.archive_stream(flows.file_source(run.spark, source, records.schema), path)
+    schema = f"record_topic string, {archive.RECORD_SCHEMA}, topic string, dt string, hour string"
+    return run.spark.read.schema(schema).json(path).groupBy("topic", "dt", "hour").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("partition").alias("partitions")
+    )
+
+
+@query(
+    """SELECT 'position' AS type, shipment_id, occurred_us AS at_us, vehicle_id AS vehicle FROM pos_record WHERE NOT cut AND event_id % 47 <> 0
+  UNION ALL SELECT 'position', shipment_id, occurred_us, vehicle_id FROM fixes WHERE event_id % 53 = 0 AND event_id % 41 <> 0 AND event_id % 47 <> 0"""
+)
+def stream_live_feed(run: Run) -> DataFrame:
+    records = archive_fixtures.position_records(run.fixes)
+    source = new_table(run.spark, "records")
+    records.write.parquet(source)
+    feed = flows.run_to_table(flows.live_feed(flows.file_source(run.spark, source, records.schema)), "live")
+    return feed.select("type", "shipment_id", "at_us", F.get_json_object("payload", "$.vehicleId").alias("vehicle"))
+
+
+def _live_updates(run: Run) -> DataFrame:
+    """Positions, visits, estimates and silences as typed updates."""
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = lambda kind, at, speed, stop, eta_us, exc: [
+        "shipment_id", kind.alias("type"), at.alias("at_us"), speed.alias("speed_kph"), stop.alias("stop_id"), eta_us.alias("estimate_us"), exc.alias("exception_id"),
+    ]
+    c, s, d, b = F.col, none("string"), none("double"), none("bigint")
+    stops = geofence.visit_events(run.staged_visits)
+    word = F.when(c("type") == "shipment.arrived", "arrived").otherwise("departed")
+    quiet = conditions.incident_events(run.quiet())
+    return (
+        run.staged_track.select(*columns(F.lit("position"), c("occurred_us"), c("speed_kph"), s, b, s))
+        .union(stops.select(*columns(word, c("occurred_us"), d, c("stop_id"), b, s)))
+        .union(run.staged_estimates.select(*columns(F.lit("estimate"), c("occurred_us"), d, c("stop_id"), c("estimate_us"), s)))
+        .union(quiet.select(*columns(c("event_type"), c("occurred_us"), d, s, b, c("exception_id"))))
+    )
+
+
+@query(
+    """SELECT s.shipment_id, CASE WHEN p.at_us IS NOT NULL AND (v.at_us IS NULL OR p.at_us > v.at_us) THEN CASE WHEN v.word = 'arrived' THEN 'AT_STOP' WHEN p.speed_kph >= 5 THEN 'MOVING' ELSE 'STOPPED' END
+      WHEN v.word = 'arrived' THEN 'AT_STOP' ELSE 'STOPPED' END AS movement,
+    least(z.total, coalesce(v.arrivals, 0)) AS stops_completed, e.estimate_us, coalesce(i.open_incidents, 0) AS open_incidents,
+    p.n + coalesce(v.n, 0) + coalesce(e.n, 0) + coalesce(i.n, 0) AS applied
+  FROM (SELECT shipment_id, any_value(lane) AS lane FROM fixes GROUP BY shipment_id) s JOIN (SELECT lane, s AS total FROM lane_size) z USING (lane)
+  JOIN (SELECT lane, stop_id AS origin FROM lane_stop WHERE seq = 1) o USING (lane)
+  JOIN (SELECT shipment_id, count(*) AS n, max(occurred_us) AS at_us, arg_max(speed_kph, occurred_us) AS speed_kph FROM track GROUP BY shipment_id) p USING (shipment_id)
+  LEFT JOIN (SELECT shipment_id, count(*) AS n, count(*) FILTER (WHERE word = 'arrived') AS arrivals, max(at_us) AS at_us, arg_max(word, at_us) AS word FROM (
+      SELECT shipment_id, arrived_us AS at_us, 'arrived' AS word FROM visit UNION ALL SELECT shipment_id, departed_us, 'departed' FROM visit WHERE departed_us IS NOT NULL) GROUP BY shipment_id) v USING (shipment_id)
+  LEFT JOIN (SELECT shipment_id, count(*) AS n, arg_max(estimate_us, occurred_us) AS estimate_us FROM eta JOIN (SELECT stop_id FROM lane_stop WHERE seq = 1) USING (stop_id) GROUP BY shipment_id) e USING (shipment_id)
+  LEFT JOIN (SELECT shipment_id, count(*) + count(cleared_us) AS n, count(*) FILTER (WHERE cleared_us IS NULL) AS open_incidents FROM quiet_incident GROUP BY shipment_id) i USING (shipment_id)"""
+)
+def live_fold(run: Run) -> DataFrame:
+    """A day's updates folded into an empty snapshot whose next stop is the second of the plan."""
+    second = run.stops.where("seq = 1").select("lane", F.col("stop_id").alias("next_stop_id"))
+    sizes = run.plans.select("lane", F.size("stops").cast("bigint").alias("stops_total"))
+    snapshot = run.shipments.join(second, "lane").join(sizes, "lane").select(
+        "shipment_id", F.lit("STOPPED").alias("movement"), F.lit(0).cast("bigint").alias("stops_completed"), "stops_total", "next_stop_id"
+    )
+    return live.fold(snapshot, stage(_live_updates(run), "updates"), run.params)
+
+
+@query("SELECT exception_id, shipment_id, cleared_us AS at_us FROM quiet_incident WHERE cleared_us IS NOT NULL ORDER BY cleared_us DESC, exception_id LIMIT 40")
+def resolved_incidents(run: Run) -> DataFrame:
+    return live.resolved(_live_updates(run))

@@ -106,25 +106,33 @@ def with_terms(track: DataFrame, terms: DataFrame) -> DataFrame:
     return track.join(slices.spread(terms, track, SHIP), [*SHIP, SLICE], "left")
 
 
-def temperature_excursions(readings: DataFrame, terms: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Readings outside the agreed band, or outside setpoint +- tolerance where no band was agreed."""
-    df = with_terms(readings, terms.select("shipment_id", "min_c", "max_c", "tolerance_s"))
+def band_of(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Adds the band a reading is judged by (low, high, agreed), its deviation and how far it is outside."""
     agreed = F.col("min_c").isNotNull() & F.col("max_c").isNotNull()
     low = F.when(agreed, F.col("min_c")).otherwise(F.col("setpoint_c") - params.setpoint_tolerance_c)
     high = F.when(agreed, F.col("max_c")).otherwise(F.col("setpoint_c") + params.setpoint_tolerance_c)
     c = F.col("temp_c")
+    return df.withColumns({"low": low, "high": high, "agreed": agreed}).withColumns(
+        {
+            "deviation": c - F.col("setpoint_c"),
+            "breach": ~c.between(F.col("low"), F.col("high")),
+            "excess": F.greatest(c - F.col("high"), F.col("low") - c, F.lit(0.0)),
+            "threshold": F.when(c > F.col("high"), F.col("high")).when(c < F.col("low"), F.col("low")),
+        }
+    )
+
+
+def temperature_excursions(readings: DataFrame, terms: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Readings outside the agreed band, or outside setpoint +- tolerance where no band was agreed."""
+    df = band_of(with_terms(readings, terms.select("shipment_id", "min_c", "max_c", "tolerance_s")), params)
     df = (
-        df.withColumns({"low": low, "high": high, "agreed": agreed})
-        .withColumn("breach", ~c.between(F.col("low"), F.col("high")))
-        .withColumn(
+        df.withColumn(
             "hold_us",
             F.when(F.col("agreed"), F.coalesce("tolerance_s", F.lit(params.excursion_seconds)))
             .otherwise(F.lit(params.excursion_seconds))
             .cast("bigint") * MICROS,
         )
-        .withColumn("excess", F.greatest(c - F.col("high"), F.col("low") - c, F.lit(0.0)))
-        .withColumn("observed", c)
-        .withColumn("threshold", F.when(c > F.col("high"), F.col("high")).when(c < F.col("low"), F.col("low")))
+        .withColumn("observed", F.col("temp_c"))
         .withColumn("severity", F.when(F.col("agreed"), "CRITICAL").otherwise("WARNING"))
         .withColumn("recovery", F.lit("RECOVERED"))
         .withColumn("start_value", F.struct("agreed", "min_c", "max_c"))
@@ -384,6 +392,20 @@ def signal_loss(
     )
 
 
+def sightings(*kinds: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Events of every kind as "heard from": one row per shipment and instant, the lowest id of each.
+
+    Each input has shipment_id, occurred_us and event_id. Aggregated before any window, so repeats
+    of one instant shrink map-side.
+    """
+    rows = None
+    for df in kinds:
+        part = df.select("shipment_id", "occurred_us", F.col("event_id").cast("string").alias("event_id"))
+        rows = part if rows is None else rows.unionByName(part)
+    sliced = slices.with_slice(rows, "occurred_us", params.slice_seconds)
+    return sliced.groupBy("shipment_id", SLICE, "occurred_us").agg(F.min("event_id").alias("event_id"))
+
+
 def incident_events(incidents: DataFrame) -> DataFrame:
     """exception.raised and exception.cleared events of an incident table."""
     raised = F.struct(

@@ -116,8 +116,9 @@ def confidence(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.lit(1.0), F.col("moving_s") / float(params.warm_seconds)
     )
     still_s = F.coalesce((F.col("occurred_us") - F.col("last_moving_us")) / float(MICROS), F.lit(0.0))
-    accuracy = F.coalesce(
-        F.greatest(F.lit(0.0), 1.0 - F.col("accuracy_m") / params.accuracy_floor_m), F.lit(1.0)
+    # greatest() skips nulls, so the missing accuracy is decided first
+    accuracy = F.when(F.col("accuracy_m").isNull(), 1.0).otherwise(
+        F.greatest(F.lit(0.0), 1.0 - F.col("accuracy_m") / params.accuracy_floor_m)
     )
     product = (
         warmth
