@@ -10,7 +10,7 @@ from haulscope.fixtures import feeds as feed_fixtures, fleet, manifests as manif
 from haulscope.functions import ids
 from haulscope.functions.text import lane_code, round_half_up
 from haulscope.model.params import DEFAULT, Params
-from haulscope.operators import conditions, eta, geofence, manifests, positions
+from haulscope.operators import conditions, eta, geofence, manifests, positions, slices
 from haulscope.plans import fleet as fleet_plan, ingest
 from haulscope.session import prepare, stage
 from haulscope.sources import plan
@@ -79,7 +79,9 @@ class Run:
 
     @cached_property
     def staged_sides(self) -> DataFrame:
-        return stage(geofence.fix_stop_sides(self.staged_track, self.stops, self.params), "sides")
+        # shuffle the fixes, not the four times as many (fix, stop) pairs
+        track = self.staged_track.repartition("shipment_id", slices.SLICE)
+        return stage(geofence.fix_stop_sides(track, self.stops, self.params), "sides")
 
     @cached_property
     def staged_visits(self) -> DataFrame:
