@@ -1,11 +1,13 @@
 """Every registered query against its SQL twin in DuckDB."""
 
+import functools
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from haulscope.catalog import queries as catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -20,6 +22,14 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs():
+    """All queries of this sweep share one set of staged inputs."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(catalog, "Run", functools.cache(catalog.Run))
+        yield
+
+
 def plain(value):
     if isinstance(value, float) and math.isnan(value):
         return None
