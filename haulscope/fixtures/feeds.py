@@ -75,7 +75,7 @@ def _interchanges(fixes: DataFrame) -> DataFrame:
         _cat("SE*", segments, "*", F.when((kind == 3) & (position == 1), "9999").otherwise(control), "~\n")
     )
     text = _cat(
-        "ST*214*", control, "~\nB10*", e, "*", F.col("shipment_id"), "*FLTX~\nLX*1~\nAT7*", code, "*", why, "***",
+        "ST*214*", control, "~\nB10*", e, "*", F.col("shipment_id"), "*CARR~\nLX*1~\nAT7*", code, "*", why, "***",
         F.date_format(local, "yyyyMMdd"), "*", F.date_format(local, "HHmm"), "*", zone, "~\n", place, trailer,
     )
     grouped = (
@@ -90,8 +90,8 @@ def _interchanges(fixes: DataFrame) -> DataFrame:
     )
     kind = F.col("number") % 8
     body = _cat(
-        "ISA*00*          *00*          *02*CARRIER01      *ZZ*FLEETTRACK     *260903*2048*U*00401*", F.col("number"),
-        "*0*P*>~\nGS*QM*CARRIER01*FLEETTRACK*20260903*2048*101*X*004010~\n", F.col("sets"), "GE*",
+        "ISA*00*          *00*          *02*CARRIER01      *ZZ*RECEIVER01     *260903*2048*U*00401*", F.col("number"),
+        "*0*P*>~\nGS*QM*CARRIER01*RECEIVER01*20260903*2048*101*X*004010~\n", F.col("sets"), "GE*",
         F.when(kind == 1, F.col("n") + 1).otherwise(F.col("n")), "*101~\n",
         F.when(kind == 0, F.lit("")).otherwise(_cat("IEA*1*", F.col("number"), "~\n")),
     )
