@@ -23,10 +23,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: spark.checkpoint.dir, or a new one where none is configured."""
+    """Folder all executors can reach: spark.checkpoint.dir.
+
+    Where none is configured, a run inside this one process makes a temporary one; on a cluster
+    executors would write to their own disks, so that is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="haulscope-")
         context.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/haulscope-{context.applicationId}"
