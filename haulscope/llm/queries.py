@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from haulscope.llm import topk
+from haulscope.llm.caps import op10_cap_links
 from haulscope.llm.mixing import op4_mix_sources
 from haulscope.llm.packing import op3_pack_sequences
 from haulscope.llm.topk import op1_top_k
@@ -15,5 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_mix_sources": op4_mix_sources,
+    "op10_cap_links": op10_cap_links,
 }
 ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE}
