@@ -133,3 +133,82 @@ def components(edges: DataFrame) -> DataFrame:
             smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
             return labels.join(smallest, "label").select("node", "component")
     raise RuntimeError("components did not settle")
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow column of strings; a null has no bytes."""
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows with about ``most`` bytes of text; a longer text is a slice of its own."""
+    if not batch.num_rows:
+        return
+    _, at = flat_bytes(batch.column(column))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, side="right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many spans at once, eight bytes a step."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    length = ends - starts
+    out = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    todo, done = np.arange(len(starts)), 0
+    while len(todo):
+        part = np.ascontiguousarray(eight[starts[todo] + done]).view("<u8").reshape(-1)
+        left = np.minimum(length[todo] - done, 8).astype(np.uint64)
+        part = part & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - left) * np.uint64(8)))
+        out[todo] = mixed(out[todo] ^ part)
+        done += 8
+        todo = todo[length[todo] > done]
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def word_hashes(column: pa.Array, strip: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words of every row) with A-Z lower-cased; ``strip`` bytes go from the ends of a word."""
+    data, at = flat_bytes(column)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
+    data = _LOWER[data]
+    solid = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    first = solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:-1]
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    counts = np.searchsorted(starts, at[1:]) - np.searchsorted(starts, at[:-1])
+    if strip:
+        odd = np.zeros(256, bool)
+        odd[list(strip)] = True
+        for _ in range(4):
+            starts = starts + (odd[data[starts]] & (ends - starts > 1))
+            ends = ends - (odd[data[ends - 1]] & (ends - starts > 1))
+    return hash_spans(data, starts, ends), counts
