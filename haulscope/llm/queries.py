@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulscope.llm import topk
+from haulscope.llm import lines, topk
 from haulscope.llm.caps import op10_cap_links
 from haulscope.llm.language import op9_language
+from haulscope.llm.lines import op2_line_dedup
 from haulscope.llm.mixing import op4_mix_sources
 from haulscope.llm.packing import op3_pack_sequences
 from haulscope.llm.topk import op1_top_k
@@ -16,10 +17,11 @@ from haulscope.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_line_dedup": op2_line_dedup,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_mix_sources": op4_mix_sources,
     "op6_toxicity": op6_toxicity,
     "op9_language": op9_language,
     "op10_cap_links": op10_cap_links,
 }
-ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op2_line_dedup": lines.ORACLE}
