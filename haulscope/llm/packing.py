@@ -22,9 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haulscope.llm.common import table, texts
+from haulscope.llm.common import by_bytes, flat_bytes, hash_spans, table
 from haulscope.session import stage
 
 CAPACITY = 1024
@@ -34,17 +35,18 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 8
 POPULATION = 5
-WORDS_KEPT = 400_000  # words whose ids a Python worker remembers
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LATIN = 0x250  # below this all Unicode versions agree on what is a letter, a digit or white space
 
 
 class Words:
-    """Token ids of texts, put together from remembered ids of space-separated words.
+    """Token ids of texts, a slice of documents at a time.
 
     In this vocabulary a space starts a token and never ends one, so a text whose words are single-spaced is
-    encoded word by word. Other texts, special tokens included, go to the tokenizer as they are.
+    encoded word by word: each different word of the slice once, all in one call, and ids are put together from
+    there. Words beyond Latin letters, texts with other spacing and those that hold a special token go to the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -58,39 +60,93 @@ class Words:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        # the same vocabulary and merges in a library that is faster on single words
+        # the same vocabulary and merges in a library that is faster on long lists of words
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def piece(self, text: str) -> bytes:
-        if text and ord(max(text)) >= LATIN:
-            return self.whole(text)
-        return np.array(self.fast.encode_ordinary(text), np.uint32).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Ids as bytes of unsigned 32-bit little-endian numbers."""
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        try:
-            return self.piece(first) + b"".join([known[w] for w in rest])
-        except KeyError:
-            pass
-        new = {w for w in rest if w not in known}
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in new) or first[-1:].isspace() or not first:
-            return self.whole(text)
-        if len(known) + len(new) > WORDS_KEPT:
-            known.clear()
-            new = set(rest)
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-                return self.whole(text)
-        for w in new:
-            known[w] = self.piece(" " + w)
-        return self.piece(first) + b"".join([known[w] for w in rest])
+        self.width = np.zeros(max(merges.values()) + 1, np.int64)
+        for token, rank in merges.items():
+            self.width[rank] = len(token)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _odd_rows(self, column: pa.Array, data: np.ndarray, at: np.ndarray, space: np.ndarray) -> np.ndarray:
+        """Rows that cannot be taken word by word."""
+        odd = np.zeros(len(at) - 1, bool)
+        for s in self.special:
+            odd |= pc.match_substring(column, s).fill_null(False).to_numpy(zero_copy_only=False)
+        # a space beside another white space, or at an end of the text
+        white = np.zeros(256, bool)
+        white[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+        end = np.zeros(len(data) + 1, bool)
+        end[at] = True
+        before, after = np.maximum(space - 1, 0), np.minimum(space + 1, len(data) - 1)
+        bad = end[space] | end[space + 1] | white[data[before]] | white[data[after]]
+        odd[np.searchsorted(at, space[bad], side="right") - 1] = True
+        return odd
+
+    def _encoded(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, end): ids of the words data[start:stop], each after the space before it, and where those of
+        a word are; -1 for a word that cannot stand alone."""
+        # a word with a byte from which LATIN or a wider white space may follow is taken by itself
+        rare = np.concatenate([[0], np.cumsum((data >= 0xC9) | (data == 0xC2))])
+        alone = rare[stop] > rare[start]
+        many = np.flatnonzero(~alone)
+        length = stop[many] - start[many] + 1
+        ends = np.cumsum(length)
+        at = np.repeat(start[many] - 1 - (ends - length), length) + np.arange(int(length.sum()))
+        ids = np.array(self.fast.encode_ordinary(data[at].tobytes().decode()), np.uint32)
+        cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+        begin, end = np.full(len(start), -1, np.int64), np.full(len(start), -1, np.int64)
+        begin[many], end[many] = np.concatenate([[0], cuts[:-1]]), cuts
+        more, n = [ids], len(ids)
+        for i in np.flatnonzero(alone):
+            w = data[start[i] : stop[i]].tobytes().decode()
+            if not w[0].isspace() and not w[-1].isspace():
+                more.append(self.whole(" " + w))
+                begin[i], n = n, n + len(more[-1])
+                end[i] = n
+        return np.concatenate(more), begin, end
+
+    def ids(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end`` after it; where those of each text start)."""
+        data, at = flat_bytes(column)
+        rows = len(at) - 1
+        space = np.flatnonzero(data == 0x20)
+        odd = self._odd_rows(column, data, at, space) if len(data) else np.zeros(rows, bool)
+        owner = np.searchsorted(at, space, side="right") - 1
+        good = ~odd[owner]
+        space, owner = space[good], owner[good]
+        # words that follow a space reach to the next one or to the text's end
+        follow = np.append(space[1:], len(data))
+        stop = np.minimum(follow, at[owner + 1])
+        texts_ = column.to_pylist()
+        parts: list[np.ndarray] = []
+        if len(space):
+            _, one, which = np.unique(hash_spans(data, space + 1, stop), return_index=True, return_inverse=True)
+            ids, begin, finish = self._encoded(data, space[one] + 1, stop[one])
+            odd[owner[begin[which] < 0]] = True
+            keep = ~odd[owner]
+            which, owner = which[keep], owner[keep]
+            counts = (finish - begin)[which]
+            source = np.repeat(begin[which] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            flat = ids[source]
+            bounds = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(owner, np.arange(rows + 1))]
+        else:
+            flat, bounds = np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
+        last = np.array([end], np.uint32)
+        for r in range(rows):
+            text = texts_[r] or ""
+            if odd[r]:
+                parts.append(self.whole(text))
+            else:
+                first = text.split(" ", 1)[0]
+                latin = first.isascii() or ord(max(first)) < LATIN
+                parts.append(np.array(self.fast.encode_ordinary(first), np.uint32) if latin else self.whole(first))
+                parts.append(flat[bounds[r] : bounds[r + 1]])
+            parts.append(last)
+        sizes = np.array([len(p) for p in parts])
+        where = np.cumsum([0] + [2 if o else 3 for o in odd])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])[where]
 
 
 @lru_cache(maxsize=2)
@@ -114,20 +170,22 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    coder, last = words(path, ranks), np.array([end], np.uint32).tobytes()
+    coder = words(path, ranks)
     for batch in batches:
-        out: list[tuple] = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-            ids = coder.ids(text) + last
-            for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                out.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        names = ("doc_id", "piece", "start", "length", "ids_crc32")
-        columns = zip(*out) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        for part in by_bytes(batch, "text", 8 << 20):
+            ids, at = coder.ids(part.column("text"), end)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            out: list[tuple] = []
+            for doc, low, high in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                for k, (start_, length) in enumerate(cut(high - low, capacity)):
+                    out.append((doc, k, start_, length, zlib.crc32(raw[4 * (low + start_) : 4 * (low + start_ + length)])))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            names = ("doc_id", "piece", "start", "length", "ids_crc32")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
 
 Bins = list[list[int]]
+Packing = tuple[Bins, list[int]]  # bins of documents and how full each bin is
 
 
 def best_fit(bins: Bins, fill: list[int], todo: list[int], length: list[int], capacity: int) -> None:
@@ -135,8 +193,9 @@ def best_fit(bins: Bins, fill: list[int], todo: list[int], length: list[int], ca
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0  # bit r is set while some bin has room r
     for b, f in enumerate(fill):
-        room[capacity - f].append(b)
-        mask |= 1 << (capacity - f)
+        if f < capacity:
+            room[capacity - f].append(b)
+            mask |= 1 << (capacity - f)
     for item in todo:
         n = length[item]
         above = mask >> n
@@ -152,61 +211,74 @@ def best_fit(bins: Bins, fill: list[int], todo: list[int], length: list[int], ca
             bins.append([item])
             fill.append(n)
         left = capacity - fill[b]
-        room[left].append(b)
-        mask |= 1 << left
+        if left:
+            room[left].append(b)
+            mask |= 1 << left
 
 
 def fitness(fill: list[int], capacity: int) -> float:
     """Fewer and less evenly filled bins are better: mean of squared fill."""
-    return sum(f * f for f in fill) / (len(fill) * capacity * capacity) if fill else 1.0
+    return sum([f * f for f in fill]) / (len(fill) * capacity * capacity) if fill else 1.0
 
 
-def crossover(one: Bins, other: Bins, length: list[int], capacity: int, rng: random.Random) -> Bins:
+def crossover(one: Packing, other: Packing, length: list[int], capacity: int, rng: random.Random) -> Packing:
     """Inject well-filled bins of ``other`` into ``one``, drop the bins they collide with, best-fit what falls out."""
-    ranked = sorted(range(len(other)), key=lambda b: (-sum(length[i] for i in other[b]), rng.random()))
+    given, full = other
+    ranked = sorted(range(len(given)), key=full.__getitem__, reverse=True)
     best = ranked[: max(1, len(ranked) // 2)]
-    injected = [other[b] for b in rng.sample(best, max(1, len(best) // 3))]
-    taken = {i for b in injected for i in b}
-    bins, displaced = [list(b) for b in injected], []
+    chosen = rng.sample(best, max(1, len(best) // 3))
+    bins, fill = [list(given[b]) for b in chosen], [full[b] for b in chosen]
+    taken = bytearray(len(length))
+    for b in bins:
+        for i in b:
+            taken[i] = 1
+    displaced: list[int] = []
     poor = capacity - capacity // 32
-    for b in one:
-        if taken.isdisjoint(b):
-            # a badly filled bin that stays would only repeat the parent: half of them are dissolved as well
-            if sum(length[i] for i in b) < poor and rng.random() < 0.5:
-                displaced += b
-            else:
-                bins.append(list(b))
+    for b, f in zip(*one):
+        hit = False
+        for i in b:
+            if taken[i]:
+                hit = True
+                break
+        # a badly filled bin that stays would only repeat the parent: half of them are dissolved as well
+        if hit:
+            displaced += [i for i in b if not taken[i]]
+        elif f < poor and rng.random() < 0.5:
+            displaced += b
         else:
-            displaced += [i for i in b if i not in taken]
-    displaced.sort(key=lambda i: (-length[i], i))
-    best_fit(bins, fill := [sum(length[i] for i in b) for b in bins], displaced, length, capacity)
-    return bins
+            bins.append(list(b))
+            fill.append(f)
+    displaced.sort()
+    displaced.sort(key=length.__getitem__, reverse=True)
+    best_fit(bins, fill, displaced, length, capacity)
+    return bins, fill
 
 
-def start(length: list[int], capacity: int, rng: random.Random, spread: float) -> Bins:
+def start(length: list[int], capacity: int, rng: random.Random, spread: float) -> Packing:
     """Best fit in falling order of length, disturbed by ``spread``."""
-    order = sorted(range(len(length)), key=lambda i: (-length[i] * (1 + spread * rng.random()), i))
+    keys = [n * (1 + spread * rng.random()) for n in length]
+    order = sorted(range(len(length)), key=keys.__getitem__, reverse=True)
     bins: Bins = []
-    best_fit(bins, [], order, length, capacity)
-    return bins
+    fill: list[int] = []
+    best_fit(bins, fill, order, length, capacity)
+    return bins, fill
 
 
-def evolve(population: list[Bins], length: list[int], capacity: int, rng: random.Random, generations: int) -> list[Bins]:
+def evolve(population: list[Packing], length: list[int], capacity: int, rng: random.Random, generations: int) -> list[Packing]:
     """The population after some generations, best first; the best never gets lost."""
-    score = lambda bins: fitness([sum(length[i] for i in b) for b in bins], capacity)
-    ranked = sorted(((score(b), k, b) for k, b in enumerate(population)), key=lambda x: (-x[0], x[1]))
+    ranked = sorted(((-fitness(p[1], capacity), k, p) for k, p in enumerate(population)), key=lambda x: x[:2])
     need = -(-sum(length) // capacity)
     made = len(ranked)
     for _ in range(generations):
-        if len(ranked[0][2]) <= need:
+        if len(ranked[0][2][0]) <= need:
             break  # nothing can be better
         parents = rng.sample(ranked, 2) if len(ranked) > 1 else [ranked[0], ranked[0]]
         for a, b in (parents, parents[::-1]):
             child = crossover(a[2], b[2], length, capacity, rng)
-            bisect.insort(ranked, (score(child), made, child), key=lambda x: (-x[0], x[1]))
+            bisect.insort(ranked, (-fitness(child[1], capacity), made, child), key=lambda x: x[:2])
             made += 1
         del ranked[POPULATION:]
-    return [b for _, _, b in ranked]
+    return [p for _, _, p in ranked]
 
 
 def _coded(bins: Bins, n: int) -> bytes:
@@ -237,12 +309,13 @@ def _island(batches: Iterator[pa.RecordBatch], epoch: int, capacity: int, genera
             length = np.frombuffer(lengths, np.int32).tolist()
             rng = random.Random(f"{shard} {island} {epoch}")
             if packings:
-                population = [_decoded(p) for p in packings] + ([_decoded(migrant)] if migrant is not None else [])
+                codes = [*packings, *([migrant] if migrant is not None else [])]
+                population = [(b, [sum([length[i] for i in x]) for x in b]) for b in map(_decoded, codes)]
             else:
                 population = [start(length, capacity, rng, 0.02 * island + 0.05 * k) for k in range(POPULATION)]
             population = evolve(population, length, capacity, rng, generations)
-            coded = [_coded(b, len(length)) for b in population]
-            score = fitness([sum(length[i] for i in b) for b in population[0]], capacity)
+            coded = [_coded(bins, len(length)) for bins, _ in population]
+            score = fitness(population[0][1], capacity)
             rows.append((shard, island, lengths, coded, coded[0], score))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.float64())
         names = ("shard", "island", "lengths", "packings", "elite", "score")
