@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulscope.llm import lines, topk
 from haulscope.llm.caps import op10_cap_links
+from haulscope.llm.chunks import op8_chunk_dedup
 from haulscope.llm.language import op9_language
 from haulscope.llm.lines import op2_line_dedup
 from haulscope.llm.mixing import op4_mix_sources
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op9_language": op9_language,
     "op10_cap_links": op10_cap_links,
 }

@@ -365,30 +365,38 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _spans(ids[later], versions[later], low[later], high[later], [None] * int(later.sum()))
 
 
+CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<low: long, high: long>>, kept binary"
+_CUT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.binary())
+
+
+def cut_out(doc: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple:
+    """A row of CUT: the document without the bytes of ``spans``, which may overlap."""
+    merged: list[list[int]] = []
+    for low, high in sorted(spans):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    kept, at = [], 0
+    for low, high in merged:
+        kept.append(data[at:low])
+        at = high
+    kept.append(data[at:])
+    return doc, len(data), sum(b - a for a, b in merged), [{"low": a, "high": b} for a, b in merged], b"".join(kept)
+
+
+def cut_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), _CUT_TYPES)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
+    )
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with intervals to (doc_id, n_bytes, n_removed, spans, kept)."""
+    """Documents with intervals to CUT."""
     for batch in batches:
         for part in by_bytes(batch, "text", 4 << 20):
-            out = []
-            for doc, text, spans in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                data = (text or "").encode()
-                merged: list[list[int]] = []
-                for low, high in sorted((s["low"], s["high"]) for s in spans or []):
-                    if merged and low <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], high)
-                    else:
-                        merged.append([low, high])
-                kept, at = [], 0
-                for low, high in merged:
-                    kept.append(data[at:low])
-                    at = high
-                kept.append(data[at:])
-                out.append((doc, len(data), sum(b - a for a, b in merged), [{"low": a, "high": b} for a, b in merged], b"".join(kept)))
-            span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()))],
-                ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-            )
+            columns = (part.column(c).to_pylist() for c in ("doc_id", "text", "spans"))
+            yield cut_batch([cut_out(d, t.encode(), [(s["low"], s["high"]) for s in spans or []]) for d, t, spans in zip(*columns)])
 
 
 def versioned(docs: DataFrame) -> DataFrame:
@@ -426,9 +434,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     rows = versioned(docs).withColumn("id", F.coalesce("doc_id", F.lit(_FIRST_ID).cast("long")))
     listed = spans.groupBy("id", "version").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     joined = rows.join(listed, ["id", "version"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<low: long, high: long>>, kept binary"
-    )
+    return joined.mapInArrow(_cut, CUT)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
