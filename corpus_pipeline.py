@@ -1,19 +1,86 @@
-"""From raw documents to packed training sequences, in five stages; each calls one operator of haulscope.llm."""
+"""From raw documents to packed training sequences, in five stages; each calls one operator of haulscope.llm.
+
+A stage works on every row its predecessor kept and returns the columns of documents, the last one packed pieces.
+Empty tables pass through; null and empty texts are handled as each operator's module says.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from haulscope.llm.common import ready, word_count
+from haulscope.llm.language import UNDETERMINED, identify, learn
+from haulscope.llm.lines import drop_repeats
+from haulscope.llm.mixing import mix
+from haulscope.llm.packing import pack
+from haulscope.llm.shingles import near_duplicates
 from haulscope.session import stage
 
-STAGES: list = []
+# bits per letter from which a text is like none of the languages; texts in one of them have 2 to 5
+FOREIGN = 6.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the labelled languages; those without a letter or unlike all of them go."""
+    ready(spark)
+    model = learn(docs.select("doc_id", "text", "lang"))
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    judged = identify(whole, model)
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits") < FOREIGN)).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of runs of lines; those of which no line is left go."""
+    ready(spark)
+    left = drop_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    some = left.where("n_removed = 0 OR n_removed < n_lines")
+    changed = F.col("n_removed") > 0
+    kept = some.select("row.*", F.col("text").alias("_text"), changed.alias("_changed"))
+    out = {"text": F.col("_text"), "n_chars": F.when(F.col("_changed"), F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))}
+    return kept.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Documents without words are not near copies of anything and stay; of rows equal in doc_id and text one stays.
+    """
+    ready(spark)
+    found = near_duplicates(docs.select("doc_id", "text"), words=5, least=(80, 100))
+    kept = found.where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ready(spark)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.struct("*").alias("row"))
+    mixed = mix(rows, F.col("words")).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most 1024 tokens."""
+    ready(spark)
+    return pack(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
 # language models and packing have no SQL form; tests hold each stage against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; what each returns is written and read again."""
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
     return docs

@@ -144,14 +144,15 @@ def _copies(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.int32())], [*batch.schema.names, "copies"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, slice_rows: int = SLICE) -> DataFrame:
-    """Each row of ``docs`` with size, source_size, target, rate (before rounding) and copies.
+def mix(
+    docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, slice_rows: int = SLICE
+) -> DataFrame:
+    """Each row of ``docs`` (doc_id, source, text) with size, source_size, target, rate (before rounding) and copies.
 
-    Select the columns wanted before the call, as all of them travel; ``size`` is taken from the input where it
-    is there already, else counted from ``text``.
+    Select the columns wanted before the call, as all of them travel; where ``size`` is given, ``text`` need not be
+    among them.
     """
-    if "size" not in docs.columns:
-        docs = docs.withColumn("size", word_count(F.col("text")))
+    docs = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
     docs = docs.drop("source_size", "target", "rate", "copies", "source_key", "_slice")
     # null apart from every text
     docs = docs.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
@@ -185,7 +186,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sli
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, sources weighing 5, 2, 1 in turn."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(docs).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    return mix(docs, F.col("words")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
     )

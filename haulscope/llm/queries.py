@@ -13,6 +13,7 @@ from haulscope.llm.language import op9_language
 from haulscope.llm.lines import op2_line_dedup
 from haulscope.llm.mixing import op4_mix_sources
 from haulscope.llm.packing import op3_pack_sequences
+from haulscope.llm.shingles import op5_ngram_join
 from haulscope.llm.suffixes import op7_suffix_dedup
 from haulscope.llm.topk import op1_top_k
 from haulscope.llm.toxicity import op6_toxicity
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_mix_sources": op4_mix_sources,
+    "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chunk_dedup": op8_chunk_dedup,
