@@ -428,8 +428,9 @@ part(
 )
 part(
     "quiet",
-    """SELECT shipment_id, onset_us, cleared_us, raised_by, cleared_by, cleared_us - onset_us AS quiet_us, 'REPORTING_AGAIN' AS resolution FROM (
-    SELECT shipment_id, occurred_us AS cleared_us, event_id AS cleared_by, lag(occurred_us) OVER w AS onset_us, lag(event_id) OVER w AS raised_by
+    """SELECT shipment_id, onset_us, cleared_us, raised_by, cleared_by, cleared_us - onset_us AS quiet_us,
+    CASE WHEN cleared_us = completed_us THEN 'SHIPMENT_COMPLETED' ELSE 'REPORTING_AGAIN' END AS resolution FROM (
+    SELECT shipment_id, completed_us, occurred_us AS cleared_us, event_id AS cleared_by, lag(occurred_us) OVER w AS onset_us, lag(event_id) OVER w AS raised_by
     FROM track LEFT JOIN completion USING (shipment_id) WHERE completed_us IS NULL OR occurred_us <= completed_us
     WINDOW w AS (PARTITION BY shipment_id ORDER BY occurred_us)) WHERE cleared_us - onset_us >= 1800000000
   UNION ALL

@@ -780,12 +780,12 @@ def _archived(run: Run) -> DataFrame:
     """All topics of the fleet's log."""
     fixes = stage(run.fixes, "fixes")
     visit_events = geofence.visit_events(run.staged_visits)
-    quiet = conditions.incident_events(run.quiet())
+    told = conditions.incident_events(run.staged_incidents)
     return (
         archive_fixtures.position_records(fixes)
         .unionByName(archive_fixtures.status_records(fixes))
         .unionByName(archive_fixtures.derived_records(visit_events))
-        .unionByName(archive_fixtures.exception_records(quiet))
+        .unionByName(archive_fixtures.exception_records(told))
     )
 
 
@@ -797,7 +797,7 @@ def archive_layout(run: Run) -> DataFrame:
     """Records per topic and hour after a round trip through the archive; replayed copies are left out."""
     path = new_table(run.spark, "archive")
     archive.write(archive_fixtures.position_records(run.fixes), path)
-    schema = f"record_topic string, {archive.RECORD_SCHEMA}, topic string, dt string, hour string"
+    schema = f"record_topic string, {archive.RECORD_SCHEMA}, dt string, hour string"
     return run.spark.read.schema(schema).json(path).groupBy("topic", "dt", "hour").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("partition").alias("partitions")
     )
@@ -845,8 +845,8 @@ part(
   UNION ALL SELECT 'fleet.status', received_us, false, 'status' FROM fixes WHERE temp_c IS NOT NULL
   UNION ALL SELECT 'fleet.derived', arrived_us, false, 'shipment.arrived' FROM visit
   UNION ALL SELECT 'fleet.derived', departed_us, false, 'shipment.departed' FROM visit WHERE departed_us IS NOT NULL
-  UNION ALL SELECT 'fleet.exceptions', onset_us, false, 'exception.raised' FROM quiet_incident
-  UNION ALL SELECT 'fleet.exceptions', cleared_us, false, 'exception.cleared' FROM quiet_incident WHERE cleared_us IS NOT NULL""",
+  UNION ALL SELECT 'fleet.exceptions', onset_us, false, 'exception.raised' FROM incidents
+  UNION ALL SELECT 'fleet.exceptions', cleared_us, false, 'exception.cleared' FROM incidents WHERE cleared_us IS NOT NULL""",
 )
 
 
@@ -881,9 +881,9 @@ def plan_visits(run: Run) -> DataFrame:
     return archive.plan_visits(facts, plan.itineraries(run.shipments, run.stops))
 
 
-@query("SELECT exception_id, shipment_id, severity, onset_us, cleared_us, resolution, state FROM quiet_incident")
+@query("SELECT exception_id, shipment_id, severity, onset_us, cleared_us, resolution, state FROM incidents")
 def raise_clear_pairs(run: Run) -> DataFrame:
-    return archive.pair_incidents(archive.decoded(archive_fixtures.exception_records(conditions.incident_events(run.quiet()))))
+    return archive.pair_incidents(archive.decoded(archive_fixtures.exception_records(conditions.incident_events(run.staged_incidents))))
 
 
 @query(
@@ -968,6 +968,15 @@ def latency_percentiles(run: Run) -> DataFrame:
     return reconcile.histogram_percentiles(reconcile.latency_histogram(_stored(run)))
 
 
+@query(
+    f"""SELECT {up('quantile_cont(ms, 0.5)', 6)} AS p50_ms, {up('quantile_cont(ms, 0.99)', 6)} AS p99_ms, CAST(max(ms) AS BIGINT) AS max_ms
+  FROM (SELECT CAST({_MS} AS DOUBLE) AS ms FROM fixes)"""
+)
+def latency_exact(run: Run) -> DataFrame:
+    """Exact percentiles of the time from arrival to store, interpolated between neighbours."""
+    return tidy(reconcile.exact_percentiles(_stored(run)))
+
+
 @query("SELECT le_ms, CAST(sum(records) AS BIGINT) AS records FROM histogram GROUP BY le_ms")
 def latency_delta(run: Run) -> DataFrame:
     """Difference of two cumulative snapshots equals the histogram of what came between."""
@@ -1002,21 +1011,21 @@ def average_latency(run: Run) -> DataFrame:
 
 @query(
     """SELECT (SELECT count(*) FROM fixes) AS stored, (SELECT count(*) FROM fixes WHERE event_id % 37 = 0) AS duplicates, (SELECT count(*) FROM visit) AS arrivals,
-    (SELECT count(departed_us) FROM visit) AS departures, (SELECT count(*) FROM eta) AS estimates, (SELECT count(*) FROM quiet_incident) AS raised,
-    (SELECT count(cleared_us) FROM quiet_incident) AS cleared"""
+    (SELECT count(departed_us) FROM visit) AS departures, (SELECT count(*) FROM eta) AS estimates, (SELECT count(*) FROM incidents) AS raised,
+    (SELECT count(cleared_us) FROM incidents) AS cleared"""
 )
 def processing_counters(run: Run) -> DataFrame:
     """What the services count while they run, as one row."""
     count = lambda df, cond=F.lit(True): df.agg(F.count_if(cond).alias("n")).scalar()
     repeats = run.fixes.unionByName(run.fixes.where("event_id % 37 = 0")).groupBy("event_id").agg((F.count(F.lit(1)) - 1).alias("extra"))
-    quiet, visited = run.quiet(), run.staged_visits
+    found, visited = run.staged_incidents, run.staged_visits
     return repeats.agg(F.count(F.lit(1)).alias("stored"), F.sum("extra").alias("duplicates")).withColumns(
         {
             "arrivals": count(visited),
             "departures": count(visited, F.col("departed_us").isNotNull()),
             "estimates": count(run.estimates),
-            "raised": count(quiet),
-            "cleared": count(quiet, F.col("cleared_us").isNotNull()),
+            "raised": count(found),
+            "cleared": count(found, F.col("cleared_us").isNotNull()),
         }
     )
 
@@ -1057,12 +1066,24 @@ def snapshot_sync(run: Run) -> DataFrame:
 # --- streaming: the same answers from micro-batches ----------------------------------------------
 
 
+STREAM_FILES = 4
+
+
+def _as_stream(run: Run, rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` as a stream of files in the order of ``by``, one file per micro-batch, so that state crosses batches."""
+    rows = stage(rows, "stream-rows")
+    path = new_table(run.spark, "stream")
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    width = (high - low) // STREAM_FILES + 1
+    for k in range(STREAM_FILES):
+        part = rows.where((F.col(by) >= low + k * width) & (F.col(by) < low + (k + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return flows.file_source(run.spark, path, rows.schema, files_per_trigger=1)
+
+
 def _fix_stream(run: Run, *columns: str) -> DataFrame:
-    """The fixes as a stream of files."""
-    fixes = run.fixes.select(*columns)
-    path = new_table(run.spark, "fix-stream")
-    fixes.write.parquet(path)
-    return flows.file_source(run.spark, path, fixes.schema)
+    """The fixes as a stream of files in event-time order."""
+    return _as_stream(run, run.fixes.select(*columns), "occurred_us")
 
 
 TRACK_COLUMNS = ("event_id", "shipment_id", "lane", "occurred_us", "lat", "lon", "speed_kph", "accuracy_m")
@@ -1087,7 +1108,7 @@ def stream_eta_updates(run: Run) -> DataFrame:
   UNION ALL SELECT shipment_id, 'ROUTE_DEVIATION', 'cleared', onset_us, cleared_us, cleared_by, resolution FROM astray_incident WHERE cleared_us IS NOT NULL"""
 )
 def stream_route_deviations(run: Run) -> DataFrame:
-    fixes = _fix_stream(run, *TRACK_COLUMNS).join(F.broadcast(run.plans), "lane")
+    fixes = _fix_stream(run, *TRACK_COLUMNS).join(run.plans, "lane")
     km = positions.off_plan_km(F.col("lat"), F.col("lon"), F.col("legs"))
     usable = F.coalesce(F.col("accuracy_m") <= run.params.rule_accuracy_m, F.lit(True))
     rows = fixes.withColumn("excess", km).select(
@@ -1098,24 +1119,15 @@ def stream_route_deviations(run: Run) -> DataFrame:
     return flows.run_to_table(tracking.sustained_changes(rows), "deviations").drop("worst")
 
 
-part(
-    "silence_gap",
-    """SELECT shipment_id, onset_us, cleared_us, CAST(raised_by AS VARCHAR) AS raised_by, CAST(cleared_by AS VARCHAR) AS cleared_by FROM (
-    SELECT shipment_id, occurred_us AS cleared_us, event_id AS cleared_by, lag(occurred_us) OVER w AS onset_us, lag(event_id) OVER w AS raised_by
-    FROM track WINDOW w AS (PARTITION BY shipment_id ORDER BY occurred_us)) WHERE cleared_us - onset_us >= 1800000000""",
-)
-
-
 @query(
-    """SELECT shipment_id, 'raised' AS change, onset_us, onset_us + 1800000000 AS at_us, raised_by AS caused_by FROM silence_gap
-  UNION ALL SELECT shipment_id, 'cleared', onset_us, cleared_us, cleared_by FROM silence_gap
-  UNION ALL SELECT shipment_id, 'raised', last_us, last_us + 1800000000, CAST(last_id AS VARCHAR) FROM (
-    SELECT shipment_id, max(occurred_us) AS last_us, arg_max(event_id, occurred_us) AS last_id FROM track GROUP BY shipment_id)
-  WHERE last_us + 1800000000 <= (SELECT max(occurred_us) FROM track)"""
+    """SELECT shipment_id, 'raised' AS change, onset_us, raised_us AS at_us, raised_by AS caused_by, NULL::VARCHAR AS resolution FROM quiet_incident
+  UNION ALL SELECT shipment_id, 'cleared', onset_us, cleared_us, cleared_by, resolution FROM quiet_incident WHERE cleared_us IS NOT NULL"""
 )
 def stream_signal_loss(run: Run) -> DataFrame:
-    """Silences by event-time timers; with no watermark delay the last ones show as in batch."""
-    sightings = _fix_stream(run, "shipment_id", "occurred_us", "event_id")
+    """Silences by event-time timers, with the final arrival ending the watch; the batch form has the same oracle."""
+    over = run.completions.select("shipment_id", F.col("completed_us").alias("occurred_us"), F.lit(True).alias("completed"))
+    seen = run.staged_track.select("shipment_id", "occurred_us", "event_id").join(over, ["shipment_id", "occurred_us"], "left")
+    sightings = _as_stream(run, seen.withColumn("completed", F.coalesce("completed", F.lit(False))), "occurred_us")
     return flows.run_to_table(tracking.silence_changes(sightings, "0 seconds", run.params), "silence")
 
 
@@ -1123,9 +1135,7 @@ def stream_signal_loss(run: Run) -> DataFrame:
 def stream_dedup(run: Run) -> DataFrame:
     fixes = run.fixes.select("event_id", "shipment_id", "received_us")
     repeats = fixes.where("event_id % 37 = 0")
-    path = new_table(run.spark, "repeats")
-    fixes.unionByName(repeats).write.parquet(path)
-    return flows.run_to_table(flows.dedup_stream(flows.file_source(run.spark, path, fixes.schema)), "dedup")
+    return flows.run_to_table(flows.dedup_stream(_as_stream(run, fixes.unionByName(repeats), "received_us")), "dedup")
 
 
 @query(ORACLES["current_position"])
@@ -1133,7 +1143,7 @@ def stream_current_position(run: Run) -> DataFrame:
     stream = _fix_stream(run, *run.fixes.columns)
     current = flows.current_positions(stream)
     path = new_table(run.spark, "current")
-    flows.run_batches(current, "current", flows.upsert_current(path), "update")
+    flows.run_batches(current, "current", flows.upsert_current(path, current.schema), "update")
     return tidy(flows.latest_version(run.spark, path, current.schema).select(*run.fixes.columns))
 
 
@@ -1141,10 +1151,9 @@ def stream_current_position(run: Run) -> DataFrame:
 def stream_archive(run: Run) -> DataFrame:
     """The hourly archive written from a stream of log records."""
     records = archive_fixtures.position_records(run.fixes)
-    source, path = new_table(run.spark, "records"), new_table(run.spark, "archive")
-    records.write.parquet(source)
-    flows.archive_stream(flows.file_source(run.spark, source, records.schema), path)
-    schema = f"record_topic string, {archive.RECORD_SCHEMA}, topic string, dt string, hour string"
+    path = new_table(run.spark, "archive")
+    flows.archive_stream(_as_stream(run, records, "timestamp_us"), path).awaitTermination()
+    schema = f"record_topic string, {archive.RECORD_SCHEMA}, dt string, hour string"
     return run.spark.read.schema(schema).json(path).groupBy("topic", "dt", "hour").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("partition").alias("partitions")
     )
@@ -1156,14 +1165,12 @@ def stream_archive(run: Run) -> DataFrame:
 )
 def stream_live_feed(run: Run) -> DataFrame:
     records = archive_fixtures.position_records(run.fixes)
-    source = new_table(run.spark, "records")
-    records.write.parquet(source)
-    feed = flows.run_to_table(flows.live_feed(flows.file_source(run.spark, source, records.schema)), "live")
+    feed = flows.run_to_table(flows.live_feed(_as_stream(run, records, "timestamp_us")), "live")
     return feed.select("type", "shipment_id", "at_us", F.get_json_object("payload", "$.vehicleId").alias("vehicle"))
 
 
 def _live_updates(run: Run) -> DataFrame:
-    """Positions, visits, estimates and silences as typed updates."""
+    """Positions, visits, estimates and incidents as typed updates."""
     none = lambda kind: F.lit(None).cast(kind)
     columns = lambda kind, at, speed, stop, eta_us, exc: [
         "shipment_id", kind.alias("type"), at.alias("at_us"), speed.alias("speed_kph"), stop.alias("stop_id"), eta_us.alias("estimate_us"), exc.alias("exception_id"),
@@ -1171,12 +1178,12 @@ def _live_updates(run: Run) -> DataFrame:
     c, s, d, b = F.col, none("string"), none("double"), none("bigint")
     stops = geofence.visit_events(run.staged_visits)
     word = F.when(c("type") == "shipment.arrived", "arrived").otherwise("departed")
-    quiet = conditions.incident_events(run.quiet())
+    told = conditions.incident_events(run.staged_incidents)
     return (
         run.staged_track.select(*columns(F.lit("position"), c("occurred_us"), c("speed_kph"), s, b, s))
         .union(stops.select(*columns(word, c("occurred_us"), d, c("stop_id"), b, s)))
         .union(run.staged_estimates.select(*columns(F.lit("estimate"), c("occurred_us"), d, c("stop_id"), c("estimate_us"), s)))
-        .union(quiet.select(*columns(c("event_type"), c("occurred_us"), d, s, b, c("exception_id"))))
+        .union(told.select(*columns(c("event_type"), c("occurred_us"), d, s, b, c("exception_id"))))
     )
 
 
@@ -1191,7 +1198,7 @@ def _live_updates(run: Run) -> DataFrame:
   LEFT JOIN (SELECT shipment_id, count(*) AS n, count(*) FILTER (WHERE word = 'arrived') AS arrivals, max(at_us) AS at_us, arg_max(word, at_us) AS word FROM (
       SELECT shipment_id, arrived_us AS at_us, 'arrived' AS word FROM visit UNION ALL SELECT shipment_id, departed_us, 'departed' FROM visit WHERE departed_us IS NOT NULL) GROUP BY shipment_id) v USING (shipment_id)
   LEFT JOIN (SELECT shipment_id, count(*) AS n, arg_max(estimate_us, occurred_us) AS estimate_us FROM eta JOIN (SELECT stop_id FROM lane_stop WHERE seq = 1) USING (stop_id) GROUP BY shipment_id) e USING (shipment_id)
-  LEFT JOIN (SELECT shipment_id, count(*) + count(cleared_us) AS n, count(*) FILTER (WHERE cleared_us IS NULL) AS open_incidents FROM quiet_incident GROUP BY shipment_id) i USING (shipment_id)"""
+  LEFT JOIN (SELECT shipment_id, count(*) + count(cleared_us) AS n, count(*) FILTER (WHERE cleared_us IS NULL) AS open_incidents FROM incidents GROUP BY shipment_id) i USING (shipment_id)"""
 )
 def live_fold(run: Run) -> DataFrame:
     """A day's updates folded into an empty snapshot whose next stop is the second of the plan."""
@@ -1203,6 +1210,6 @@ def live_fold(run: Run) -> DataFrame:
     return live.fold(snapshot, stage(_live_updates(run), "updates"), run.params)
 
 
-@query("SELECT exception_id, shipment_id, cleared_us AS at_us FROM quiet_incident WHERE cleared_us IS NOT NULL ORDER BY cleared_us DESC, exception_id LIMIT 40")
+@query("SELECT exception_id, shipment_id, cleared_us AS at_us FROM incidents WHERE cleared_us IS NOT NULL ORDER BY cleared_us DESC, exception_id LIMIT 40")
 def resolved_incidents(run: Run) -> DataFrame:
     return live.resolved(_live_updates(run))

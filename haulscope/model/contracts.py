@@ -61,8 +61,8 @@ SOUTHERN_FREIGHT = """
   "billTo": {"type": "object", "required": ["party", "gstin"], "additionalProperties": false, "properties": {
     "party": {"type": "string"},
     "gstin": {"type": "string", "pattern": "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]{3}$"}}},
-  "accessorials": {"type": "array", "uniqueItems": true, "items": {"type": "string",
-    "enum": ["LIFTGATE", "INSIDE_DELIVERY", "APPOINTMENT", "RESIDENTIAL", "REWEIGH"]}}}}
+  "accessorials": {"type": "array", "items": {"type": "string",
+    "enum": ["LIFTGATE", "INSIDE_DELIVERY", "APPOINTMENT", "RESIDENTIAL", "REWEIGH"]}, "uniqueItems": true}}}
 """
 QUICKSHIP = """
 {"type": "object", "required": ["trackingNumber", "serviceLevel", "weightKg", "recipient"], "additionalProperties": false,

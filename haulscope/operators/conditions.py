@@ -332,6 +332,7 @@ def signal_loss(
         F.col("completed_us").isNull() | (F.col("occurred_us") <= F.col("completed_us"))
     )
     threshold = params.silence_seconds * MICROS
+    over = F.col("occurred_us") == F.col("completed_us")
     gaps = (
         slices.previous(watched, SHIP, "occurred_us", {"onset_us": "occurred_us", "raised_by": "event_id"})
         .where(F.col("occurred_us") - F.col("onset_us") >= threshold)
@@ -341,7 +342,7 @@ def signal_loss(
             F.col("occurred_us").alias("cleared_us"),
             F.col("raised_by").cast("string").alias("raised_by"),
             F.col("event_id").cast("string").alias("cleared_by"),
-            F.lit("REPORTING_AGAIN").alias("resolution"),
+            F.when(over, "SHIPMENT_COMPLETED").otherwise("REPORTING_AGAIN").alias("resolution"),
             (F.col("occurred_us") - F.col("onset_us")).alias("quiet_us"),
         )
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CONSTRAINT_COLUMNS = ("customer_id", "mode", "version", "path", "keyword", "argument")
@@ -17,7 +18,8 @@ SCALARS = (
     "type", "pattern", "minimum", "maximum", "exclusiveMinimum", "minLength", "maxLength", "minItems", "maxItems",
     "uniqueItems", "format",
 )
-NODE_DEPTH = 4
+# instants in a text are quoted, so that brackets inside them do not count as nesting
+_QUOTED = r'"(\\.|[^"\\])*"'
 
 
 def compile_contract(document: dict, path: str = "") -> list[tuple[str, str, str]]:
@@ -56,10 +58,49 @@ def constraints(spark: SparkSession, contracts: list[tuple[str, str, str, dict]]
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(CONSTRAINT_COLUMNS)})")
 
 
-def flatten(bodies: DataFrame, key: str = "shipment_id") -> DataFrame:
-    """One row per JSON node down to ``NODE_DEPTH`` levels: its path, the path with '*' for array
-    positions, its kind, text, number, size and (objects) keys. Row-local, nothing is shuffled.
+def constraints_of(documents: DataFrame) -> DataFrame:
+    """Constraint rows of contracts held in a table or files: customer_id, mode, version and the document as JSON text."""
+
+    def compiled(frames):
+        for frame in frames:
+            rows = [
+                (c, m, v, *row)
+                for c, m, v, text in zip(frame["customer_id"], frame["mode"], frame["version"], frame["document"])
+                for row in compile_contract(json.loads(text))
+            ]
+            yield pd.DataFrame(rows, columns=CONSTRAINT_COLUMNS)
+
+    columns = documents.select("customer_id", "mode", "version", "document")
+    return columns.mapInPandas(compiled, ", ".join(f"{c} string" for c in CONSTRAINT_COLUMNS))
+
+
+def read_contracts(spark: SparkSession, path: str) -> DataFrame:
+    """Constraint rows of contract files, one JSON object per line: customerId, mode, version, schema."""
+    lines = spark.read.text(path).select(F.from_json("value", "customerId string, mode string, version string").alias("c"), "value")
+    document = F.get_json_object("value", "$.schema").alias("document")
+    return constraints_of(lines.select(F.col("c.customerId").alias("customer_id"), "c.mode", "c.version", document))
+
+
+def nesting(bodies: DataFrame) -> int:
+    """How deep the deepest body is nested, counted over all of them."""
+    bare = F.regexp_replace("body", _QUOTED, "")
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    level = lambda depth, c: depth + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+    deepest = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, c: F.struct(level(a["now"], c).alias("now"), F.greatest(a["most"], level(a["now"], c)).alias("most")),
+    )
+    return bodies.agg(F.max(deepest["most"])).first()[0] or 0
+
+
+def flatten(bodies: DataFrame, key: str = "shipment_id", levels: int | None = None) -> DataFrame:
+    """One row per JSON node: its path, the path with '*' for array positions, its kind, text, number, size and
+    (objects) keys. Row-local, nothing is shuffled.
+
+    All levels there are, or the first ``levels`` below the root.
     """
+    levels = nesting(bodies) if levels is None else levels
     spark, carried = bodies.sparkSession, [key, *_context(bodies)]
     rows = bodies.select(
         *carried,
@@ -68,7 +109,7 @@ def flatten(bodies: DataFrame, key: str = "shipment_id") -> DataFrame:
         F.try_parse_json("body").alias("v"),
         F.lit(True).alias("fresh"),
     ).where("v IS NOT NULL")
-    for _ in range(NODE_DEPTH):
+    for _ in range(levels):
         # a fresh container stays as a node (open = false) and is opened into its children (open = true)
         container = F.col("fresh") & F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
         both = F.when(container, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
@@ -154,9 +195,19 @@ def _message() -> Column:
     )
 
 
+def in_force(rules: DataFrame) -> DataFrame:
+    """The rules of one version per (customer, mode): the highest number; names that are no numbers come below."""
+    number = F.col("version").try_cast("double")
+    newest = rules.groupBy("customer_id", "mode").agg(F.max(F.struct(number.alias("n"), "version")).alias("v"))
+    return rules.join(newest.select("customer_id", "mode", "v.version"), ["customer_id", "mode", "version"])
+
+
 def violations(manifests: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every broken constraint: the node's path, the keyword and a message."""
-    nodes = flatten(manifests)
+    """Every broken constraint of the version in force: the node's path, the keyword and a message."""
+    rules = in_force(rules)
+    # a node below the deepest path of any rule breaks none; that it is there at all is its parent's matter
+    levels = rules.agg(F.max(F.regexp_count("path", F.lit("/")))).first()[0] or 0
+    nodes = flatten(manifests, levels=levels)
     hits = nodes.withColumnRenamed("shape", "node_shape").join(
         rules.withColumnRenamed("path", "shape"),
         (nodes["customer_id"] == rules["customer_id"])
@@ -178,7 +229,7 @@ def violations(manifests: DataFrame, rules: DataFrame) -> DataFrame:
 
 def outcomes(manifests: DataFrame, rules: DataFrame) -> DataFrame:
     """Valid(version), Invalid(version, count) or NoSchema for every manifest."""
-    on_file = rules.groupBy("customer_id", "mode").agg(F.max("version").alias("version"))
+    on_file = in_force(rules).select("customer_id", "mode", "version").distinct()
     broken = violations(manifests, rules).groupBy("shipment_id").agg(F.count(F.lit(1)).alias("violations"))
     outcome = (
         F.when(F.col("version").isNull(), "NO_SCHEMA")

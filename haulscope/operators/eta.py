@@ -14,8 +14,8 @@ from haulscope.operators.slices import SLICE
 from haulscope.session import stage
 
 SHIP = ["shipment_id"]
-# beyond this many half-lives the older speed is below double precision
-FORGOTTEN = 60.0
+# a slice may span this many half-lives: 2 to that power, by which its speeds are weighed, is still a double
+MOST_HALVES = 900
 
 
 def learn(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -25,6 +25,8 @@ def learn(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
     composition of its maps, so slices fold in parallel and chain through (age, pull) pairs. The
     first fix of a slice is applied while chaining, as its gap reaches back into the slice before.
     """
+    if params.slice_seconds > MOST_HALVES * params.half_life_seconds:
+        raise ValueError(f"slices of {params.slice_seconds} s are wider than {MOST_HALVES} half-lives")
     w = Window.partitionBy(*SHIP, SLICE).orderBy("occurred_us")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     moving, gap = F.col("_moving"), F.col("_gap")
@@ -32,7 +34,7 @@ def learn(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
     df = (
         track.withColumn("_moving", F.coalesce(F.col("speed_kph") >= params.moving_kph, F.lit(False)))
         .withColumn("_gap", (F.col("occurred_us") - F.lag("occurred_us").over(w)) / float(MICROS))
-        .withColumn("_halves", F.when(later, F.least(gap / params.half_life_seconds, F.lit(FORGOTTEN))).otherwise(0.0))
+        .withColumn("_halves", F.when(later, gap / params.half_life_seconds).otherwise(0.0))
         .withColumn("_age", F.sum("_halves").over(upto))
         .withColumn(
             "_pull",

@@ -28,6 +28,13 @@ def layout(records: DataFrame) -> DataFrame:
     return records.withColumns({"dt": day_text(F.col("timestamp_us")), "hour": hour_text(F.col("timestamp_us"))})
 
 
+def slim(records: DataFrame) -> DataFrame:
+    """The columns of a file; the topic is kept beside its folder's name."""
+    return records.select(
+        "topic", "dt", "hour", "partition", "offset", "timestamp_us", "key", "value", F.col("topic").alias("record_topic")
+    )
+
+
 def write(records: DataFrame, path: str, max_records: int = 2_000_000) -> None:
     """Archive everything that is not itself a replay, each record under the hour it was recorded in."""
     write_laid_out(layout(skip_replayed(records)), path, max_records)
@@ -35,11 +42,9 @@ def write(records: DataFrame, path: str, max_records: int = 2_000_000) -> None:
 
 def write_laid_out(records: DataFrame, path: str, max_records: int = 2_000_000) -> None:
     """gzip NDJSON under topic=/dt=/hour=; one hour may be many files, so a hot topic is not one task."""
-    slim = records.select(
-        "topic", "dt", "hour", "partition", "offset", "timestamp_us", "key", "value", F.col("topic").alias("record_topic")
-    )
     (
-        slim.write.mode("append")
+        slim(records)
+        .write.mode("append")
         .partitionBy("topic", "dt", "hour")
         .option("compression", "gzip")
         .option("maxRecordsPerFile", max_records)

@@ -13,8 +13,8 @@ RESOLVED_LIMIT = 40
 def fold(snapshot: DataFrame, updates: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """State of each shipment of the snapshot after its updates.
 
-    snapshot: shipment_id, movement, stops_completed, stops_total, next_stop_id. updates:
-    shipment_id, type, at_us, speed_kph, stop_id, estimate_us, exception_id. What the order of
+    snapshot: shipment_id, movement, stops_completed, stops_total, next_stop_id, and open_ids (array of the
+    incidents open at that time) where it has one. updates: shipment_id, type, at_us, speed_kph, stop_id, estimate_us, exception_id. What the order of
     updates decides is a newest-of choice per kind, so one aggregation (partial before the shuffle)
     replaces the sequential fold. Updates of unknown shipments are ignored.
     """
@@ -30,12 +30,18 @@ def fold(snapshot: DataFrame, updates: DataFrame, params: Params = DEFAULT) -> D
         F.max(F.when(of("position"), F.struct("at_us", "speed_kph"))).alias("fix"),
         F.max(F.when(due, F.struct("at_us", "estimate_us"))).alias("eta"),
     )
+    changes = known.where(of("exception.raised") | of("exception.cleared")).select(
+        "shipment_id", "exception_id", "at_us", of("exception.cleared").alias("cleared")
+    )
+    if "open_ids" in snapshot.columns:
+        held = snapshot.select("shipment_id", F.explode("open_ids").alias("exception_id"))
+        changes = changes.unionByName(held.select("*", F.lit(None).cast("bigint").alias("at_us"), F.lit(False).alias("cleared")))
     incidents = (
-        known.where(of("exception.raised") | of("exception.cleared"))
-        .groupBy("shipment_id", "exception_id")
-        .agg(F.max(F.struct(at, "type")).alias("last"))
+        changes.groupBy("shipment_id", "exception_id")
+        # what the snapshot held comes first, and of a raise and its clear at one instant the clear is the later
+        .agg(F.max(F.struct("at_us", "cleared")).alias("last"))
         .groupBy("shipment_id")
-        .agg(F.count_if(F.col("last.type") == "exception.raised").alias("open_incidents"))
+        .agg(F.count_if(~F.col("last.cleared")).alias("open_incidents"))
     )
     after_stop = F.when(F.col("stop.type") == "arrived", "AT_STOP").when(F.col("stop").isNotNull(), "STOPPED").otherwise(F.col("movement"))
     fix_counts = F.col("fix").isNotNull() & (F.col("stop").isNull() | (F.col("fix.at_us") > F.col("stop.at_us")))

@@ -1,8 +1,8 @@
 """Keyed streaming state: geofences with estimates, sustained conditions, and silence.
 
-The processors hold one key's state and apply new rows in event-time order; everything that needs
-no state (distances of fixes to stops, breach flags, identifiers) stays in DataFrame expressions
-before and after them. Rows older than the last applied one are ignored, as in the batch forms.
+What needs no state is a column before the state or after it: sides and road distances of a fix come in as arrays
+over the planned stops, identifiers and confidence are computed on what comes out. The state of a shipment is a few
+numbers per stop. Rows older than the last applied one are ignored, as in the batch forms.
 """
 
 from __future__ import annotations
@@ -10,18 +10,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from haulscope.functions import ids
+from haulscope.functions import geo, ids
+from haulscope.functions.text import round_half_up
 from haulscope.model.params import DEFAULT, MICROS, Params
-from haulscope.operators import positions
+from haulscope.operators import eta, positions
 
-DERIVED_SCHEMA = (
+CHANGES = (
     "shipment_id string, stop_id string, type string, occurred_us bigint, caused_by string, dwell_s bigint, "
-    "estimate_us bigint, previous_us bigint, remaining_km double, confidence double"
+    "estimate_us bigint, previous_us bigint, road_km double, gap_s double, moving_s bigint, last_moving_us bigint, accuracy_m double"
 )
+COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
+# sides of a fence as the batch form labels them; UNUSABLE fixes prove nothing, BETWEEN keeps the side
+IN, OUT, BETWEEN, UNUSABLE = 1, -1, 0, 9
+BEFORE = -(1 << 62)  # run start of a side that was held from the beginning
 
 
 def _rows(frames: Iterator[pd.DataFrame]) -> list[dict]:
@@ -30,119 +36,195 @@ def _rows(frames: Iterator[pd.DataFrame]) -> list[dict]:
     return sorted(records, key=lambda r: (r["occurred_us"], r["event_id"]))
 
 
-def _known(value) -> bool:
-    return value is not None and not (isinstance(value, float) and math.isnan(value))
+def label_runs(at: np.ndarray, label: np.ndarray, side: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """Side after each row and the instant its run began, carried on from ``side`` held since ``since``."""
+    order = np.arange(len(at))
+    decided = np.maximum.accumulate(np.where((label == IN) | (label == OUT), order, -1))
+    after = np.where(decided >= 0, label[decided], side)
+    changed = after != np.concatenate([[side], after[:-1]])
+    began = np.maximum.accumulate(np.where(changed, order, -1))
+    return after, np.where(began >= 0, at[began], since)
+
+
+class Stay:
+    """Visit of one stop: the first confirmed run inside, then the first confirmed run outside after it."""
+
+    FIELDS = "side int, since_us bigint, arrived_us bigint, departed boolean"
+
+    def __init__(self, side: int = OUT, since_us: int = BEFORE, arrived_us: int | None = None, departed: bool = False):
+        self.side, self.since, self.arrived, self.departed = side, since_us, arrived_us, departed
+
+    def advance(self, at: np.ndarray, label: np.ndarray, hold_us: int) -> tuple[np.ndarray, np.ndarray, list[tuple[str, int, int, int | None]]]:
+        """(inside, reached) of each row and the events (type, instant, row that proves it, dwell seconds)."""
+        n = len(at)
+        if self.departed:
+            return np.zeros(n, bool), np.ones(n, bool), []
+        after, began = label_runs(at, label, self.side, self.since)
+        proven = (label != UNUSABLE) & (at - began >= hold_us)
+        events = []
+        reached = np.full(n, self.arrived is not None)
+        if self.arrived is None and (hits := np.flatnonzero(proven & (after == IN))).size:
+            row = int(hits[0])
+            self.arrived = int(began[row])
+            reached[row:] = True
+            events.append(("shipment.arrived", self.arrived, row, None))
+        inside = after == IN
+        if self.arrived is not None and (hits := np.flatnonzero(proven & (after == OUT) & (began > self.arrived))).size:
+            row = int(hits[0])
+            self.departed = True
+            inside[row:] = False
+            left = int(began[row])
+            events.append(("shipment.departed", left, row, (left - self.arrived) // MICROS))
+        self.side, self.since = int(after[-1]), int(began[-1])
+        return inside, reached, events
+
+    def state(self) -> tuple:
+        return self.side, self.since, self.arrived, self.departed
 
 
 class TrackProcessor(StatefulProcessor):
     """Arrivals, departures and published estimates of one shipment.
 
-    Each row carries ``near``: per planned stop (in plan order) its id, radius and distance.
+    Rows: occurred_us, event_id, speed_kph, accuracy_m, and over the planned stops in order ``stops`` (ids),
+    ``labels`` and ``road_km``. A batch's rows of a shipment are handled as arrays; only the learned speed and the
+    choice of what to publish, each of which depends on its own last value, go row by row.
     """
 
     def __init__(self, params: Params):
         self.p = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fences = handle.getMapState(
-            "fences", "stop_id string",
-            "inside boolean, entered_us bigint, left_us bigint, arrived_us bigint, departed boolean, last_us bigint",
-        )
-        self.estimate = handle.getValueState(
-            "estimate", "stop_id string, estimate_us bigint, speed double, moved_s bigint, moved_us bigint, last_us bigint"
+        self.stays = handle.getMapState("stays", "stop_id string", Stay.FIELDS)
+        self.track = handle.getValueState(
+            "track", "last_us bigint, speed double, moving_s bigint, moving_us bigint, target string, published_us bigint"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fences = {k[0]: list(v) for k, v in self.fences.iterator()}
-        eta = list(self.estimate.get()) if self.estimate.exists() else [None, None, None, 0, None, None]
-        out, touched = [], set()
-        for row in _rows(rows):
-            for stop in row["near"]:
-                out += self._fence(key[0], row, stop, fences, touched)
-            out += self._eta(key[0], row, fences, eta)
-        for stop_id in touched:
-            self.fences.updateValue((stop_id,), tuple(fences[stop_id]))
-        self.estimate.update(tuple(eta))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DERIVED_SCHEMA.split(", ")]).astype(
-            {"dwell_s": "Int64", "estimate_us": "Int64", "previous_us": "Int64", "remaining_km": "float64", "confidence": "float64"}
+        frame = pd.concat(list(rows)).sort_values(["occurred_us", "event_id"]).drop_duplicates("occurred_us")
+        held = self.track.get() if self.track.exists() else (None, None, 0, None, None, None)
+        if held[0] is not None:
+            frame = frame[frame["occurred_us"] > held[0]]
+        out: list[tuple] = []
+        if len(frame):
+            at = frame["occurred_us"].to_numpy(np.int64)
+            cause = frame["event_id"].astype(str).to_list()
+            stops = list(frame["stops"].iloc[0])
+            labels, km = np.stack(frame["labels"].to_list()), np.stack(frame["road_km"].to_list())
+            stays = {k[0]: Stay(*v) for k, v in self.stays.iterator()}
+            inside, reached = np.zeros(len(at), bool), np.zeros(labels.shape, bool)
+            for j, stop in enumerate(stops):
+                stay = stays.get(stop) or Stay()
+                before = stay.state()
+                within, reached[:, j], events = stay.advance(at, labels[:, j], self.p.dwell_seconds * MICROS)
+                inside |= within
+                out += [(key[0], stop, kind, when, cause[row], dwell, *[None] * 7) for kind, when, row, dwell in events]
+                if stay.state() != before:
+                    self.stays.updateValue((stop,), stay.state())
+            out += self._estimates(key[0], frame, at, cause, stops, km, inside, reached, held)
+        yield pd.DataFrame(out, columns=COLUMNS).astype(
+            {c: "Int64" for c in ("dwell_s", "estimate_us", "previous_us", "moving_s", "last_moving_us")}
+            | {c: "float64" for c in ("road_km", "gap_s", "accuracy_m")}
+        )
+
+    def _learn(self, at, speeds, held) -> tuple[np.ndarray, ...]:
+        """gap_s, learned_kph (NaN while unknown), moving_s and last_moving_us (BEFORE: never) of each row, as ``eta.learn``."""
+        last, speed, moving_s, moving_us, _, _ = held
+        gap = np.diff(at, prepend=at[0] if last is None else last) / MICROS
+        moving = np.flatnonzero(speeds >= self.p.moving_kph)
+        learned = np.full(len(at), np.nan)
+        for i in moving:
+            weight = 1.0 - 2.0 ** (-gap[i] / self.p.half_life_seconds)
+            speed = speeds[i] if speed is None else speed + weight * (speeds[i] - speed)
+            learned[i] = speed
+        row = np.full(len(at), -1)
+        row[moving] = moving
+        row = np.maximum.accumulate(row)
+        steps = np.zeros(len(at))
+        steps[moving] = np.floor(gap[moving])
+        start = np.nan if held[1] is None else held[1]
+        return (
+            gap,
+            np.where(row >= 0, learned[row], start),
+            np.minimum(self.p.warm_seconds, moving_s + np.cumsum(steps)).astype(np.int64),
+            np.where(row >= 0, at[row], BEFORE if moving_us is None else moving_us),
         )
 
-    def _fence(self, ship, row, stop, fences, touched):
-        at, accuracy = row["occurred_us"], row["accuracy_m"]
-        inside, entered, left, arrived, departed, last = fences.get(stop["stop_id"], [False, None, None, None, False, None])
-        if departed or (last is not None and at <= last):
-            return []
-        if _known(accuracy) and accuracy > stop["radius_m"] * self.p.fence_accuracy_ratio:
-            return []
-        reach = stop["radius_m"] * (self.p.exit_ratio if inside else 1.0)
-        now = stop["meters"] <= reach if inside else stop["meters"] < reach
-        if not now and not inside and arrived is None:
-            return []
-        entered = at if now and not inside else entered
-        left = at if inside and not now else left
-        hold, out = self.p.dwell_seconds * MICROS, []
-        cause = str(row["event_id"])
-        if now and arrived is None and at - entered >= hold:
-            arrived = entered
-            out.append((ship, stop["stop_id"], "shipment.arrived", entered, cause, None, None, None, None, None))
-        if not now and arrived is not None and left is not None and at - left >= hold:
-            departed = True
-            stay = (left - arrived) // MICROS
-            out.append((ship, stop["stop_id"], "shipment.departed", left, cause, stay, None, None, None, None))
-        fences[stop["stop_id"]] = [now, entered, left, arrived, departed, at]
-        touched.add(stop["stop_id"])
+    def _estimates(self, ship, frame, at, cause, stops, km, inside, reached, held) -> list[tuple]:
+        p = self.p
+        speeds = frame["speed_kph"].astype(float).fillna(-1.0).to_numpy()
+        accuracy = frame["accuracy_m"].astype(float).to_numpy()
+        gap, learned, moving_s, moving_us = self._learn(at, speeds, held)
+        pace = np.maximum(p.moving_kph, np.where(np.isnan(learned), p.nominal_kph, learned))
+        target, published = held[4], held[5]
+        ahead = np.argmin(reached, axis=1)  # the first stop that is not reached
+        out = []
+        for i in np.flatnonzero(~inside & ~reached.all(axis=1)):
+            stop, road = stops[ahead[i]], float(km[i, ahead[i]])
+            due = int(at[i]) + math.floor(road / pace[i] * 3600.0 + 0.5) * MICROS
+            previous = published if stop == target else None
+            if previous is None or abs(due - previous) >= p.publish_seconds * MICROS:
+                target, published = stop, due
+                moved = None if moving_us[i] == BEFORE else int(moving_us[i])
+                out.append(
+                    (ship, stop, "eta.updated", int(at[i]), cause[i], None, due, previous, road, gap[i], int(moving_s[i]), moved, accuracy[i])
+                )
+        speed = None if math.isnan(learned[-1]) else float(learned[-1])
+        moved = None if moving_us[-1] == BEFORE else int(moving_us[-1])
+        self.track.update((int(at[-1]), speed, int(moving_s[-1]), moved, target, published))
         return out
 
-    def _eta(self, ship, row, fences, eta):
-        at, speed_now, p = row["occurred_us"], row["speed_kph"], self.p
-        target, held, speed, moved_s, moved_us, last = eta
-        if last is not None and at <= last:
-            return []
-        gap = 0.0 if last is None else (at - last) / MICROS
-        if _known(speed_now) and speed_now >= p.moving_kph:
-            speed = speed_now if speed is None else speed + (1 - 2 ** (-gap / p.half_life_seconds)) * (speed_now - speed)
-            moved_s, moved_us = int(min(p.warm_seconds, moved_s + gap)), at
-        eta[2:] = [speed, moved_s, moved_us, at]
-        if any(f[0] for f in fences.values()):
-            return []
-        ahead = [s for s in row["near"] if fences.get(s["stop_id"], [0, 0, 0, None])[3] is None]
-        if not ahead:
-            return []
-        stop = ahead[0]
-        km = stop["meters"] / 1000.0 * p.circuity
-        pace = max(p.moving_kph, p.nominal_kph if speed is None else speed)
-        estimate = at + math.floor(km / pace * 3600 + 0.5) * MICROS
-        previous = held if stop["stop_id"] == target else None
-        if previous is not None and abs(estimate - previous) < p.publish_seconds * MICROS:
-            return []
-        eta[0:2] = [stop["stop_id"], estimate]
-        still = 0.0 if moved_us is None else (at - moved_us) / MICROS
-        accuracy = max(0.0, 1 - row["accuracy_m"] / p.accuracy_floor_m) if _known(row["accuracy_m"]) else 1.0
-        trust = (
-            (p.cold_warmth + (1 - p.cold_warmth) * min(1.0, moved_s / p.warm_seconds))
-            * math.exp(-gap / p.freshness_seconds) * math.exp(-still / p.stillness_seconds) * accuracy
-        )
-        trust = math.floor(min(1.0, max(p.min_confidence, trust)) * 100 + 0.5) / 100
-        km = math.floor(km * 1000 + 0.5) / 1000
-        return [(ship, stop["stop_id"], "eta.updated", at, str(row["event_id"]), None, estimate, previous, km, trust)]
+
+def _label(meters: Column, radius: Column, accuracy: Column, params: Params) -> Column:
+    """Side of the fence that a fix shows, as in ``geofence.fix_stop_sides``."""
+    usable = F.coalesce(accuracy <= radius * params.fence_accuracy_ratio, F.lit(True))
+    return (
+        F.when(~usable, UNUSABLE)
+        .when(meters < radius, IN)
+        .when(meters > radius * params.exit_ratio, OUT)
+        .otherwise(BETWEEN)
+        .cast("int")
+    )
 
 
 def derived_events(fixes: DataFrame, plans: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Stream of shipment.arrived, shipment.departed and eta.updated events from a stream of fixes."""
     near = positions.stop_distances(F.col("lat"), F.col("lon"), F.col("stops"))
-    rows = fixes.join(F.broadcast(plans.select("lane", "stops")), "lane").select(
-        "shipment_id", "occurred_us", "event_id", "speed_kph", "accuracy_m", near.alias("near")
+    placed = fixes.join(plans.select("lane", "stops"), "lane").withColumn("near", near)
+    rows = placed.select(
+        "shipment_id",
+        "occurred_us",
+        "event_id",
+        "speed_kph",
+        "accuracy_m",
+        F.transform("near", lambda s: s["stop_id"]).alias("stops"),
+        F.transform("near", lambda s: _label(s["meters"], s["radius_m"], F.col("accuracy_m"), params)).alias("labels"),
+        F.transform("near", lambda s: geo.road_km(s["meters"], params.circuity)).alias("road_km"),
     )
     out = rows.groupBy("shipment_id").transformWithStateInPandas(
-        statefulProcessor=TrackProcessor(params), outputStructType=DERIVED_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=TrackProcessor(params), outputStructType=CHANGES, outputMode="Append", timeMode="None"
     )
+    # pandas has no null apart from NaN
+    out = out.withColumn("accuracy_m", F.nanvl("accuracy_m", F.lit(None).cast("double")))
     ship, stop, at = F.col("shipment_id"), F.col("stop_id"), F.col("occurred_us")
     event_id = (
         F.when(F.col("type") == "shipment.arrived", ids.arrival_id(ship, stop, at))
         .when(F.col("type") == "shipment.departed", ids.departure_id(ship, stop, at))
         .otherwise(ids.estimate_id(ship, stop, F.col("caused_by")))
     )
-    return out.withColumn("event_id", event_id)
+    published = F.col("type") == "eta.updated"
+    return eta.confidence(out, params).select(
+        "shipment_id",
+        "stop_id",
+        "type",
+        "occurred_us",
+        "caused_by",
+        "dwell_s",
+        "estimate_us",
+        "previous_us",
+        F.when(published, round_half_up(F.col("road_km"), 3)).alias("remaining_km"),
+        F.when(published, F.col("confidence")).alias("confidence"),
+        event_id.alias("event_id"),
+    )
 
 
 CONDITION_SCHEMA = (
@@ -185,46 +267,50 @@ def sustained_changes(rows: DataFrame) -> DataFrame:
     )
 
 
-SILENCE_SCHEMA = "shipment_id string, change string, onset_us bigint, at_us bigint, caused_by string"
+SILENCE_SCHEMA = "shipment_id string, change string, onset_us bigint, at_us bigint, caused_by string, resolution string"
 
 
 class SilenceProcessor(StatefulProcessor):
-    """Watches for absence: an event-time timer fires once the watermark is past the last sighting plus the threshold."""
+    """Watches for absence: an event-time timer fires once the watermark is past the last sighting plus the threshold.
+
+    A row that completes the shipment ends the watch, and a silence that it ends is resolved by it.
+    """
 
     def __init__(self, threshold_us: int):
         self.threshold = threshold_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("seen", "last_us bigint, last_id string, silent boolean")
+        self.state = handle.getValueState("seen", "last_us bigint, last_id string, silent boolean, done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, last_id, silent = self.state.get() if self.state.exists() else (None, None, False)
+        last, last_id, silent, done = self.state.get() if self.state.exists() else (None, None, False, False)
         out = []
         for row in _rows(rows):
             at, event = row["occurred_us"], str(row["event_id"])
-            if last is not None and at <= last:
+            if done or (last is not None and at <= last):
                 continue
             if last is not None and at - last >= self.threshold and not silent:
-                out.append((key[0], "raised", last, last + self.threshold, last_id))
+                out.append((key[0], "raised", last, last + self.threshold, last_id, None))
                 silent = True
+            done = bool(row["completed"])
             if silent:
-                out.append((key[0], "cleared", last, at, event))
+                out.append((key[0], "cleared", last, at, event, "SHIPMENT_COMPLETED" if done else "REPORTING_AGAIN"))
                 silent = False
             last, last_id = at, event
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if last is not None and not silent:
+        if last is not None and not silent and not done:
             self.handle.registerTimer((last + self.threshold) // 1000)
-        self.state.update((last, last_id, silent))
+        self.state.update((last, last_id, silent, done))
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, last_id, silent = self.state.get()
+        last, last_id, silent, done = self.state.get()
         out = []
-        if not silent:
-            out.append((key[0], "raised", last, last + self.threshold, last_id))
-            self.state.update((last, last_id, True))
+        if not silent and not done:
+            out.append((key[0], "raised", last, last + self.threshold, last_id, None))
+            self.state.update((last, last_id, True, done))
         yield self._frame(out)
 
     @staticmethod
@@ -233,9 +319,9 @@ class SilenceProcessor(StatefulProcessor):
 
 
 def silence_changes(sightings: DataFrame, delay: str = "10 minutes", params: Params = DEFAULT) -> DataFrame:
-    """Stream of raised / cleared silences. ``sightings``: shipment_id, occurred_us, event_id."""
+    """Stream of raised / cleared silences. ``sightings``: shipment_id, occurred_us, event_id, completed."""
     watched = sightings.select(
-        "shipment_id", "occurred_us", "event_id", F.timestamp_micros("occurred_us").alias("occurred_at")
+        "shipment_id", "occurred_us", "event_id", "completed", F.timestamp_micros("occurred_us").alias("occurred_at")
     ).withWatermark("occurred_at", delay)
     return watched.groupBy("shipment_id").transformWithStateInPandas(
         statefulProcessor=SilenceProcessor(params.silence_seconds * MICROS),
@@ -243,5 +329,3 @@ def silence_changes(sightings: DataFrame, delay: str = "10 minutes", params: Par
         outputMode="Append",
         timeMode="EventTime",
     )
-
-

@@ -179,3 +179,107 @@ def test_windowed_throughput_stream(spark):
     batch = {r.window_us: r.records for r in reconcile.throughput(fixes, "received_us").collect()}
     rows = closed.collect()
     assert rows and all(batch[r.window_us] == r.records for r in rows)
+
+
+def test_live_fold_ties_and_incidents_held_before(spark):
+    snapshot = spark.createDataFrame(
+        [("a", "STOPPED", 0, 3, "s1", ["x", "y"]), ("b", "STOPPED", 0, 3, "s1", [])],
+        "shipment_id string, movement string, stops_completed bigint, stops_total bigint, next_stop_id string, open_ids array<string>",
+    )
+    rows = [
+        ("a", "exception.cleared", 50, None, None, None, "x"),
+        ("a", "exception.raised", 60, None, None, None, "z"),
+        # a raise and its clear at one instant, in either order of arrival
+        ("b", "exception.cleared", 70, None, None, None, "w"),
+        ("b", "exception.raised", 70, None, None, None, "w"),
+    ]
+    updates = spark.createDataFrame(
+        rows, "shipment_id string, type string, at_us bigint, speed_kph double, stop_id string, estimate_us bigint, exception_id string"
+    )
+    open_ = {r.shipment_id: (r.open_incidents, r.applied) for r in live.fold(snapshot, updates).collect()}
+    assert open_ == {"a": (2, 2), "b": (0, 2)}
+
+
+def _nested(levels, leaf):
+    body = leaf
+    for _ in range(levels):
+        body = {"n": body}
+    return body
+
+
+def test_contracts_at_any_depth_and_newest_version_only(spark):
+    import json
+
+    schema = lambda low: {
+        "type": "object", "properties": {"n": _nested(0, {"type": "object", "properties": {"n": {"type": "object", "properties": {
+            "n": {"type": "object", "properties": {"n": {"type": "object", "properties": {"n": {"type": "object", "properties": {
+                "n": {"type": "number", "minimum": low}}}}}}}}}}})}}
+    rules = contracts.constraints(spark, [("c", "m", "9", schema(5)), ("c", "m", "10", schema(3))])
+    bodies = [("low", 1), ("middle", 4), ("high", 7)]
+    manifests = spark.createDataFrame(
+        [(k, "c", "m", json.dumps(_nested(6, v))) for k, v in bodies], "shipment_id string, customer_id string, mode string, body string"
+    )
+    out = {r.shipment_id: (r.version, r.outcome, r.violations) for r in contracts.outcomes(manifests, rules).collect()}
+    assert out == {"low": ("10", "INVALID", 1), "middle": ("10", "VALID", 0), "high": ("10", "VALID", 0)}
+    assert contracts.nesting(manifests) == 6
+    assert contracts.flatten(manifests).where("path = '/n/n/n/n/n/n'").count() == 3
+    tricky = spark.createDataFrame([("t", '{"a": "[[[[{{", "b": "\\\\"}')], "shipment_id string, body string")
+    assert contracts.nesting(tricky) == 1
+
+
+def test_contracts_are_read_from_files(spark, tmp_path):
+    import json
+
+    document = {"type": "object", "required": ["a"], "properties": {"a": {"type": "string"}}}
+    line = {"customerId": "c", "mode": "m", "version": "2", "schema": document}
+    (tmp_path / "contracts.json").write_text(json.dumps(line) + "\n")
+    got = {tuple(r) for r in contracts.read_contracts(spark, str(tmp_path)).collect()}
+    assert got == {("c", "m", "2", *r) for r in contracts.compile_contract(document)}
+
+
+def test_archive_stream_counts_a_repeated_batch_once(spark):
+    """A crash between writing a batch and committing it: the batch is written again, and read once."""
+    import glob
+    import os
+
+    fixes = fleet.fleet_fixes(spark, DATA).limit(400)
+    records = archive_fixtures.position_records(fixes)
+    source, path = new_table(spark, "records"), new_table(spark, "archive")
+    records.repartition(3).write.parquet(source)
+    expected = archive.skip_replayed(spark.read.parquet(source)).count()
+    stream = lambda: flows.file_source(spark, source, records.schema, files_per_trigger=1)
+    flows.archive_stream(stream(), path).awaitTermination()
+    local = path.removeprefix("file:")
+    commits = sorted(glob.glob(f"{local}-checkpoint/commits/[0-9]*"), key=lambda p: int(os.path.basename(p)))
+    assert len(commits) >= 3
+    os.remove(commits[-1])  # as if the run had died before this
+    os.remove(f"{os.path.dirname(commits[-1])}/.{os.path.basename(commits[-1])}.crc")
+    flows.archive_stream(stream(), path).awaitTermination()
+    schema = f"record_topic string, {archive.RECORD_SCHEMA}, dt string, hour string"
+    assert spark.read.schema(schema).json(path).count() == expected
+
+
+def test_current_sink_is_the_same_after_a_repeated_batch(spark):
+    fixes = fleet.fleet_fixes(spark, DATA)
+    path = new_table(spark, "current")
+    schema = flows.current_positions(fixes).schema
+    write = flows.upsert_current(path, schema)
+    half = fixes.agg(F.percentile("occurred_us", 0.5)).first()[0]
+    first, second = fixes.where(F.col("occurred_us") <= half), fixes.where(F.col("occurred_us") > half)
+    write(flows.current_positions(first), 0)
+    for _ in range(2):
+        write(flows.current_positions(second), 1)
+    # a late row must not move anything back
+    write(flows.current_positions(first.limit(50)), 2)
+    got = {(r.shipment_id, r.event_id) for r in flows.latest_version(spark, path, schema).collect()}
+    assert got == {(r.shipment_id, r.event_id) for r in positions.current_position(fixes).collect()}
+
+
+def test_orders_of_reports(spark):
+    """Reports with an order promise it row by row, not only as a set."""
+    from haulscope.catalog.queries import QUERIES
+
+    recent = [(r.onset_us, r.exception_id) for r in QUERIES["recent_incidents"](spark, DATA).collect()]
+    assert recent and recent == sorted(recent, key=lambda r: (-r[0], r[1]))
+    resolved = [(r.at_us, r.exception_id) for r in QUERIES["resolved_incidents"](spark, DATA).collect()]
+    assert resolved == sorted(resolved, key=lambda r: (-r[0], r[1]))
