@@ -227,8 +227,9 @@ def recent_positions(run: Run) -> DataFrame:
     )
 )
 def track_last_n(run: Run) -> DataFrame:
+    """The newest 300 fixes of each shipment, oldest first."""
     df = run.fixes.select("shipment_id", "event_id", "occurred_us", "lat", "lon", "speed_kph")
-    return tidy(positions.last_n(df, run.params.track_points))
+    return positions.in_track_order(tidy(positions.last_n(df, run.params.track_points)))
 
 
 part(
@@ -260,6 +261,18 @@ def trail_lines(run: Run) -> DataFrame:
     )
 
 
+@query(
+    f"""SELECT shipment_id, string_agg(CAST({up('lon', 4)} AS VARCHAR) || ' ' || CAST({up('lat', 4)} AS VARCHAR), ',' ORDER BY occurred_us, event_id) AS line
+  FROM trail_point GROUP BY shipment_id HAVING count(*) >= 2"""
+)
+def trail_text(run: Run) -> DataFrame:
+    """The whole line of each trail, point by point."""
+    lines = positions.linestrings(positions.trail(run.fixes, run.params))
+    number = lambda c: round_half_up(c, 4).cast("string")
+    points = F.transform("points", lambda p: F.concat(number(p["lon"]), F.lit(" "), number(p["lat"])))
+    return lines.select("shipment_id", F.array_join(points, ",").alias("line"))
+
+
 @query("SELECT event_id, shipment_id, received_us FROM fixes")
 def dedup_events(run: Run) -> DataFrame:
     """Repeats (event_id % 37 = 0, a minute later) drop out again."""
@@ -1213,3 +1226,86 @@ def live_fold(run: Run) -> DataFrame:
 @query("SELECT exception_id, shipment_id, cleared_us AS at_us FROM incidents WHERE cleared_us IS NOT NULL ORDER BY cleared_us DESC, exception_id LIMIT 40")
 def resolved_incidents(run: Run) -> DataFrame:
     return live.resolved(_live_updates(run))
+
+
+# --- streams of every rule, histories, and what a run reports -------------------------------------
+
+
+def _change_rows(table: str, kind: str) -> str:
+    return f"""SELECT exception_id, shipment_id, '{kind}' AS rule, 'raised' AS change, onset_us, raised_us AS at_us, raised_by AS caused_by, NULL::VARCHAR AS recovery FROM {table}
+  UNION ALL SELECT exception_id, shipment_id, '{kind}', 'cleared', onset_us, cleared_us, cleared_by, resolution FROM {table} WHERE cleared_us IS NOT NULL"""
+
+
+@query(
+    "\n  UNION ALL ".join(
+        _change_rows(t, k)
+        for t, k in (("hot_incident", "TEMPERATURE_EXCURSION"), ("idle_incident", "UNPLANNED_STOP"), ("astray_incident", "ROUTE_DEVIATION"))
+    )
+)
+def stream_incidents(run: Run) -> DataFrame:
+    """Raises and clears of the three sustained rules from one stream, with the identifiers of the batch table."""
+    p = run.params
+    columns = ("event_id", "shipment_id", "lane", "occurred_us", "lat", "lon", "speed_kph", "accuracy_m", "temp_c", "setpoint_c")
+    fixes = _as_stream(run, run.staged_track.select(*columns), "occurred_us")
+    terms = run.staged_terms.select("shipment_id", "min_c", "max_c", "tolerance_s")
+    wanted = ("shipment_id", "rule", "occurred_us", "event_id", "breach", "hold_us", "excess", "recovery")
+    judge = lambda df, rule, hold: df.withColumn("rule", F.lit(rule)).withColumn("hold_us", hold).select(*wanted)
+    hot = conditions.judged_readings(fixes.where("temp_c IS NOT NULL").join(terms, "shipment_id", "left"), p)
+    placed = fixes.join(run.plans, "lane")
+    km = positions.off_plan_km(F.col("lat"), F.col("lon"), F.col("legs"))
+    usable = F.coalesce(F.col("accuracy_m") <= p.rule_accuracy_m, F.lit(True))
+    astray = placed.withColumn("excess", km).withColumns(
+        {"breach": F.when(usable, F.col("excess") > p.corridor_km), "recovery": F.lit("BACK_ON_ROUTE")}
+    )
+    rows = (
+        judge(hot, "TEMPERATURE_EXCURSION", F.col("hold_us"))
+        .union(judge(conditions.judged_rests(placed, p), "UNPLANNED_STOP", F.lit(p.unplanned_stop_seconds * MICROS)))
+        .union(judge(astray, "ROUTE_DEVIATION", F.lit(p.deviation_seconds * MICROS)))
+    )
+    changes = flows.run_to_table(tracking.sustained_changes(rows), "incident-changes").drop("worst")
+    return changes.withColumn("exception_id", ids.incident_id(F.col("rule"), F.col("shipment_id"), F.lit(None).cast("string"), F.col("onset_us")))
+
+
+@query("SELECT strftime(make_timestamp(occurred_us), '%Y-%m-%d') AS dt, count(*) AS rows, count(DISTINCT shipment_id) AS shipments FROM fixes GROUP BY 1")
+def stream_history(run: Run) -> DataFrame:
+    """Position history by event day; arrival order decides the batches, so late rows come in later ones and are kept."""
+    stream = _as_stream(run, run.fixes.select("event_id", "shipment_id", "occurred_us", "received_us", "lat", "lon"), "received_us")
+    path = new_table(run.spark, "history")
+    flows.history_sink(stream, path, f"{path}-checkpoint").awaitTermination()
+    held = run.spark.read.parquet(path)
+    return held.groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shipment_id").alias("shipments"))
+
+
+@query("SELECT count(*) AS input_rows FROM fixes")
+def stream_drain(run: Run) -> DataFrame:
+    """Rows that a drained stream reports as read: the sum over its batches' progress."""
+    stream = _fix_stream(run, "event_id", "shipment_id", "occurred_us")
+    path = new_table(run.spark, "drain")
+    progress = flows.run_batches(stream, "drain", lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch={k}"))
+    return flows.progress_table(run.spark, progress).agg(F.sum("input_rows").alias("input_rows"))
+
+
+@query(
+    """SELECT shipment_id, seq, stop_id, arrived_us, departed_us FROM (SELECT DISTINCT shipment_id, lane FROM fixes) JOIN lane_stop USING (lane)
+  LEFT JOIN visit USING (shipment_id, stop_id)"""
+)
+def shipment_stops(run: Run) -> DataFrame:
+    """Planned stops of every shipment in plan order, with the visit of each."""
+    visited = run.visits.select("shipment_id", "stop_id", "arrived_us", "departed_us")
+    planned = run.shipments.select("shipment_id", "lane").join(run.stops.select("lane", "seq", "stop_id"), "lane")
+    return planned.join(visited, ["shipment_id", "stop_id"], "left").select(
+        "shipment_id", F.col("seq").cast("bigint").alias("seq"), "stop_id", "arrived_us", "departed_us"
+    ).orderBy("shipment_id", "seq")
+
+
+@query("SELECT shipment_id, exception_id, type, severity, state, onset_us, cleared_us FROM incidents")
+def shipment_incidents(run: Run) -> DataFrame:
+    """All incidents of every shipment, newest onset first."""
+    columns = ("shipment_id", "exception_id", "type", "severity", "state", "onset_us", "cleared_us")
+    return run.incidents.select(*columns).orderBy("shipment_id", F.desc("onset_us"), "exception_id")
+
+
+@query(pick("trail_point", "shipment_id event_id occurred_us", "lat lon"))
+def shipment_trail(run: Run) -> DataFrame:
+    """The trail of every shipment, oldest point first."""
+    return positions.in_track_order(tidy(positions.trail(run.fixes, run.params).drop("slice")))

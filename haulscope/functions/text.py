@@ -47,3 +47,16 @@ def first_line(text: Column) -> Column:
 
 def abbreviate(text: Column, limit: int = 40) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("...")))
+
+
+# Units that a key's name ends in, first match first.
+UNIT_SUFFIXES = (("(?i)inr$", "INR"), ("(?i)kg$", "kg"), ("(?i)cm$", "cm"), ("[a-z0-9]C$", "°C"), ("(?i)minutes$", "min"), ("(?i)hours$", "h"))
+
+
+def unit_of_key(key: Column, parent: Column) -> Column:
+    """Unit that a key names by its ending, or else the key around it; null where neither does."""
+    unit = F.lit(None).cast("string")
+    for name in (parent, key):
+        for pattern, word in reversed(UNIT_SUFFIXES):
+            unit = F.when(name.rlike(pattern), word).otherwise(unit)
+    return unit

@@ -122,22 +122,25 @@ def band_of(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
+def judged_readings(readings: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Readings that carry min_c, max_c and tolerance_s of their terms, with what ``sustained`` needs."""
+    hold = F.when(F.col("agreed"), F.coalesce("tolerance_s", F.lit(params.excursion_seconds))).otherwise(F.lit(params.excursion_seconds))
+    return band_of(readings, params).withColumns(
+        {
+            "hold_us": hold.cast("bigint") * MICROS,
+            "observed": F.col("temp_c"),
+            "severity": F.when(F.col("agreed"), "CRITICAL").otherwise("WARNING"),
+            "recovery": F.lit("RECOVERED"),
+            "start_value": F.struct("agreed", "min_c", "max_c"),
+        }
+    )
+
+
 def temperature_excursions(readings: DataFrame, terms: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Readings outside the agreed band, or outside setpoint +- tolerance where no band was agreed."""
-    df = band_of(with_terms(readings, terms.select("shipment_id", "min_c", "max_c", "tolerance_s")), params)
-    df = (
-        df.withColumn(
-            "hold_us",
-            F.when(F.col("agreed"), F.coalesce("tolerance_s", F.lit(params.excursion_seconds)))
-            .otherwise(F.lit(params.excursion_seconds))
-            .cast("bigint") * MICROS,
-        )
-        .withColumn("observed", F.col("temp_c"))
-        .withColumn("severity", F.when(F.col("agreed"), "CRITICAL").otherwise("WARNING"))
-        .withColumn("recovery", F.lit("RECOVERED"))
-        .withColumn("start_value", F.struct("agreed", "min_c", "max_c"))
-    )
+    df = judged_readings(with_terms(readings, terms.select("shipment_id", "min_c", "max_c", "tolerance_s")), params)
 
+    # The sentences of incidents, here and below.
     def detail(fact: Column, worst: Column) -> Column:
         band = F.col("start.start_value")
         against = F.when(
@@ -153,23 +156,29 @@ def temperature_excursions(readings: DataFrame, terms: DataFrame, params: Params
     return _incidents(sustained(df, params), "TEMPERATURE_EXCURSION", detail)
 
 
-def unplanned_stops(track: DataFrame, plans: DataFrame, terms: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Standing still away from every planned stop."""
-    df = positions.with_plan(track, plans)
+def judged_rests(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Fixes that carry the stops of their plan, with breach (still, away from every stop), excess and recovery."""
     distances = positions.stop_distances(F.col("lat"), F.col("lon"), F.col("stops"))
-    df = df.withColumn("_d", distances)
+    df = track.withColumn("_d", distances)
     expected = F.coalesce(F.exists("_d", lambda d: d["meters"] <= d["radius_m"] * params.stop_margin_ratio), F.lit(False))
     nearest_km = F.coalesce(F.array_min(F.transform("_d", lambda d: d["meters"])), F.lit(float("nan"))) / 1000.0
     usable = F.col("speed_kph").isNotNull() & F.coalesce(F.col("accuracy_m") <= params.rule_accuracy_m, F.lit(True))
     moving = F.col("speed_kph") >= params.moving_kph
-    threshold_us = params.unplanned_stop_seconds * MICROS
-    df = df.withColumns(
+    return df.withColumns(
         {
             "breach": F.when(usable, ~moving & ~expected),
             "excess": nearest_km,
             "recovery": F.when(moving, "RESUMED").otherwise("RECOVERED"),
         }
-    ).select("shipment_id", SLICE, "occurred_us", "event_id", "breach", "excess", "recovery")
+    )
+
+
+def unplanned_stops(track: DataFrame, plans: DataFrame, terms: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Standing still away from every planned stop."""
+    threshold_us = params.unplanned_stop_seconds * MICROS
+    df = judged_rests(positions.with_plan(track, plans), params).select(
+        "shipment_id", SLICE, "occurred_us", "event_id", "breach", "excess", "recovery"
+    )
     df = with_terms(df, terms.select("shipment_id", "cold_chain"))
     df = df.withColumns(
         {

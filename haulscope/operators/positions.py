@@ -112,6 +112,11 @@ def last_n(df: DataFrame, n: int, key: str = "shipment_id") -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def in_track_order(df: DataFrame, key: str = "shipment_id") -> DataFrame:
+    """Rows of each key together, oldest first."""
+    return df.orderBy(key, "occurred_us", "event_id")
+
+
 def trail(fixes: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Last points of each track after collapsing runs of the same point."""
     track = one_per_instant(fixes, params).select("shipment_id", SLICE, "occurred_us", "event_id", "lat", "lon")
