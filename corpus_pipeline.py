@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of runs of lines; those of which no line is left go."""
     ready(spark)
     left = drop_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")))
-    some = left.where("n_removed = 0 OR n_removed < n_lines")
+    some = left.where("NOT emptied")
     changed = F.col("n_removed") > 0
     kept = some.select("row.*", F.col("text").alias("_text"), changed.alias("_changed"))
     out = {"text": F.col("_text"), "n_chars": F.when(F.col("_changed"), F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))}

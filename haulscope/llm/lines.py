@@ -42,7 +42,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(hashed: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, first, around): ``around`` are the lines of all windows that chose the
+    """(doc_id, text_hash, lines, fingerprint, first, around): ``around`` are the lines of all windows that chose the
     fingerprint, which follow one another; ``first`` is the line where they begin."""
     last = F.size("hashes") - run
     place = lambda p: F.array_min(
@@ -60,6 +60,7 @@ def fingerprints(hashed: DataFrame, run: int = RUN) -> DataFrame:
     return spread.select(
         "doc_id",
         "text_hash",
+        F.size("hashes").alias("lines"),
         F.get("chosen", F.col("r.first"))["h"].alias("fingerprint"),
         "r.first",
         F.slice("hashes", F.col("r.first") + 1, F.col("r.windows") + run - 1).alias("around"),
@@ -67,14 +68,14 @@ def fingerprints(hashed: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def repeated_windows(hashed: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text_hash, first): windows of ``run`` lines that also start earlier in the corpus."""
+    """(doc_id, text_hash, first, lines): windows of ``run`` lines that also start earlier in the corpus."""
     marks = stage(fingerprints(hashed, run), "fingerprints")
     # rows equal in id and text are one document, so they do not repeat each other
     shared = marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     met = marks.join(shared, "fingerprint")
     windows = stage(
-        met.select("doc_id", "text_hash", "first", "around", F.explode(F.sequence(F.lit(0), F.size("around") - run)).alias("o")).select(
-            F.struct("doc_id", "text_hash", (F.col("first") + F.col("o")).alias("first")).alias("at"),
+        met.select("doc_id", "text_hash", "lines", "first", "around", F.explode(F.sequence(F.lit(0), F.size("around") - run)).alias("o")).select(
+            F.struct("doc_id", "text_hash", (F.col("first") + F.col("o")).alias("first"), "lines").alias("at"),
             F.slice("around", F.col("o") + 1, run).alias("window"),
         ),
         "windows",
@@ -84,25 +85,31 @@ def repeated_windows(hashed: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` with the text that is left, n_lines (not blank, before) and n_removed."""
-    docs = docs.drop("n_lines", "n_removed")
+    """``docs`` with the text that is left, n_lines (not blank, before), n_removed and emptied (all of them were).
+
+    What is removed is known from the windows alone; filters on n_removed and emptied never take a text apart.
+    """
+    docs = docs.drop("n_lines", "n_removed", "emptied")
     found = repeated_windows(line_hashes(docs.select("doc_id", "text")).distinct(), run)
-    starts = found.groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias("_starts"))
+    starts = found.groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias("_starts"), F.max("lines").alias("_all"))
+    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + run - 1))))
+    starts = starts.withColumn("_lost", F.array_sort(covered))
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     s = starts.withColumnRenamed("doc_id", "_doc")
     joined = keyed.join(s, keyed.doc_id.eqNullSafe(s._doc) & (keyed._hash == s.text_hash), "left").drop("_doc", "text_hash", "_hash")
     lines = F.split("text", "\n")
     places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _bare(F.get("_lines", i)) != "")
     with_lines = joined.withColumn("_lines", lines).withColumn("_places", F.coalesce(places, F.array().cast("array<int>")))
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.slice("_places", p + 1, run))))
+    gone = F.transform("_lost", lambda p: F.get("_places", p))
     marked = with_lines.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
     # array_except hashes, so a long document takes time in proportion to its lines
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
     return (
         marked.withColumn("n_lines", F.size("_places").cast("long"))
-        .withColumn("n_removed", F.size("_gone").cast("long"))
-        .withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_starts", "_lines", "_places", "_gone")
+        .withColumn("n_removed", F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long"))
+        .withColumn("emptied", F.coalesce(F.size("_lost") == F.col("_all"), F.lit(False)))
+        .withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop("_starts", "_all", "_lost", "_lines", "_places", "_gone")
     )
 
 
