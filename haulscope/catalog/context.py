@@ -75,7 +75,8 @@ class Run:
 
     @cached_property
     def feed_rows(self) -> DataFrame:
-        return ingest.judged(self.staged_messages, self.assignments)
+        """Messages parsed, resolved and judged once for all that is told about them."""
+        return stage(ingest.judged(self.staged_messages, self.assignments), "judged")
 
     @cached_property
     def staged_sides(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 
+# Every default below.
 @dataclass(frozen=True)
 class Params:
     # geofence

@@ -32,26 +32,29 @@ def unambiguous_periods(assignments: DataFrame) -> DataFrame:
     Contradictory (overlapping) stretches are cut out here, on the dimension, so the fact side needs
     no aggregation afterwards: an as-of join against the result matches at most one row.
     """
-    dim = keyed_assignments(assignments)
+    numbered = Window.partitionBy(*KEYS).orderBy("from_us", "to_us", "shipment_id", "vehicle_id")
+    dim = keyed_assignments(assignments).withColumn("number", F.row_number().over(numbered))
     edges = dim.select(
         *KEYS,
         F.inline(
             F.array(
-                F.struct(F.col("from_us").alias("at_us"), F.lit(1).alias("step")),
-                F.struct(F.col("to_us").alias("at_us"), F.lit(-1).alias("step")),
+                F.struct(F.col("from_us").alias("at_us"), F.lit(1).alias("step"), F.col("number").alias("who")),
+                F.struct(F.col("to_us").alias("at_us"), F.lit(-1).alias("step"), (-F.col("number")).alias("who")),
             )
         ),
     )
     w = Window.partitionBy(*KEYS).orderBy("at_us")
+    # while one assignment holds, the sum of the numbers that began less those that ended is its number
     stretches = (
         edges.groupBy(*KEYS, "at_us")
-        .agg(F.sum("step").alias("step"))
+        .agg(F.sum("step").alias("step"), F.sum("who").alias("who"))
         .withColumn("holding", F.sum("step").over(w))
+        .withColumn("number", F.sum("who").over(w))
         .withColumn("end_us", F.lead("at_us").over(w))
         .where("holding = 1 AND end_us IS NOT NULL")
-        .select(*KEYS, F.col("at_us").alias("start_us"), "end_us")
+        .select(*KEYS, "number", F.col("at_us").alias("start_us"), "end_us")
     )
-    return stretches.join(dim, KEYS).where("from_us <= start_us AND start_us < to_us").select(
+    return stretches.join(dim, [*KEYS, "number"]).select(
         *KEYS, "start_us", "end_us", F.col("shipment_id").alias("as_shipment"), F.col("vehicle_id").alias("as_vehicle")
     )
 

@@ -31,6 +31,7 @@ def _range(column: str, path: str, low: float | None, high: float | None, open_h
 
 def violations() -> Column:
     """Sorted 'path message' list of broken constraints, null when there are none."""
+    # The texts and bounds of violations, here and in _range.
     checks = [
         F.when(blank_to_null(F.col("shipment_id")).isNull(), "shipmentId must not be blank"),
         F.when(blank_to_null(F.col("vehicle_id")).isNull(), "vehicleId must not be blank"),

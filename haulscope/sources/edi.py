@@ -80,6 +80,7 @@ def _sets(segs: Column, starts: Column) -> Column:
 def _envelope_problem(segs: Column, sets_found: Column) -> Column:
     ge = _last(segs, "GE")
     declared = safe_int(_element(ge, 1))
+    # The texts of rejections in this module.
     return (
         F.when(~F.exists(segs, lambda s: _tag(s) == "GS"), "no GS functional group header")
         .when(ge.isNull(), "interchange truncated: no GE footer")

@@ -99,6 +99,7 @@ def telematics(messages: DataFrame) -> DataFrame:
     miles = unit.isin("mi", "mile", "miles")
     km = unit.isin("km", "kilometre", "kilometres", "kilometer", "kilometers")
     bad_unit = value.isNotNull() & ~miles & ~km
+    # The names of units and the texts of rejections in this module.
     return candidates(
         df,
         {
