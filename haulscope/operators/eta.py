@@ -25,8 +25,12 @@ def learn(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
     composition of its maps, so slices fold in parallel and chain through (age, pull) pairs. The
     first fix of a slice is applied while chaining, as its gap reaches back into the slice before.
     """
-    if params.slice_seconds > MOST_HALVES * params.half_life_seconds:
-        raise ValueError(f"slices of {params.slice_seconds} s are wider than {MOST_HALVES} half-lives")
+    narrow = int(MOST_HALVES * params.half_life_seconds)
+    if params.slice_seconds > narrow:
+        # learn in slices that are narrow enough and give the rows their own slice back
+        finer = slices.with_slice(track.withColumn("_wide", F.col(SLICE)), "occurred_us", narrow)
+        learned = learn(finer, params.but(slice_seconds=narrow))
+        return learned.withColumn(SLICE, F.col("_wide")).drop("_wide")
     w = Window.partitionBy(*SHIP, SLICE).orderBy("occurred_us")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     moving, gap = F.col("_moving"), F.col("_gap")
