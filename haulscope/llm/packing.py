@@ -172,7 +172,7 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
     coder = words(path, ranks)
     for batch in batches:
-        for part in by_bytes(batch, "text", 8 << 20):
+        for part in by_bytes(batch, "text", 3 << 20):
             ids, at = coder.ids(part.column("text"), end)
             raw = memoryview(ids.astype("<u4").tobytes())
             out: list[tuple] = []
