@@ -69,13 +69,16 @@ def digests(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndar
     return row, number, start, end, one, mixed(other ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def _earliest(one: np.ndarray, two: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Whether each chunk is the first with its digest in the order of ``place``."""
+def _earliest(one: np.ndarray, two: np.ndarray, place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each chunk is the first with its digest in the order of ``place``, and whether it is a repeat of that:
+    at the same place it is the same chunk, of a row equal in id and text, and neither."""
     order = np.lexsort((*place[::-1], two, one))
     new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-    out = np.empty(len(one), bool)
-    out[order] = new
-    return out
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    later = np.any([p[order] != p[order[head]] for p in place], axis=0)
+    first, again = np.empty(len(one), bool), np.empty(len(one), bool)
+    first[order], again[order] = new, later
+    return first, again
 
 
 def _marked(batches: Iterator[pa.RecordBatch], shards: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -90,9 +93,9 @@ def _marked(batches: Iterator[pa.RecordBatch], shards: int, bits: int) -> Iterat
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         one, two, ids, numbers, versions = (np.concatenate(c) for c in zip(*held))
-        first = _earliest(one, two, (ids, versions, numbers))
-        for low in range(0, int((~first).sum()), 50_000):
-            cut = np.flatnonzero(~first)[low : low + 50_000]
+        first, again = _earliest(one, two, (ids, versions, numbers))
+        for low in range(0, int(again.sum()), 50_000):
+            cut = np.flatnonzero(again)[low : low + 50_000]
             yield settled(ids[cut], versions[cut], numbers[cut])
         shard = (one % np.uint64(shards)).astype(np.int64)
         keep = np.flatnonzero(first)
@@ -140,7 +143,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, (kind, low) in zip(cols, (("<u8", 0), ("<u8", 8), ("<i8", 16), ("<i4", 24), ("<i4", 28))):
                     c.append(np.frombuffer(raw, kind, k, low * k))
             one, two, ids, numbers, versions = (np.concatenate(c) for c in cols)
-            again = np.flatnonzero(~_earliest(one, two, (ids, versions, numbers)))
+            again = np.flatnonzero(_earliest(one, two, (ids, versions, numbers))[1])
             for low in range(0, len(again), 50_000):
                 k = again[low : low + 50_000]
                 yield pa.RecordBatch.from_arrays(

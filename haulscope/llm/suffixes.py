@@ -102,6 +102,14 @@ def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int64), batch.column("version").to_numpy(zero_copy_only=False).astype(np.int32)
 
 
+def distinct(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first of each group of equal entries, ascending."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    return np.sort(order[new])
+
+
 def _by_shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, bounds): rows of shard s are order[bounds[s]:bounds[s+1]]."""
     shard = (h % np.uint64(shards)).astype(np.int64)
@@ -153,6 +161,11 @@ def _repeated(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Reco
                     c.append(np.frombuffer(raw, kind, k, low))
             h, ids, first, versions = (np.concatenate(c) for c in cols)
             _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+            h, ids, first, versions = (x[count[which] > 1] for x in (h, ids, first, versions))
+            # equal rows give the same anchors at the same places, which count once
+            once = distinct(h, ids, versions, first)
+            h, ids, first, versions = (x[once] for x in (h, ids, first, versions))
+            _, which, count = np.unique(h, return_inverse=True, return_counts=True)
             count = count[which]
             keep = count > 1
             parts = -(-count[keep] // crowd)
@@ -194,6 +207,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], shards: int, depth: int, gram:
         )
 
     held, size = [], 0
+    taken: set[tuple[int, int]] = set()  # documents in held: of equal rows one is enough
     for batch in batches:
         for piece in by_bytes(batch, "text", 1 << 20):
             data, at = flat_bytes(piece.column("text"))
@@ -201,6 +215,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], shards: int, depth: int, gram:
             ids, versions = _keys(piece)
             wanted_row, wanted_first, wanted_parts = [], [], []
             for r, some in enumerate(piece.column("firsts").to_pylist()):
+                doc = (int(ids[r]), int(versions[r]))
+                if doc in taken:
+                    continue
+                taken.add(doc)
                 wanted_row += [r] * len(some)
                 wanted_first += [x["first"] for x in some]
                 wanted_parts += [x["parts"] for x in some]
@@ -220,7 +238,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], shards: int, depth: int, gram:
             size += int(length.sum())
             if size > 16 << 20:
                 yield from flush(held)
-                held, size = [], 0
+                held, size, taken = [], 0, set()
     if held:
         yield from flush(held)
 
@@ -328,6 +346,13 @@ def _found(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                     low += wide * k
                 cols[7].append(np.frombuffer(raw, np.uint8, -1, low))
             h, ids, first, versions, parts, left, span, body = (np.concatenate(x) for x in cols)
+            once = distinct(h, ids, versions, first)
+            if len(once) < len(h):  # rows equal in id and text, from several tasks
+                length = span.astype(np.int64) + depth
+                begin = (np.cumsum(length) - length)[once]
+                length = length[once]
+                body = body[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+                h, ids, first, versions, parts, left, span = (x[once] for x in (h, ids, first, versions, parts, left, span))
             place = first.astype(np.int64) + left
             rank = np.empty(len(h), np.int64)
             rank[np.lexsort((place, versions, ids))] = np.arange(len(h))

@@ -333,6 +333,22 @@ def test_chunks_resist_insertions():
     assert len(digest(body) & digest(shifted)) > 0.95 * len(digest(body))
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_equal_rows_are_one_document(spark, tasks):
+    rng = random.Random(11)
+    one, two = prose(rng, EN, 90), prose(rng, EN, 90)
+    # equal rows with and without an id; 3 is a later copy, and so is its equal row
+    given = [(None, one)] * 3 + [(1, two)] * 4 + [(2, prose(rng, EN, 90))] + [(3, two)] * 2 + [(4, one)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(tasks)
+    want = sorted((d or 0, len(t.encode()), len(t.encode()) if d in (3, 4) else 0) for d, t in given)
+    for out in (
+        suffixes.remove_spans(docs, suffixes.repeated_spans(docs)),
+        suffixes.remove_spans(docs, suffixes.repeated_spans(docs, crowd=1)),
+        chunks.drop_repeated_chunks(docs),
+    ):
+        assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in collected(out)) == want
+
+
 # 9: language
 
 
