@@ -5,8 +5,11 @@ into the longest pieces that occur somewhere in the sample; the fewer pieces, th
 text. Pieces x log2(sample length) / text length is the (Ziv-Merhav) cross entropy in bits per letter, and the
 language with the least wins.
 
-The automata are small tables (a state's successor for every letter), so whole batches of texts are parsed at once:
-long texts are laid side by side in strips of ``STRIP`` letters, and one step moves every strip of every text by one
+Every letter of the samples is a symbol of its own; only letters that no sample holds are one more symbol, without an
+edge in any automaton. Successors by the commonest ``LETTERS`` symbols are rows of a table, all others sorted pairs of
+state and symbol, so scripts with thousands of letters cost what their sample costs.
+
+Automata are looked up in arrays, so whole batches of texts are parsed at once: long texts are laid side by side in strips of ``STRIP`` letters, and one step moves every strip of every text by one
 letter. A strip ends a piece, so a text of n letters gains at most n / STRIP pieces over an unbroken parse, the same
 for every language.
 
@@ -34,7 +37,7 @@ from haulscope.llm.common import held_out, table, texts
 SAMPLE = 120_000  # letters of labelled text in all automata together
 PER_DOCUMENT = 600  # letters that one labelled text gives at most
 STRIP = 1024
-LETTERS = 63  # commonest letters of the sample; all others are one more symbol, which no automaton knows
+LETTERS = 63  # commonest letters of the sample, which have columns in the table; the others are sorted pairs
 UNDETERMINED = "und"
 SURE = 12.0  # how fast the score rises with the lead over the second language, in texts' relative entropy
 
@@ -50,7 +53,7 @@ class Codes:
     def __init__(self, letters: str):
         self.letters = letters
         self.other = len(letters) + 1
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.min_scalar_type(self.other))
         space = np.zeros(0x110000, bool)
         for c in range(0x110000):
             space[c] = not chr(c).isalpha()
@@ -69,8 +72,8 @@ class Codes:
         return symbols[:-1] if len(symbols) and not symbols[-1] else symbols
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Suffix automaton as a table: row a state, column a symbol, entry the next state or 0, which is the start."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton: for each state its successors by symbol; 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -97,15 +100,11 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table_ = np.zeros((len(step), width), np.int32)
-    for state, after in enumerate(step):
-        for s, to in after.items():
-            table_[state, s] = to
-    return table_
+    return step
 
 
 class Model:
-    """Automata of all languages in one table; a text is parsed against all of them at once.
+    """Automata of all languages in one table and one list of pairs; a text is parsed against all of them at once.
 
     An entry is what a letter does in a state: the row of the next state, and in the lowest two bits how many
     pieces end there. Where the automaton has no successor the piece ends before the letter, which starts the
@@ -114,11 +113,19 @@ class Model:
 
     def __init__(self, letters: str, samples: dict[str, list[int]]):
         self.codes = Codes(letters)
-        self.width = self.codes.other + 1
+        self.common = min(len(letters), LETTERS)
+        self.width = self.common + 2  # the last column is for letters without an edge
         self.langs = sorted(samples)
-        tables, starts, at = [], [], 0
+        tables, starts, rare, at = [], [], [], 0
         for lang in self.langs:
-            t = automaton(samples[lang], self.width).astype(np.int64)
+            step = automaton(samples[lang])
+            t = np.zeros((len(step), self.width), np.int64)
+            for state, after_ in enumerate(step):
+                for s, to in after_.items():
+                    if s <= self.common:
+                        t[state, s] = to
+                    else:
+                        rare.append(((state + at) * (self.codes.other + 1) + s, (to + at) * self.width << 2))
             first, known = t[0][None, :], t > 0
             ends = np.where(known, 0, 1 + (first == 0))
             ends[0] = first[0] == 0  # nothing was open at the start
@@ -127,9 +134,26 @@ class Model:
             starts.append(at * self.width)
             at += len(t)
         self.steps = np.concatenate(tables).reshape(-1).astype(np.int32 if at * self.width < 1 << 28 else np.int64) if tables else np.zeros(0, np.int32)
+        pairs = np.array(sorted(rare), np.int64).reshape(-1, 2)
+        self.rare_keys, self.rare_steps = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(self.steps.dtype)
         self.starts = np.array(starts, self.steps.dtype)
         self.bits = np.array([np.log2(max(2, len(samples[lang]))) for lang in self.langs])
 
+    def _rare(self, state: np.ndarray, symbols: np.ndarray, start: int) -> np.ndarray:
+        """Entries for symbols that have no column."""
+
+        def look(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys = states.astype(np.int64) // self.width * (self.codes.other + 1) + symbols
+            at = np.minimum(np.searchsorted(self.rare_keys, keys), max(0, len(self.rare_keys) - 1))
+            if not len(self.rare_keys):
+                return np.zeros(len(keys), bool), np.zeros(len(keys), self.steps.dtype)
+            return self.rare_keys[at] == keys, self.rare_steps[at]
+
+        known, entry = look(state)
+        opens, fresh = look(np.full(len(state), start))
+        lost = self.steps.take(state + self.width - 1)  # no edge from here or from the start
+        return np.where(known, entry, np.where(opens, fresh | 1, lost))
+
     def pieces(self, texts_: list[np.ndarray]) -> np.ndarray:
         """Number of pieces of each text (row) under each language (column)."""
         nl = len(self.langs)
@@ -144,15 +168,24 @@ class Model:
         begin = np.repeat(np.cumsum(lengths) - lengths, strips) + number * STRIP
         order = np.argsort(-size, kind="stable")  # strips that end drop off at the end
         owner, size, begin = owner[order], size[order], begin[order]
-        flat = np.concatenate(texts_).astype(self.steps.dtype)
+        symbols = np.concatenate(texts_).astype(np.int64)
+        flat = np.minimum(symbols, self.width - 1).astype(self.steps.dtype)
+        odd = (symbols > self.common) & (symbols < self.codes.other)
+        some_odd = bool(odd.any())
         live = np.searchsorted(-size, -np.arange(1, STRIP + 1), side="right")  # strips at least as long as each step
         for lang, start in enumerate(self.starts):
             state = np.full(len(owner), start)
             found = np.zeros(len(owner), state.dtype)
             for k in range(int(size[0])):
-                now, count = state[: live[k]], found[: live[k]]
-                now += flat[begin[: live[k]] + k]
+                now, count, at = state[: live[k]], found[: live[k]], begin[: live[k]] + k
+                if some_odd and len(apart := np.flatnonzero(odd[at])):
+                    rare = self._rare(now[apart], symbols[at[apart]], start)
+                else:
+                    apart = None
+                now += flat[at]
                 entry = self.steps.take(now)
+                if apart is not None:
+                    entry[apart] = rare
                 np.right_shift(entry, 2, out=now)
                 entry &= 3
                 count += entry
@@ -169,7 +202,7 @@ class Model:
 def _model(key: tuple[str, tuple[tuple[str, bytes], ...]]) -> Model:
     """One per Python worker, from the letters and the samples."""
     letters, samples = key
-    return Model(letters, {lang: list(s) for lang, s in samples})
+    return Model(letters, {lang: np.frombuffer(s, "<u4").tolist() for lang, s in samples})
 
 
 def _judged(batches: Iterator[pa.RecordBatch], shared, column: str) -> Iterator[pa.RecordBatch]:
@@ -215,9 +248,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOC
     for text in chosen.values():
         for c in text.replace(" ", ""):
             counts[c] = counts.get(c, 0) + 1
-    letters = "".join(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS])
+    letters = "".join(sorted(counts, key=lambda c: (-counts[c], c)))
     codes = Codes(letters)
-    return letters, tuple(sorted((lang, codes.encode(text).tobytes()) for lang, text in chosen.items()))
+    return letters, tuple(sorted((lang, codes.encode(text).astype("<u4").tobytes()) for lang, text in chosen.items()))
 
 
 def identify(docs: DataFrame, model: tuple[str, tuple[tuple[str, bytes], ...]], column: str = "text") -> DataFrame:

@@ -373,6 +373,31 @@ def test_pieces_are_greedy_longest_matches():
     assert model.pieces(coded).tolist() == want
 
 
+def test_pieces_with_more_letters_than_columns():
+    rng = random.Random(6)
+    letters = "".join(chr(0x4E00 + i) for i in range(300))
+    sample = {k: "".join(rng.choice(letters[at : at + 200] + " ") for _ in range(900)) for k, at in (("a", 0), ("b", 100))}
+    model = language.Model(letters, {k: [(" " + letters).index(c) for c in v] for k, v in sample.items()})
+    texts = [sample[k][i : i + 30] + rng.choice(["", "x", letters[7], letters[290]]) + sample["b"][i : i + 9] for k in "ab" for i in range(0, 600, 20)]
+    coded = [np.array([f" {letters}x".index(c) for c in t]) for t in texts]
+    assert model.pieces(coded).tolist() == [[brute_pieces(t, sample[k]) for k in "ab"] for t in texts]
+
+
+def test_languages_of_large_scripts_are_told_apart(spark):
+    rng = random.Random(9)
+    script = {"zh": range(0x4E00, 0x4E00 + 900), "ko": range(0xAC00, 0xAC00 + 900), "ja": range(0x3041, 0x3041 + 80)}
+    vocabulary = {k: [chr(rng.choice(v)) + chr(rng.choice(v)) for _ in range(80)] for k, v in script.items()}
+    text = lambda lang: "".join(rng.choice(vocabulary[lang]) for _ in range(40))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["zh", "ko", "ja"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs.where("doc_id < 150"))
+    got = collected(language.identify(docs.where("doc_id >= 150"), model))
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    # a script that no label has meets no run of another one
+    unknown = spark.createDataFrame([(1, "".join(chr(0x0E01 + i % 40) for i in range(60)))], "doc_id long, text string")
+    assert collected(language.identify(unknown, model))[0]["bits"] > 11
+
+
 def test_language_of_held_out_rows(spark, sf_dir, rows, none):
     got = {r["doc_id"]: r for r in collected(QUERIES["op9_language"](spark, sf_dir))}
     known = {r[0]: r for r in rows}
