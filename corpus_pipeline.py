@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulscope.llm.common import ready, word_count
-from haulscope.llm.language import UNDETERMINED, identify, learn
+from haulscope.llm.language import identify, learn
 from haulscope.llm.lines import drop_repeats
 from haulscope.llm.mixing import mix
 from haulscope.llm.packing import pack
@@ -18,15 +18,24 @@ from haulscope.session import stage
 
 # bits per letter from which a text is like none of the languages; texts in one of them have 2 to 5
 FOREIGN = 6.0
+# a text is foreign only if it needs so many bits beyond FOREIGN for each letter (three pieces or so), and has so many letters
+BEYOND = 48.0
+LEAST_LETTERS = 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; those without a letter or unlike all of them go."""
+    """Documents that can be in one of the labelled languages; those without a letter or unlike all of them go.
+
+    A piece costs about 15 bits however short it is, so a short text says nothing by its bits per letter: what counts
+    are the bits beyond FOREIGN in the whole text. Texts too short to tell stay, and all texts where nothing is labelled.
+    """
     ready(spark)
     model = learn(docs.select("doc_id", "text", "lang"))
     whole = docs.select(F.struct("*").alias("row"), "text")
     judged = identify(whole, model)
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits") < FOREIGN)).select("row.*")
+    beyond = (F.col("bits") - FOREIGN) * F.col("n_letters")
+    foreign = (F.col("n_letters") >= LEAST_LETTERS) & (beyond > BEYOND)
+    return judged.where((F.col("n_letters") > 0) & ~F.coalesce(foreign, F.lit(False))).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ PER_DOCUMENT = 600  # letters that one labelled text gives at most
 STRIP = 1024
 LETTERS = 63  # commonest letters of the sample, which have columns in the table; the others are sorted pairs
 UNDETERMINED = "und"
+ADDED = ("lang_pred", "score", "bits", "n_letters")
 SURE = 12.0  # how fast the score rises with the lead over the second language, in texts' relative entropy
 
 
@@ -214,6 +215,7 @@ def _judged(batches: Iterator[pa.RecordBatch], shared, column: str) -> Iterator[
             some = [i for i, c in enumerate(coded) if len(c)]
             lang = [UNDETERMINED] * batch.num_rows
             score, bits = np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
+            letters = pa.array([int(np.count_nonzero(c)) for c in coded], pa.int64())
             if model.langs and some:
                 e = model.entropies([coded[i] for i in some])
                 best = e.argmin(axis=1)
@@ -221,8 +223,8 @@ def _judged(batches: Iterator[pa.RecordBatch], shared, column: str) -> Iterator[
                 lead = np.exp(-SURE * (e - least[:, None]) / np.maximum(least[:, None], 1e-9))
                 for i, b, p, h in zip(some, best, 1 / lead.sum(axis=1), least):
                     lang[i], score[i], bits[i] = model.langs[b], p, h
-            extra = [pa.array(lang), pa.array(score), pa.array(bits, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "lang_pred", "score", "bits"])
+            extra = [pa.array(lang), pa.array(score), pa.array(bits, from_pandas=True), letters]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *ADDED])
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOCUMENT) -> tuple[str, tuple[tuple[str, bytes], ...]]:
@@ -254,10 +256,10 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOC
 
 
 def identify(docs: DataFrame, model: tuple[str, tuple[tuple[str, bytes], ...]], column: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and bits (cross entropy per letter; null where undetermined)."""
+    """``docs`` with lang_pred, score, bits (cross entropy per letter; null where undetermined) and n_letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the sample
-    docs = docs.drop("lang_pred", "score", "bits")
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
+    docs = docs.drop(*ADDED)
+    new = [T.StructField(c, t) for c, t in zip(ADDED, (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()))]
     return docs.mapInArrow(lambda batches: _judged(batches, shared, column), T.StructType([*docs.schema.fields, *new]))
 
 

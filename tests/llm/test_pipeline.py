@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from haulscope.llm import queries
-from tests.llm.conftest import words
+from tests.llm.conftest import DE, EN, words
 from tests.llm.test_text import brute_components, brute_lines, brute_targets, collected
 
 STEPS = dict(pipeline.STAGES)
@@ -38,6 +38,18 @@ def test_language_stage_drops_what_has_no_letters(spark, docs, rows, sf_dir):
     assert not gone & set(range(80))
 
 
+def test_language_stage_keeps_what_is_too_short_to_tell(spark, docs, sf_dir):
+    short = [w for v in (EN, DE) for w in (v[0], v[3] + " " + v[5], v[7][0], "Re.", "A.", "漢字", "2024-01-01 a")]
+    foreign = ["".join(chr(0x0E01 + i % 40) for i in range(60)), "漢字かなカナ" * 10]
+    rows = [(1000 + i, t, None, "s", len(t), "x", "y", "z") for i, t in enumerate([*short, *foreign])]
+    given = docs.union(spark.createDataFrame(rows, docs.schema))
+    left = {r[1] for r in as_rows(STEPS["language"](spark, given, sf_dir)) if r[0] >= 1000}
+    assert left == set(short)
+    # where nothing is labelled nothing is foreign
+    bare = spark.createDataFrame([*rows, (1, "12 3", None, "s", 4, "x", "y", "z")], docs.schema)
+    assert STEPS["language"](spark, bare, sf_dir).count() == len(rows)
+
+
 def test_line_stage(spark, docs, rows, sf_dir):
     want = collections.Counter()
     for (doc, text), (left, solid, gone) in brute_lines(rows).items():
