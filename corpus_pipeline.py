@@ -21,6 +21,8 @@ FOREIGN = 6.0
 # a text is foreign only if it needs so many bits beyond FOREIGN for each letter (three pieces or so), and has so many letters
 BEYOND = 48.0
 LEAST_LETTERS = 20
+# words that make a run of one or two lines
+ENOUGH = 50
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later occurrences of runs of lines; those of which no line is left go."""
+    """Documents without later occurrences of runs of lines or of long lines; those of which no line is left go."""
     ready(spark)
-    left = drop_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    left = drop_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")), enough=ENOUGH)
     some = left.where("NOT emptied")
     changed = F.col("n_removed") > 0
     kept = some.select("row.*", F.col("text").alias("_text"), changed.alias("_changed"))

@@ -8,10 +8,14 @@ ways: the windows of RUN lines around the fingerprint are looked up, and those t
 doc_id, or same document and earlier line) are repeated. The union of repeated windows is every later occurrence of
 every repeated run in its full length, and its lines are deleted.
 
+With ``enough`` a single line or two lines that follow one another also make a run if they hold so many words. There is
+at most one such run from each line, so they are met by their hashes as they are. Without it, as in ``op2_line_dedup``,
+whose SQL fixes runs of three lines, shorter repeats stay whatever their length.
+
 Occurrences are never paired with each other. A window's first occurrence is an aggregate, and each other occurrence
 meets that one row, so a line or a run in a third of all documents costs what its rows cost.
 
-Defined results: a null text stays null and has no lines; fewer than RUN lines never lose any; a document may become
+Defined results: a null text stays null and has no lines; without ``enough`` fewer than RUN lines never lose any; a document may become
 empty; rows equal in doc_id and text are judged as one and lose the same lines; a null doc_id comes first; an empty
 table gives an empty result; other columns travel untouched, and clashing ones are replaced. Lines are compared by
 64-bit hashes.
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from haulscope.llm.common import table
+from haulscope.llm.common import WORD, table
 from haulscope.session import stage
 
 RUN = 3  # lines in a window: runs at least so long are found and their later occurrences deleted
@@ -84,15 +88,42 @@ def repeated_windows(hashed: DataFrame, run: int = RUN) -> DataFrame:
     return windows.join(earliest.select("window", "earliest"), "window").where("at > earliest").select("at.*").distinct()
 
 
-def drop_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
+def repeated_long(docs: DataFrame, enough: int) -> DataFrame:
+    """(doc_id, text_hash, first, lines, width) of one or two lines with ``enough`` words that also occur earlier."""
+    bare = F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != "")
+    lines = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("all"))
+
+    def window(x: Column, i: Column) -> Column:
+        after = F.get("all", i + 1)
+        pair = F.when(x["words"] + after["words"] >= enough, F.array(x["h"], after["h"]))
+        body = F.when(x["words"] >= enough, F.array(x["h"])).otherwise(pair)
+        return F.struct(i.alias("first"), body.alias("window"))
+
+    long = F.filter(F.transform("all", window), lambda w: w["window"].isNotNull())
+    windows = stage(
+        given.select("doc_id", "text_hash", F.size("all").alias("lines"), F.explode(long).alias("w")).select(
+            F.struct("doc_id", "text_hash", "w.first", "lines").alias("at"), "w.window"
+        ),
+        "long",
+    )
+    earliest = windows.groupBy("window").agg(F.min("at").alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(earliest.select("window", "earliest"), "window").where("at > earliest")
+    return later.select("at.*", F.size("window").alias("width")).distinct()
+
+
+def drop_repeats(docs: DataFrame, run: int = RUN, enough: int | None = None) -> DataFrame:
     """``docs`` with the text that is left, n_lines (not blank, before), n_removed and emptied (all of them were).
 
     What is removed is known from the windows alone; filters on n_removed and emptied never take a text apart.
     """
     docs = docs.drop("n_lines", "n_removed", "emptied")
     found = repeated_windows(line_hashes(docs.select("doc_id", "text")).distinct(), run)
-    starts = found.groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias("_starts"), F.max("lines").alias("_all"))
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + run - 1))))
+    found = found.withColumn("width", F.lit(run))
+    if enough is not None:
+        found = found.unionByName(repeated_long(docs, enough))
+    starts = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "width")).alias("_starts"), F.max("lines").alias("_all"))
+    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p["first"], p["first"] + p["width"] - 1))))
     starts = starts.withColumn("_lost", F.array_sort(covered))
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     s = starts.withColumnRenamed("doc_id", "_doc")

@@ -62,6 +62,13 @@ def test_line_stage(spark, docs, rows, sf_dir):
         assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
 
 
+def test_line_stage_deletes_long_lines(spark, docs, sf_dir):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, None, "s", len(long), "x", "y", "z"), (2, f"a\n{long}", None, "s", 2 + len(long), "x", "y", "z")]
+    got = collected(STEPS["line_dedup"](spark, spark.createDataFrame(rows, docs.schema), sf_dir))
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got) == [(1, long, len(long)), (2, "a", 1)]
+
+
 def test_near_stage_keeps_one_of_each_group(spark, docs, rows, sf_dir):
     want = {k[0] for k in brute_components(rows, 5, 80, 100) if k[1] == 0 or k[0] == k[2]}
     got = [r[0] for r in as_rows(STEPS["near_dedup"](spark, docs, sf_dir))]

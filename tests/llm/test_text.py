@@ -50,6 +50,27 @@ def test_line_dedup_matches_brute_force(docs, rows, run):
     assert sum(r["n_removed"] for r in got) > 50
 
 
+def test_long_lines_are_runs(spark):
+    rng = random.Random(12)
+    long, half, other = (prose(rng, EN, n, line=999) for n in (60, 30, 30))
+    given = [
+        (1, f"a\n{long}\nb"), (2, long), (3, f"c\n  {long}\nc\n{long}"),
+        (4, f"{half}\n\n{other}"), (5, f"d\n{half}\n{other}"), (6, f"{other}\n{half}"), (7, half),
+        (2, long), (None, long), (None, long), (8, None),
+    ]
+    # a null id comes first, equal rows are one document, and c with the long line is a run of two lines
+    want = [
+        (1, "a\nb"), (2, ""), (3, "c"), (4, f"{half}\n\n{other}"), (5, "d"), (6, f"{other}\n{half}"), (7, half),
+        (2, ""), (None, long), (None, long), (8, None),
+    ]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = collected(lines.drop_repeats(docs, enough=50))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(want)
+    assert {r["doc_id"] for r in got if r["emptied"]} == {2}
+    plan = lines.drop_repeats(docs, enough=50)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
 def test_line_dedup_runs_on_built_in_functions_only(docs):
     plan = lines.drop_repeats(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
