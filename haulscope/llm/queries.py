@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulscope.llm import lines, topk
+from haulscope.llm import lines, personal, topk
 from haulscope.llm.caps import op10_cap_links
 from haulscope.llm.chunks import op8_chunk_dedup
 from haulscope.llm.language import op9_language
 from haulscope.llm.lines import op2_line_dedup
 from haulscope.llm.mixing import op4_mix_sources
 from haulscope.llm.packing import op3_pack_sequences
+from haulscope.llm.personal import op11_personal_data
 from haulscope.llm.shingles import op5_ngram_join
 from haulscope.llm.suffixes import op7_suffix_dedup
 from haulscope.llm.topk import op1_top_k
@@ -29,5 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_language": op9_language,
     "op10_cap_links": op10_cap_links,
+    "op11_personal_data": op11_personal_data,
+}
+ORACLES: dict[str, str] = {
+    "op1_top_k": topk.ORACLE,
+    "op2_line_dedup": lines.ORACLE,
+    "op11_personal_data": personal.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op2_line_dedup": lines.ORACLE}
