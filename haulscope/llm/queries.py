@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulscope.llm import lines, negatives, personal, topk
+from haulscope.llm import divergence, lines, negatives, personal, topk
 from haulscope.llm.caps import op10_cap_links
 from haulscope.llm.chunks import op8_chunk_dedup
+from haulscope.llm.divergence import op12_source_divergence
 from haulscope.llm.language import op9_language
 from haulscope.llm.lines import op2_line_dedup
 from haulscope.llm.mixing import op4_mix_sources
@@ -32,11 +33,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_cap_links": op10_cap_links,
     "op11_personal_data": op11_personal_data,
+    "op12_source_divergence": op12_source_divergence,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_top_k": topk.ORACLE,
     "op2_line_dedup": lines.ORACLE,
     "op11_personal_data": personal.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
     "op13_hard_negatives": negatives.ORACLE,
 }
