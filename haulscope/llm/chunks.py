@@ -33,7 +33,7 @@ LEAST = 100  # bytes in a run of repeated chunks
 WINDOW = 32
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)  # any fixed numbers will do
 
-FOUND = "shard int, n int, marks binary, id long, version int, chunk int"
+FOUND = "shard int, n int, marks binary, id long, version long, chunk int"
 
 
 def chunk_ends(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def _marked(batches: Iterator[pa.RecordBatch], shards: int, bits: int) -> Iterat
         yield pa.RecordBatch.from_arrays(
             [
                 *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))),
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
             ],
             ["shard", "n", "marks", "id", "version", "chunk"],
         )
@@ -122,7 +122,7 @@ def _marked(batches: Iterator[pa.RecordBatch], shards: int, bits: int) -> Iterat
             row, number, _, _, one, two = digests(data, at, bits)
             if len(row):
                 ids = part.column("id").to_numpy().astype(np.int64)
-                versions = part.column("version").to_numpy().astype(np.int32)
+                versions = part.column("version").to_numpy().astype(np.int64)
                 held.append((one, two, ids[row], number.astype(np.int32), versions[row]))
                 size += len(row)
             if size > 1_000_000:
@@ -140,7 +140,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for i in np.flatnonzero(shard == s):
                 raw, k = unpacked(values[int(i)].as_py()), int(n[i])
-                for c, (kind, low) in zip(cols, (("<u8", 0), ("<u8", 8), ("<i8", 16), ("<i4", 24), ("<i4", 28))):
+                for c, (kind, low) in zip(cols, (("<u8", 0), ("<u8", 8), ("<i8", 16), ("<i4", 24), ("<i8", 28))):
                     c.append(np.frombuffer(raw, kind, k, low * k))
             one, two, ids, numbers, versions = (np.concatenate(c) for c in cols)
             again = np.flatnonzero(_earliest(one, two, (ids, versions, numbers))[1])
@@ -185,7 +185,7 @@ def drop_repeated_chunks(docs: DataFrame, bits: int = BITS, least: int = LEAST,
     rows = versioned(docs).withColumn("id", F.coalesce("doc_id", F.lit(_FIRST_ID).cast("long")))
     shards = shards or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marks = stage(rows.mapInArrow(lambda b: _marked(b, shards, bits), FOUND), "chunks")
-    key = "id long, version int, chunk int"
+    key = "id long, version long, chunk int"
     met = (
         marks.where("shard IS NOT NULL").select("shard", "n", "marks").repartition("shard").sortWithinPartitions("shard").mapInArrow(_repeats, key)
     )

@@ -37,7 +37,6 @@ from haulscope.session import stage
 DEPTH = 100
 GRAM = 32
 CROWD = 20_000
-KEYS = "doc_id long, version int"
 _PLACE = np.uint64((1 << 30) - 1)
 _FIRST_ID = -(2**63)  # stands for a null doc_id
 
@@ -99,7 +98,7 @@ def anchors(data: np.ndarray, at: np.ndarray, depth: int = DEPTH, gram: int = GR
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column("doc_id").fill_null(_FIRST_ID).to_numpy(zero_copy_only=False)
-    return ids.astype(np.int64), batch.column("version").to_numpy(zero_copy_only=False).astype(np.int32)
+    return ids.astype(np.int64), batch.column("version").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def distinct(*columns: np.ndarray) -> np.ndarray:
@@ -157,7 +156,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Reco
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for i in np.flatnonzero(shard == s):
                 raw, k = unpacked(values[int(i)].as_py()), int(n[i])
-                for c, (kind, low) in zip(cols, (("<u8", 0), ("<i8", 8 * k), ("<i4", 16 * k), ("<i4", 20 * k))):
+                for c, (kind, low) in zip(cols, (("<u8", 0), ("<i8", 8 * k), ("<i4", 16 * k), ("<i8", 20 * k))):
                     c.append(np.frombuffer(raw, kind, k, low))
             h, ids, first, versions = (np.concatenate(c) for c in cols)
             _, which, count = np.unique(h, return_inverse=True, return_counts=True)
@@ -339,7 +338,7 @@ def _found(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
             cols: list[list[np.ndarray]] = [[] for _ in range(8)]
             for i in np.flatnonzero(code == c):
                 raw, k = unpacked(values[int(i)].as_py()), int(n[i])
-                kinds = (("<u8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4), ("u1", 1), ("u1", 1))
+                kinds = (("<u8", 8), ("<i8", 8), ("<i4", 4), ("<i8", 8), ("<i4", 4), ("u1", 1), ("u1", 1))
                 low = 0
                 for to, (kind, wide) in zip(cols, kinds):
                     to.append(np.frombuffer(raw, kind, k, low))
@@ -425,9 +424,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def versioned(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, text): ``version`` tells rows with one doc_id and different texts apart."""
+    """(doc_id, version, text): ``version``, a whole 64-bit hash, tells rows with one doc_id and different texts apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.shiftright(F.xxhash64(text), 40).cast("int").alias("version"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = CROWD, shards: int | None = None) -> DataFrame:
@@ -437,7 +436,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd:
     marks = rows.mapInArrow(lambda b: _marked(b, shards, depth, gram), "shard int, n int, marks binary")
     anchored = stage(
         marks.repartition("shard").sortWithinPartitions("shard").mapInArrow(
-            lambda b: _repeated(b, crowd), "id long, version int, first int, parts int"
+            lambda b: _repeated(b, crowd), "id long, version long, first int, parts int"
         ),
         "anchors",
     )
@@ -445,7 +444,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd:
     keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(_FIRST_ID).cast("long")))
     joined = keyed.join(listed, ["id", "version"]).select("doc_id", "version", "text", "firsts")
     bodies = joined.mapInArrow(lambda b: _contexts(b, shards, depth, gram), "shard int, part int, n int, bodies binary")
-    spans = "id long, version int, low long, high long, head binary"
+    spans = "id long, version long, low long, high long, head binary"
     found = stage(
         bodies.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(lambda b: _found(b, depth), spans), "found"
     )

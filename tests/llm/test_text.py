@@ -4,6 +4,8 @@ import collections
 import hashlib
 import itertools
 import random
+import string
+import time
 import zlib
 
 import numpy as np
@@ -370,6 +372,30 @@ def test_equal_rows_are_one_document(spark, tasks):
         assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in collected(out)) == want
 
 
+def test_many_texts_under_one_id(spark):
+    """Texts that share an id, or have none, are told apart however many there are."""
+    rng = random.Random(12)
+    letters = string.ascii_lowercase
+    texts = ["".join(rng.choices(letters, k=rng.randint(100, 140))) for _ in range(40_000)]
+    shared = "".join(rng.choices(letters, k=300))
+    for k in (5, 30_000):
+        texts[k] += shared
+    for doc in (7, None):
+        docs = spark.createDataFrame([(doc, t) for t in texts], "doc_id long, text string").repartition(4)
+        for out in (suffixes.remove_spans(docs, suffixes.repeated_spans(docs)), chunks.drop_repeated_chunks(docs)):
+            got = collected(out)
+            assert len(got) == len(texts) and all(len(r["kept"]) + r["n_removed"] == r["n_bytes"] for r in got)
+            assert [r["n_bytes"] > 400 for r in got if r["n_removed"]] == [True]
+            assert sum(r["n_removed"] for r in got) > 200
+
+
+def test_segments_take_linear_time():
+    for scores in (np.tile([1.0, -1.1], 100_000), np.random.default_rng(0).normal(-0.1, 1.0, 200_000)):
+        began = time.perf_counter()
+        assert toxicity.segments(scores)
+        assert time.perf_counter() - began < 5
+
+
 # 9: language
 
 
