@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulscope.llm.common import by_bytes, held_out, table, word_hashes
 from haulscope.session import stage
@@ -93,22 +93,26 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, sum), left to right, in linear time.
 
     A candidate is kept with the sum before it and the sum after it; a new one swallows the latest candidate that
-    starts lower and ends lower, with all that lie between.
+    starts lower and ends lower, with all that lie between. Each candidate knows the latest one before it that starts
+    lower, so a search passes over whole stretches and visits no candidate twice.
     """
     sums = np.concatenate([[0.0], np.cumsum(scores)]).tolist()
     found: list[tuple[int, int]] = []
+    lower: list[int] = []  # for each candidate the latest one before it that starts lower, or -1
     for i in np.flatnonzero(scores > 0).tolist():
         low, high = i, i + 1
         k = len(found)
+        j = k - 1
         while True:
-            j = k - 1
             while j >= 0 and sums[found[j][0]] >= sums[low]:
-                j -= 1
+                j = lower[j]
             if j < 0 or sums[found[j][1]] >= sums[high]:
                 break
             low, k = found[j][0], j
-        del found[k:]
+            j = lower[j]
+        del found[k:], lower[k:]
         found.append((low, high))
+        lower.append(j)
     return [(a, b, sums[b] - sums[a]) for a, b in found]
 
 
@@ -245,11 +249,11 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _scored(columns: Iterator[pa.Array], shared) -> Iterator[pa.Array]:
     model = shared.value
-    for batch in batches:
-        scores = [model.score(model.odds[t]) for part in by_bytes(batch, "text") for t in buckets(part.column("text"))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+    for column in columns:
+        parts = by_bytes(pa.RecordBatch.from_arrays([column], ["text"]), "text")
+        yield pa.array([model.score(model.odds[t]) for part in parts for t in buckets(part.column("text"))], pa.float64())
 
 
 def _spans(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -273,8 +277,12 @@ def _spans(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the probability that its text is toxic; a column named score is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    docs = docs.drop("score")
-    return docs.mapInArrow(lambda b: _scored(b, shared), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _scored(columns, shared)
+
+    return docs.drop("score").withColumn("score", scored.asNondeterministic()("text"))
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
