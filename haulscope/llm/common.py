@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,6 +165,22 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterato
         low = high
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until it is none of the columns of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and the next stage's need it too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for many spans at once, eight bytes a step."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])

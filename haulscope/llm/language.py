@@ -14,8 +14,9 @@ letter. A strip ends a piece, so a text of n letters gains at most n / STRIP pie
 for every language.
 
 The sample is the only bounded thing: ``SAMPLE`` letters in all, shared evenly by the languages, taken from the
-labelled texts in the order of a hash of the id. It is gathered per language with partial aggregation that never
-keeps more than the sample.
+labelled texts in the order of a hash of the id, from each its first ``PER_DOCUMENT`` letters. It is gathered per
+language with partial aggregation that never keeps more than the sample. A language with less text than its share
+gives what it has and takes nothing from the others: the length of a sample is in the bits a piece costs.
 
 Defined results: a text that is null, empty or without a letter gets ``und`` and score 0; where nothing was learned
 every text gets that; ties go to the language first by code point; repeated rows are judged alike; null labels are
@@ -29,10 +30,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from haulscope.llm.common import held_out, table, texts
+from haulscope.llm.common import by_bytes, free_name, give_back, held_out, table, texts
 
 SAMPLE = 120_000  # letters of labelled text in all automata together
 PER_DOCUMENT = 600  # letters that one labelled text gives at most
@@ -40,6 +41,9 @@ STRIP = 1024
 LETTERS = 63  # commonest letters of the sample, which have columns in the table; the others are sorted pairs
 UNDETERMINED = "und"
 ADDED = ("lang_pred", "score", "bits", "n_letters")
+JUDGED = "lang_pred string, score double, bits double, n_letters long"
+_FIELDS = [pa.field(n, t) for n, t in zip(ADDED, (pa.string(), pa.float64(), pa.float64(), pa.int64()))]
+SLICE = 1 << 20  # bytes of text that are parsed at once
 SURE = 12.0  # how fast the score rises with the lead over the second language, in texts' relative entropy
 
 
@@ -206,34 +210,41 @@ def _model(key: tuple[str, tuple[tuple[str, bytes], ...]]) -> Model:
     return Model(letters, {lang: np.frombuffer(s, "<u4").tolist() for lang, s in samples})
 
 
-def _judged(batches: Iterator[pa.RecordBatch], shared, column: str) -> Iterator[pa.RecordBatch]:
+def _judged(columns: Iterator[pa.Array], shared) -> Iterator[pa.Array]:
+    """Texts to what each is taken for; a slice of texts is parsed at once, so memory follows its bytes."""
     model = _model(shared.value)
-    for whole in batches:
-        for low in range(0, whole.num_rows, 2000):
-            batch = whole.slice(low, 2000)
-            coded = [model.codes.encode(t) for t in texts(batch.column(column))]
-            some = [i for i, c in enumerate(coded) if len(c)]
-            lang = [UNDETERMINED] * batch.num_rows
-            score, bits = np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
-            letters = pa.array([int(np.count_nonzero(c)) for c in coded], pa.int64())
-            if model.langs and some:
-                e = model.entropies([coded[i] for i in some])
-                best = e.argmin(axis=1)
-                least = e[np.arange(len(some)), best]
-                lead = np.exp(-SURE * (e - least[:, None]) / np.maximum(least[:, None], 1e-9))
-                for i, b, p, h in zip(some, best, 1 / lead.sum(axis=1), least):
-                    lang[i], score[i], bits[i] = model.langs[b], p, h
-            extra = [pa.array(lang), pa.array(score), pa.array(bits, from_pandas=True), letters]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *ADDED])
+    for column in columns:
+        parts = [_parsed(model, part) for part in by_bytes(pa.RecordBatch.from_arrays([column], ["text"]), "text", SLICE)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_FIELDS))
+    give_back()
+
+
+def _parsed(model: Model, batch: pa.RecordBatch) -> pa.Array:
+    coded = [model.codes.encode(t) for t in texts(batch.column("text"))]
+    some = [i for i, c in enumerate(coded) if len(c)]
+    lang = [UNDETERMINED] * batch.num_rows
+    score, bits = np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
+    letters = [int(np.count_nonzero(c)) for c in coded]
+    if model.langs and some:
+        e = model.entropies([coded[i] for i in some])
+        best = e.argmin(axis=1)
+        least = e[np.arange(len(some)), best]
+        lead = np.exp(-SURE * (e - least[:, None]) / np.maximum(least[:, None], 1e-9))
+        for i, b, p, h in zip(some, best, 1 / lead.sum(axis=1), least):
+            lang[i], score[i], bits[i] = model.langs[b], p, h
+    columns = [pa.array(lang), pa.array(score), pa.array(bits, from_pandas=True), pa.array(letters, pa.int64())]
+    return pa.StructArray.from_arrays(columns, fields=_FIELDS)
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOCUMENT) -> tuple[str, tuple[tuple[str, bytes], ...]]:
     """Letters and samples from ``labelled`` (doc_id, text, lang); what reaches the driver is bounded by ``sample``."""
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, 4 * per_document).alias("text"))
-    langs = usable.groupBy("lang").count().count()
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    langs = known.select("lang").distinct().count()
     if not langs:
         return "", ()
-    share = max(200, sample // langs)
+    share = max(1, sample // langs)
+    # what marks, spaces and capitals take away is allowed for
+    usable = known.select("doc_id", "lang", F.substring("text", 1, 4 * min(per_document, share) + 100).alias("text"))
     # so many documents of a language are enough at a third of the letters each; smallest hashes first
     enough = max(1, -(-3 * share // per_document))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
@@ -243,9 +254,6 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOC
         text = chosen.get(r.lang, "")
         if len(text) < share:
             chosen[r.lang] = f"{text} {normalised(r.text)[:per_document]}".strip()[:share]
-    # equally long samples, so that no language wins by having more to match
-    least = max(200, min(map(len, chosen.values())))
-    chosen = {lang: text[:least] for lang, text in chosen.items()}
     counts: dict[str, int] = {}
     for text in chosen.values():
         for c in text.replace(" ", ""):
@@ -255,12 +263,24 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOC
     return letters, tuple(sorted((lang, codes.encode(text).astype("<u4").tobytes()) for lang, text in chosen.items()))
 
 
+def judgement(spark: SparkSession, model: tuple[str, tuple[tuple[str, bytes], ...]], text: Column) -> Column:
+    """(lang_pred, score, bits, n_letters) of each text; only the text goes to Python, and only these come back."""
+    shared = spark.sparkContext.broadcast(model)  # at most the sample
+
+    @F.arrow_udf(JUDGED)
+    def judged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _judged(columns, shared)
+
+    # so that a filter on the result does not parse the texts a second time
+    return judged.asNondeterministic()(text)
+
+
 def identify(docs: DataFrame, model: tuple[str, tuple[tuple[str, bytes], ...]], column: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score, bits (cross entropy per letter; null where undetermined) and n_letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the sample
     docs = docs.drop(*ADDED)
-    new = [T.StructField(c, t) for c, t in zip(ADDED, (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()))]
-    return docs.mapInArrow(lambda batches: _judged(batches, shared, column), T.StructType([*docs.schema.fields, *new]))
+    judged = free_name(docs, "judged")
+    rows = docs.withColumn(judged, judgement(docs.sparkSession, model, F.col(column)))
+    return rows.select(*docs.columns, *(F.col(judged)[c].alias(c) for c in ADDED))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
