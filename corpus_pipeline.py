@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haulscope.llm.common import ready, word_count
-from haulscope.llm.language import identify, learn
+from haulscope.llm.common import free_name, ready, word_count
+from haulscope.llm.language import judgement, learn
 from haulscope.llm.lines import drop_repeats
 from haulscope.llm.mixing import mix
 from haulscope.llm.packing import pack
@@ -33,22 +33,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ready(spark)
     model = learn(docs.select("doc_id", "text", "lang"))
-    whole = docs.select(F.struct("*").alias("row"), "text")
-    judged = identify(whole, model)
-    beyond = (F.col("bits") - FOREIGN) * F.col("n_letters")
-    foreign = (F.col("n_letters") >= LEAST_LETTERS) & (beyond > BEYOND)
-    return judged.where((F.col("n_letters") > 0) & ~F.coalesce(foreign, F.lit(False))).select("row.*")
+    name = free_name(docs, "judged")
+    judged = docs.withColumn(name, judgement(spark, model, F.col("text")))
+    letters, bits = F.col(name)["n_letters"], F.col(name)["bits"]
+    foreign = (letters >= LEAST_LETTERS) & ((bits - FOREIGN) * letters > BEYOND)
+    return judged.where((letters > 0) & ~F.coalesce(foreign, F.lit(False))).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of runs of lines or of long lines; those of which no line is left go."""
     ready(spark)
-    left = drop_repeats(docs.select("doc_id", "text", F.struct("*").alias("row")), enough=ENOUGH)
-    some = left.where("NOT emptied")
-    changed = F.col("n_removed") > 0
-    kept = some.select("row.*", F.col("text").alias("_text"), changed.alias("_changed"))
-    out = {"text": F.col("_text"), "n_chars": F.when(F.col("_changed"), F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    # the text is carried once, beside the other columns
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    left = drop_repeats(docs.select("doc_id", "text", rest.alias("rest")), enough=ENOUGH)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("rest")["n_chars"])
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": n_chars}
+    return left.where("NOT emptied").select(*(own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ready(spark)
     found = near_duplicates(docs.select("doc_id", "text"), words=5, least=(80, 100))
-    kept = found.where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
-    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    name = free_name(docs, "kept")
+    kept = found.where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept[name]), "left_semi")
+    return rows.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
