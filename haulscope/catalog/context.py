@@ -133,8 +133,19 @@ class Run:
         estimates = self.staged_estimates.withColumn("lane", lane_code(ship))
         return conditions.late_arrivals(estimates, arrivals, self.staged_terms, self.finals, self.params)
 
+    @cached_property
+    def statuses(self) -> DataFrame:
+        """Status events of all feeds: shipment_id, occurred_us, event_id."""
+        return ingest.events(self.feed_rows).where("type = 'status'").select("shipment_id", "occurred_us", "event_id")
+
+    @cached_property
+    def staged_sightings(self) -> DataFrame:
+        """When each shipment was heard from, by any kind of event."""
+        visited = geofence.visit_events(self.staged_visits)
+        return stage(conditions.sightings(self.staged_track, self.statuses, visited, self.staged_estimates, params=self.params), "sightings")
+
     def quiet(self) -> DataFrame:
-        return conditions.signal_loss(self.staged_track, self.completions, self.staged_terms, self.params)
+        return conditions.signal_loss(self.staged_sightings, self.completions, self.staged_terms, self.params)
 
     @cached_property
     def incidents(self) -> DataFrame:

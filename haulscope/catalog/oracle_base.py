@@ -56,7 +56,7 @@ def uuid3(*parts: str) -> str:
 
 
 def instant(us: str) -> str:
-    return f"(strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || 'Z')"
+    return f"regexp_replace(strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S.%f') || 'Z', '(\\.000000|000)Z$', 'Z')"
 
 
 def dist(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -426,17 +426,26 @@ part(
     "completion",
     "SELECT shipment_id, arrived_us AS completed_us FROM visit JOIN (SELECT stop_id FROM lane_final) USING (stop_id)",
 )
+part(
+    "sighting",
+    f"""SELECT shipment_id, occurred_us, min(event_id) AS event_id FROM (
+    SELECT shipment_id, occurred_us, CAST(event_id AS VARCHAR) AS event_id FROM track
+    UNION ALL SELECT shipment_id, occurred_us, event_id FROM feed_event WHERE type = 'status'
+    UNION ALL SELECT shipment_id, arrived_us, {uuid3("'ARRIVED'", 'shipment_id', 'stop_id', instant('arrived_us'))} FROM visit
+    UNION ALL SELECT shipment_id, departed_us, {uuid3("'DEPARTED'", 'shipment_id', 'stop_id', instant('departed_us'))} FROM visit WHERE departed_us IS NOT NULL
+    UNION ALL SELECT shipment_id, occurred_us, event_id FROM eta) GROUP BY shipment_id, occurred_us""",
+)
 part(
     "quiet",
     """SELECT shipment_id, onset_us, cleared_us, raised_by, cleared_by, cleared_us - onset_us AS quiet_us,
     CASE WHEN cleared_us = completed_us THEN 'SHIPMENT_COMPLETED' ELSE 'REPORTING_AGAIN' END AS resolution FROM (
     SELECT shipment_id, completed_us, occurred_us AS cleared_us, event_id AS cleared_by, lag(occurred_us) OVER w AS onset_us, lag(event_id) OVER w AS raised_by
-    FROM track LEFT JOIN completion USING (shipment_id) WHERE completed_us IS NULL OR occurred_us <= completed_us
+    FROM sighting LEFT JOIN completion USING (shipment_id) WHERE completed_us IS NULL OR occurred_us <= completed_us
     WINDOW w AS (PARTITION BY shipment_id ORDER BY occurred_us)) WHERE cleared_us - onset_us >= 1800000000
   UNION ALL
   SELECT shipment_id, last_us, NULL, last_id, NULL, fleet_us - last_us, NULL FROM (
-    SELECT shipment_id, max(occurred_us) AS last_us, arg_max(event_id, occurred_us) AS last_id FROM track
-    WHERE shipment_id NOT IN (SELECT shipment_id FROM completion) GROUP BY shipment_id), (SELECT max(occurred_us) AS fleet_us FROM track)
+    SELECT shipment_id, max(occurred_us) AS last_us, arg_max(event_id, occurred_us) AS last_id FROM sighting
+    WHERE shipment_id NOT IN (SELECT shipment_id FROM completion) GROUP BY shipment_id), (SELECT max(occurred_us) AS fleet_us FROM sighting)
   WHERE fleet_us - last_us >= 1800000000""",
 )
 _quiet_text = f"printf('No events of any kind for %d minutes; last heard from at %s.', {minutes('quiet_us')}, {instant('onset_us')})"

@@ -21,7 +21,7 @@ from haulscope.operators import asof, conditions, contracts, eta, geofence, mani
 from haulscope.plans import archive, events as ev, fleet as fleet_plan, ingest, live, reference
 from haulscope.session import new_table, stage
 from haulscope.sources import plan
-from haulscope.streaming import flows, tracking
+from haulscope.streaming import flows, incidents, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1139,7 +1139,7 @@ def stream_route_deviations(run: Run) -> DataFrame:
 def stream_signal_loss(run: Run) -> DataFrame:
     """Silences by event-time timers, with the final arrival ending the watch; the batch form has the same oracle."""
     over = run.completions.select("shipment_id", F.col("completed_us").alias("occurred_us"), F.lit(True).alias("completed"))
-    seen = run.staged_track.select("shipment_id", "occurred_us", "event_id").join(over, ["shipment_id", "occurred_us"], "left")
+    seen = run.staged_sightings.select("shipment_id", "occurred_us", "event_id").join(over, ["shipment_id", "occurred_us"], "left")
     sightings = _as_stream(run, seen.withColumn("completed", F.coalesce("completed", F.lit(False))), "occurred_us")
     return flows.run_to_table(tracking.silence_changes(sightings, "0 seconds", run.params), "silence")
 
@@ -1231,39 +1231,89 @@ def resolved_incidents(run: Run) -> DataFrame:
 # --- streams of every rule, histories, and what a run reports -------------------------------------
 
 
-def _change_rows(table: str, kind: str) -> str:
-    return f"""SELECT exception_id, shipment_id, '{kind}' AS rule, 'raised' AS change, onset_us, raised_us AS at_us, raised_by AS caused_by, NULL::VARCHAR AS recovery FROM {table}
-  UNION ALL SELECT exception_id, shipment_id, '{kind}', 'cleared', onset_us, cleared_us, cleared_by, resolution FROM {table} WHERE cleared_us IS NOT NULL"""
+DELAY_S = 600  # how late the simulated topics may be
+LATENESS_S = {"fixes": 30, "statuses": 540, "estimates": 120, "arrivals": 480, "departures": 60}
 
 
-@query(
-    "\n  UNION ALL ".join(
-        _change_rows(t, k)
-        for t, k in (("hot_incident", "TEMPERATURE_EXCURSION"), ("idle_incident", "UNPLANNED_STOP"), ("astray_incident", "ROUTE_DEVIATION"))
-    )
-)
+def _topics(run: Run, **events: DataFrame) -> dict[str, DataFrame]:
+    """Each kind of event as a topic of its own: files in the order of hearing, every event late by its own hash.
+
+    The batches of all topics cover the same times. The last one carries a row that moves the clocks to the end.
+    """
+    heard = {
+        name: stage(
+            df.withColumn("event_id", F.col("event_id").cast("string"))
+            .withColumn("heard_us", F.col("occurred_us") + F.pmod(F.xxhash64("event_id"), F.lit(LATENESS_S[name])) * MICROS),
+            name,
+        )
+        for name, df in events.items()
+    }
+    spans = [df.agg(F.min("heard_us"), F.max("heard_us"), F.max("occurred_us")).first() for df in heard.values()]
+    low, high = min(s[0] for s in spans if s[0]), max(s[1] for s in spans if s[1])
+    newest = max(s[2] for s in spans if s[2])
+    width = (high - low) // STREAM_FILES + 1
+    out = {}
+    for name, df in heard.items():
+        path = new_table(run.spark, name)
+        clock = {"occurred_us": newest + DELAY_S * MICROS, "heard_us": high}
+        mark = run.spark.range(1).select(*(F.lit(clock.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema))
+        for k, part in enumerate(df.unionByName(mark).where((F.col("heard_us") >= low + k * width) & (F.col("heard_us") < low + (k + 1) * width)) for k in range(STREAM_FILES)):
+            part.coalesce(1).write.mode("append").parquet(path)
+        stream = flows.file_source(run.spark, path, df.schema, files_per_trigger=1)
+        out[name] = incidents.topic(stream, f"{DELAY_S} seconds")
+    return out
+
+
+def _incidents_of(run: Run, changes: DataFrame, name: str) -> DataFrame:
+    """The incident table that a stream of changes leaves behind."""
+    path = new_table(run.spark, name)
+    flows.run_batches(changes, name, incidents.upsert(path, changes.schema))
+    held = incidents.held_incidents(run.spark, path, changes.schema)
+    fleet = run.staged_sightings.agg(F.max("occurred_us")).scalar() if "silence" in name else F.lit(None).cast("bigint")
+    return incidents.incident_rows(held, fleet)
+
+
+def _estimate_topic(run: Run) -> DataFrame:
+    columns = ("shipment_id", "stop_id", "occurred_us", "event_id", "estimate_us", "remaining_km", "confidence")
+    return run.staged_estimates.select(*columns).withColumn("lane", lane_code(F.col("shipment_id")))
+
+
+def _visit_topic(run: Run, kind: str) -> DataFrame:
+    told = geofence.visit_events(run.staged_visits).where(F.col("type") == f"shipment.{kind}")
+    return told.select("shipment_id", "stop_id", "occurred_us", "event_id").withColumn("lane", lane_code(F.col("shipment_id")))
+
+
+@query(f"SELECT {INCIDENT_SELECT} FROM incidents")
 def stream_incidents(run: Run) -> DataFrame:
-    """Raises and clears of the three sustained rules from one stream, with the identifiers of the batch table."""
-    p = run.params
+    """All five rules over five topics of different lateness: the batch table, built up by upserts."""
+    p, terms = run.params, run.staged_terms
     columns = ("event_id", "shipment_id", "lane", "occurred_us", "lat", "lon", "speed_kph", "accuracy_m", "temp_c", "setpoint_c")
-    fixes = _as_stream(run, run.staged_track.select(*columns), "occurred_us")
-    terms = run.staged_terms.select("shipment_id", "min_c", "max_c", "tolerance_s")
-    wanted = ("shipment_id", "rule", "occurred_us", "event_id", "breach", "hold_us", "excess", "recovery")
-    judge = lambda df, rule, hold: df.withColumn("rule", F.lit(rule)).withColumn("hold_us", hold).select(*wanted)
-    hot = conditions.judged_readings(fixes.where("temp_c IS NOT NULL").join(terms, "shipment_id", "left"), p)
-    placed = fixes.join(run.plans, "lane")
-    km = positions.off_plan_km(F.col("lat"), F.col("lon"), F.col("legs"))
-    usable = F.coalesce(F.col("accuracy_m") <= p.rule_accuracy_m, F.lit(True))
-    astray = placed.withColumn("excess", km).withColumns(
-        {"breach": F.when(usable, F.col("excess") > p.corridor_km), "recovery": F.lit("BACK_ON_ROUTE")}
-    )
-    rows = (
-        judge(hot, "TEMPERATURE_EXCURSION", F.col("hold_us"))
-        .union(judge(conditions.judged_rests(placed, p), "UNPLANNED_STOP", F.lit(p.unplanned_stop_seconds * MICROS)))
-        .union(judge(astray, "ROUTE_DEVIATION", F.lit(p.deviation_seconds * MICROS)))
+    topics = _topics(
+        run, fixes=run.staged_track.select(*columns), statuses=run.statuses, estimates=_estimate_topic(run),
+        arrivals=_visit_topic(run, "arrived"), departures=_visit_topic(run, "departed"),
+    )
+    changes = incidents.incident_changes(
+        incidents.fix_signals(topics["fixes"], run.plans, terms, p),
+        incidents.deadline_signals(topics["estimates"], False, terms, run.finals, p),
+        incidents.deadline_signals(topics["arrivals"], True, terms, run.finals, p),
+        incidents.sighting_signals(topics["statuses"]),
+        incidents.sighting_signals(topics["departures"]),
+        params=p,
     )
-    changes = flows.run_to_table(tracking.sustained_changes(rows), "incident-changes").drop("worst")
-    return changes.withColumn("exception_id", ids.incident_id(F.col("rule"), F.col("shipment_id"), F.lit(None).cast("string"), F.col("onset_us")))
+    return tidy(_incidents_of(run, changes, "silence-and-all"))
+
+
+@query(f"SELECT {INCIDENT_SELECT} FROM late_incident")
+def stream_late_arrivals(run: Run) -> DataFrame:
+    """Late arrivals from two topics: estimates and arrivals meet in event-time order, the delivery windows are a table."""
+    p, terms = run.params, run.staged_terms
+    topics = _topics(run, estimates=_estimate_topic(run), arrivals=_visit_topic(run, "arrived"))
+    changes = incidents.incident_changes(
+        incidents.deadline_signals(topics["estimates"], False, terms, run.finals, p),
+        incidents.deadline_signals(topics["arrivals"], True, terms, run.finals, p),
+        params=p, silences=False,
+    )
+    return tidy(_incidents_of(run, changes, "late"))
 
 
 @query("SELECT strftime(make_timestamp(occurred_us), '%Y-%m-%d') AS dt, count(*) AS rows, count(DISTINCT shipment_id) AS shipments FROM fixes GROUP BY 1")

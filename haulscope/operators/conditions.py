@@ -23,13 +23,14 @@ COLUMNS = (
 )
 
 
-def finish(df: DataFrame, kind: str) -> DataFrame:
+def finish(df: DataFrame, kind: str | Column) -> DataFrame:
     """Identifiers, state and how long the incident was open, for rows that carry the other columns."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     onset, cleared = F.col("onset_us"), F.col("cleared_us")
     open_s = F.when(cleared.isNotNull(), F.greatest(F.lit(0).cast("bigint"), int_div(cleared - onset, MICROS)))
     return (
-        df.withColumn("type", F.lit(kind))
-        .withColumn("exception_id", ids.incident_id(F.lit(kind), F.col("shipment_id"), F.col("stop_id"), onset))
+        df.withColumn("type", kind)
+        .withColumn("exception_id", ids.incident_id(F.col("type"), F.col("shipment_id"), F.col("stop_id"), onset))
         .withColumn("state", F.when(cleared.isNull(), "OPEN").otherwise("CLEARED"))
         .withColumn("open_s", open_s)
         .select(*COLUMNS)
@@ -131,28 +132,63 @@ def judged_readings(readings: DataFrame, params: Params = DEFAULT) -> DataFrame:
             "observed": F.col("temp_c"),
             "severity": F.when(F.col("agreed"), "CRITICAL").otherwise("WARNING"),
             "recovery": F.lit("RECOVERED"),
-            "start_value": F.struct("agreed", "min_c", "max_c"),
+            "start_value": band_text(),
         }
     )
 
 
+# The sentences of incidents. A fact is a breach (excess, observed, severity, held); worst is the worst so far.
+
+
+def band_text() -> Column:
+    """What a reading is held against, on a row of ``judged_readings``."""
+    band = F.format_string("the agreed %.1f to %.1fC band", F.col("min_c"), F.col("max_c"))
+    return F.when(F.col("agreed"), band).otherwise("its reported setpoint")
+
+
+def excursion_text(fact: Column, worst: Column, against: Column) -> Column:
+    return F.concat(
+        F.format_string("%.1fC is outside ", fact["observed"]),
+        against,
+        F.format_string(", peaking at %.1fC outside it, and has been for %d minutes", worst, whole_minutes(fact["held"])),
+    )
+
+
+def rest_text(fact: Column) -> Column:
+    where = F.when(F.isnan(fact["excess"]), "with no scheduled stops on file").otherwise(
+        F.format_string("%.0f km from the nearest scheduled stop", fact["excess"])
+    )
+    cargo = F.when(fact["severity"] == "CRITICAL", " The load is temperature-controlled.").otherwise("")
+    return F.concat(F.format_string("Stationary for %d minutes ", whole_minutes(fact["held"])), where, F.lit("."), cargo)
+
+
+def deviation_text(fact: Column, worst: Column) -> Column:
+    peak = F.when(worst <= fact["excess"], "").otherwise(F.format_string(", having reached %.0f km", worst))
+    off = F.format_string("%.0f km off the planned route for %d minutes", fact["excess"], whole_minutes(fact["held"]))
+    return F.concat(off, peak, F.lit("."))
+
+
+def lateness_text(late_us: Column, arrived: Column) -> Column:
+    """On a row that carries closes_us, remaining_km and confidence."""
+    minutes = whole_minutes(late_us)
+    projected = F.concat(
+        F.format_string("Projected to arrive %d minutes after the delivery window closes at %s", minutes, instant_text(F.col("closes_us"))),
+        F.coalesce(F.format_string(", %.0f km still to run", F.col("remaining_km")), F.lit("")),
+        F.coalesce(F.format_string(" (confidence %.0f%%)", F.col("confidence") * 100), F.lit("")),
+        F.lit("."),
+    )
+    return F.when(arrived, F.format_string("Arrived %d minutes after the delivery window closed.", minutes)).otherwise(projected)
+
+
+def silence_text(quiet_us: Column, since_us: Column) -> Column:
+    return F.format_string("No events of any kind for %d minutes; last heard from at %s.", whole_minutes(quiet_us), instant_text(since_us))
+
+
 def temperature_excursions(readings: DataFrame, terms: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Readings outside the agreed band, or outside setpoint +- tolerance where no band was agreed."""
     df = judged_readings(with_terms(readings, terms.select("shipment_id", "min_c", "max_c", "tolerance_s")), params)
 
-    # The sentences of incidents, here and below.
-    def detail(fact: Column, worst: Column) -> Column:
-        band = F.col("start.start_value")
-        against = F.when(
-            band["agreed"],
-            F.format_string("the agreed %.1f to %.1fC band", band["min_c"], band["max_c"]),
-        ).otherwise("its reported setpoint")
-        return F.concat(
-            F.format_string("%.1fC is outside ", fact["observed"]),
-            against,
-            F.format_string(", peaking at %.1fC outside it, and has been for %d minutes", worst, whole_minutes(fact["held"])),
-        )
-
+    detail = lambda fact, worst: excursion_text(fact, worst, F.col("start.start_value"))
     return _incidents(sustained(df, params), "TEMPERATURE_EXCURSION", detail)
 
 
@@ -168,33 +204,25 @@ def judged_rests(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
         {
             "breach": F.when(usable, ~moving & ~expected),
             "excess": nearest_km,
+            "observed": F.lit(None).cast("double"),
+            "threshold": F.lit(float(params.unplanned_stop_seconds // 60)),
+            "hold_us": F.lit(params.unplanned_stop_seconds * MICROS).cast("bigint"),
             "recovery": F.when(moving, "RESUMED").otherwise("RECOVERED"),
         }
-    )
+    ).drop("_d")
+
+
+def cargo_severity() -> Column:
+    """On a row that carries cold_chain."""
+    return F.when(F.col("cold_chain"), "CRITICAL").otherwise("WARNING")
 
 
 def unplanned_stops(track: DataFrame, plans: DataFrame, terms: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Standing still away from every planned stop."""
-    threshold_us = params.unplanned_stop_seconds * MICROS
     df = judged_rests(positions.with_plan(track, plans), params).select(
-        "shipment_id", SLICE, "occurred_us", "event_id", "breach", "excess", "recovery"
-    )
-    df = with_terms(df, terms.select("shipment_id", "cold_chain"))
-    df = df.withColumns(
-        {
-            "severity": F.when(F.col("cold_chain"), "CRITICAL").otherwise("WARNING"),
-            "hold_us": F.lit(threshold_us).cast("bigint"),
-            "observed": F.lit(None).cast("double"),
-            "threshold": F.lit(float(params.unplanned_stop_seconds // 60)),
-        }
+        "shipment_id", SLICE, "occurred_us", "event_id", "breach", "excess", "observed", "threshold", "hold_us", "recovery"
     )
-
-    def detail(fact: Column, worst: Column) -> Column:
-        where = F.when(F.isnan(fact["excess"]), "with no scheduled stops on file").otherwise(
-            F.format_string("%.0f km from the nearest scheduled stop", fact["excess"])
-        )
-        cargo = F.when(fact["severity"] == "CRITICAL", " The load is temperature-controlled.").otherwise("")
-        return F.concat(F.format_string("Stationary for %d minutes ", whole_minutes(fact["held"])), where, F.lit("."), cargo)
+    df = with_terms(df, terms.select("shipment_id", "cold_chain")).withColumn("severity", cargo_severity())
 
     minutes = lambda fact: whole_minutes(F.col(f"{fact}.held")).cast("double")
     runs = sustained(df, params)
@@ -203,40 +231,32 @@ def unplanned_stops(track: DataFrame, plans: DataFrame, terms: DataFrame, params
             "last", F.col("last").withField("observed", minutes("last"))
         ),
         "UNPLANNED_STOP",
-        detail,
+        lambda fact, worst: rest_text(fact),
     )
     return out
 
 
-def route_deviations(track: DataFrame, plans: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Too far from every leg of the plan for too long."""
-    df = positions.with_plan(track, plans)
-    km = positions.off_plan_km(F.col("lat"), F.col("lon"), F.col("legs"))
+def judged_courses(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Fixes that carry the legs of their plan, with what ``sustained`` needs."""
     usable = F.coalesce(F.col("accuracy_m") <= params.rule_accuracy_m, F.lit(True))
-    df = (
-        df.withColumn("excess", km)
-        .select("shipment_id", SLICE, "occurred_us", "event_id", "excess", usable.alias("usable"))
-        .withColumns(
-            {
-                "breach": F.when(F.col("usable"), F.col("excess") > params.corridor_km),
-                "observed": F.col("excess"),
-                "threshold": F.lit(params.corridor_km),
-                "hold_us": F.lit(params.deviation_seconds * MICROS).cast("bigint"),
-                "severity": F.lit("WARNING"),
-                "recovery": F.lit("BACK_ON_ROUTE"),
-            }
-        )
+    km = positions.off_plan_km(F.col("lat"), F.col("lon"), F.col("legs"))
+    return track.withColumn("excess", km).withColumns(
+        {
+            "breach": F.when(usable, F.col("excess") > params.corridor_km),
+            "observed": F.col("excess"),
+            "threshold": F.lit(params.corridor_km),
+            "hold_us": F.lit(params.deviation_seconds * MICROS).cast("bigint"),
+            "severity": F.lit("WARNING"),
+            "recovery": F.lit("BACK_ON_ROUTE"),
+        }
     )
 
-    def detail(fact: Column, worst: Column) -> Column:
-        peak = F.when(worst <= fact["excess"], "").otherwise(F.format_string(", having reached %.0f km", worst))
-        return F.concat(
-            F.format_string("%.0f km off the planned route for %d minutes", fact["excess"], whole_minutes(fact["held"])),
-            peak,
-            F.lit("."),
-        )
 
-    return _incidents(sustained(df, params), "ROUTE_DEVIATION", detail)
+def route_deviations(track: DataFrame, plans: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Too far from every leg of the plan for too long."""
+    columns = ("shipment_id", SLICE, "occurred_us", "event_id", "breach", "excess", "observed", "threshold", "hold_us", "severity", "recovery")
+    df = judged_courses(positions.with_plan(track, plans), params).select(*columns)
+    return _incidents(sustained(df, params), "ROUTE_DEVIATION", deviation_text)
 
 
 def late_arrivals(
@@ -274,18 +294,11 @@ def late_arrivals(
     )
     resolution = F.when(~F.col("arrived"), "BACK_WITHIN_WINDOW").when(late, "ARRIVED_LATE").otherwise("ARRIVED_ON_TIME")
     minutes = whole_minutes(F.col("late_us"))
-    projected_text = F.concat(
-        F.format_string("Projected to arrive %d minutes after the delivery window closes at %s", minutes, instant_text(F.col("closes_us"))),
-        F.coalesce(F.format_string(", %.0f km still to run", F.col("remaining_km")), F.lit("")),
-        F.coalesce(F.format_string(" (confidence %.0f%%)", F.col("confidence") * 100), F.lit("")),
-        F.lit("."),
-    )
-    arrived_text = F.format_string("Arrived %d minutes after the delivery window closed.", minutes)
     finding = F.struct(
         "occurred_us",
         "event_id",
         minutes.cast("double").alias("observed"),
-        F.when(F.col("arrived"), arrived_text).otherwise(projected_text).alias("detail"),
+        lateness_text(F.col("late_us"), F.col("arrived")).alias("detail"),
         F.when(F.col("arrived"), 2).otherwise(1).alias("rank"),
         F.when(F.col("arrived"), 0.0).otherwise(float(params.late_grace_seconds // 60)).alias("threshold"),
     )
@@ -373,11 +386,7 @@ def signal_loss(
         )
     )
     found = gaps.unionByName(tails).join(terms.select("shipment_id", "cold_chain"), "shipment_id", "left")
-    text = F.format_string(
-        "No events of any kind for %d minutes; last heard from at %s.",
-        whole_minutes(F.col("quiet_us")),
-        instant_text(F.col("onset_us")),
-    )
+    text = silence_text(F.col("quiet_us"), F.col("onset_us"))
     return finish(
         found.select(
             "shipment_id",
