@@ -18,7 +18,7 @@ from haulscope.functions.timeparts import day_text, int_div, hour_start_us, hour
 from haulscope.model.contracts import CONTRACTS
 from haulscope.model.params import MICROS
 from haulscope.operators import asof, conditions, contracts, eta, geofence, manifests, positions, reconcile, slices
-from haulscope.plans import archive, events as ev, fleet as fleet_plan, ingest, live, reference
+from haulscope.plans import archive, events as ev, fleet as fleet_plan, ingest, live, public, reference
 from haulscope.session import new_table, stage
 from haulscope.sources import plan
 from haulscope.streaming import flows, incidents, tracking
@@ -419,9 +419,11 @@ def incident_table(run: Run) -> DataFrame:
 
 @query(
     f"""SELECT exception_id, type, shipment_id, stop_id, severity, 'exception.raised' AS event_type, {uuid3("'RAISED'", 'exception_id')} AS event_id,
-    onset_us AS occurred_us, raised_by AS caused_by, raised_detail AS detail, {up('raised_value', 6)} AS observed_value, NULL::BIGINT AS open_s, NULL::VARCHAR AS resolution FROM incidents
+    onset_us AS occurred_us, raised_by AS caused_by, raised_detail AS detail, {up('raised_value', 6)} AS observed_value, {up('threshold_value', 6)} AS threshold_value,
+    NULL::BIGINT AS since_us, NULL::BIGINT AS open_s, NULL::VARCHAR AS resolution FROM incidents
   UNION ALL
-  SELECT exception_id, type, shipment_id, stop_id, severity, 'exception.cleared', {uuid3("'CLEARED'", 'exception_id')}, cleared_us, cleared_by, NULL, NULL, open_s, resolution
+  SELECT exception_id, type, shipment_id, stop_id, severity, 'exception.cleared', {uuid3("'CLEARED'", 'exception_id')}, cleared_us, cleared_by, NULL, NULL, NULL,
+    onset_us, open_s, resolution
   FROM incidents WHERE cleared_us IS NOT NULL"""
 )
 def incident_events(run: Run) -> DataFrame:
@@ -799,6 +801,7 @@ def _archived(run: Run) -> DataFrame:
         .unionByName(archive_fixtures.status_records(fixes))
         .unionByName(archive_fixtures.derived_records(visit_events))
         .unionByName(archive_fixtures.exception_records(told))
+        .unionByName(archive_fixtures.estimate_records(run.staged_estimates))
     )
 
 
@@ -859,12 +862,13 @@ part(
   UNION ALL SELECT 'fleet.derived', arrived_us, false, 'shipment.arrived' FROM visit
   UNION ALL SELECT 'fleet.derived', departed_us, false, 'shipment.departed' FROM visit WHERE departed_us IS NOT NULL
   UNION ALL SELECT 'fleet.exceptions', onset_us, false, 'exception.raised' FROM incidents
-  UNION ALL SELECT 'fleet.exceptions', cleared_us, false, 'exception.cleared' FROM incidents WHERE cleared_us IS NOT NULL""",
+  UNION ALL SELECT 'fleet.exceptions', cleared_us, false, 'exception.cleared' FROM incidents WHERE cleared_us IS NOT NULL
+  UNION ALL SELECT 'fleet.eta', occurred_us, false, 'eta.updated' FROM eta""",
 )
 
 
 @query(
-    """SELECT topic, count(*) FILTER (WHERE NOT bad) AS events, count(*) FILTER (WHERE NOT bad AND kind = 'status') AS skipped,
+    """SELECT topic, count(*) FILTER (WHERE NOT bad) AS events, count(*) FILTER (WHERE NOT bad AND kind IN ('status', 'eta.updated')) AS skipped,
     count(*) FILTER (WHERE bad) AS unreadable, max(timestamp_us) AS newest_received_us FROM log_fact GROUP BY topic"""
 )
 def archive_fold(run: Run) -> DataFrame:
@@ -910,6 +914,103 @@ def retention(run: Run) -> DataFrame:
     return archive.retained(both, F.lit("2024-02-05").cast("date")).groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _held(run: Run) -> str:
+    """All topics of the log archived and folded: in three parts out of order, the middle one twice, then compacted and folded on."""
+    log = _archived(run).where("topic <> 'fleet.position' OR regexp_extract(key, '([0-9]+)$', 1) % 9 <> 4")
+    path, held = new_table(run.spark, "archive"), new_table(run.spark, "held")
+    archive.write(log, path)
+    records = run.spark.read.schema(f"record_topic string, {archive.RECORD_SCHEMA}, dt string, hour string").json(path)
+    part = lambda low, high: records.where((F.col("hour") >= low) & (F.col("hour") < high))
+    public.fold_into(part("04", "08"), held)
+    public.fold_into(part("08", "24"), held)
+    public.compact(run.spark, held, f"{_FIRST_DAY} 06")
+    public.fold_into(part("00", "05"), held)
+    public.fold_into(part("04", "08"), held)
+    public.compact(run.spark, held, f"{_FIRST_DAY} 09")
+    return held
+
+
+_FIRST_DAY = "2026-09-01"
+part(
+    "seen_fix",
+    "SELECT * FROM fixes WHERE user_id % 9 <> 4",
+)
+part(
+    "hour_fact",
+    """SELECT topic, timestamp_us, fact FROM (
+    SELECT 'fleet.position' AS topic, received_us AS timestamp_us, shipment_id AS fact FROM seen_fix WHERE event_id % 41 <> 0 AND event_id % 47 <> 0
+    UNION ALL SELECT 'fleet.position', received_us + 60000000, shipment_id FROM seen_fix WHERE event_id % 41 <> 0 AND event_id % 47 <> 0 AND event_id % 37 = 0
+    UNION ALL SELECT 'fleet.derived', arrived_us, 'a' || shipment_id || stop_id FROM visit
+    UNION ALL SELECT 'fleet.derived', departed_us, 'd' || shipment_id || stop_id FROM visit WHERE departed_us IS NOT NULL
+    UNION ALL SELECT 'fleet.exceptions', onset_us, exception_id FROM incidents
+    UNION ALL SELECT 'fleet.exceptions', cleared_us, exception_id FROM incidents WHERE cleared_us IS NOT NULL)""",
+)
+part(
+    "hour_log",
+    """SELECT topic, timestamp_us, bad, kind FROM (
+    SELECT 'fleet.position' AS topic, received_us AS timestamp_us, event_id % 41 = 0 OR event_id % 47 = 0 AS bad, 'position' AS kind FROM seen_fix
+    UNION ALL SELECT 'fleet.position', received_us + 60000000, event_id % 41 = 0 OR event_id % 47 = 0, 'position' FROM seen_fix WHERE event_id % 37 = 0)
+  UNION ALL SELECT * FROM log_fact WHERE topic <> 'fleet.position'""",
+)
+
+
+@query(
+    """SELECT topic, count(*) AS hours, CAST(sum(events) AS BIGINT) AS events, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(unreadable) AS BIGINT) AS unreadable,
+    CAST(sum(coalesce(facts, 0)) AS BIGINT) AS facts, max(newest) AS newest_received_us
+  FROM (SELECT topic, timestamp_us // 3600000000 AS h, count(*) FILTER (WHERE NOT bad) AS events,
+      count(*) FILTER (WHERE NOT bad AND kind IN ('status', 'eta.updated')) AS skipped, count(*) FILTER (WHERE bad) AS unreadable, max(timestamp_us) AS newest
+    FROM hour_log GROUP BY ALL)
+  LEFT JOIN (SELECT topic, timestamp_us // 3600000000 AS h, count(DISTINCT fact) AS facts FROM hour_fact GROUP BY ALL) USING (topic, h) GROUP BY topic"""
+)
+def fold_merge(run: Run) -> DataFrame:
+    """What the ledger of an archive folded out of order and partly twice says."""
+    sums = [F.sum(c).alias(c) for c in ("events", "skipped", "unreadable", "facts")]
+    counted = public.ledger(run.spark, _held(run))
+    return counted.groupBy("topic").agg(F.count(F.lit(1)).alias("hours"), *sums, F.max("newest_received_us").alias("newest_received_us"))
+
+
+part(
+    "public_visit",
+    """SELECT *, CASE WHEN NOT ok OR arrived_us IS NULL THEN 'PENDING' WHEN departed_us IS NULL THEN 'AT' ELSE 'DEPARTED' END AS status
+  FROM (SELECT * EXCLUDE (status), NOT coalesce(arrived_us < first_value(arrived_us) OVER (PARTITION BY shipment_id ORDER BY seq), false) AS ok FROM stop_state)""",
+)
+
+
+@query(
+    f"""SELECT p.shipment_id, vehicle_id, occurred_us, received_us, greatest(0, ({NOW_US} - received_us) // 1000000) AS stale_s, {up('lat', 6)} AS lat, {up('lon', 6)} AS lon,
+    {up('speed_kph', 6)} AS speed_kph, CASE WHEN done = total THEN 'DELIVERED' WHEN at_stop_id IS NOT NULL THEN 'AT_STOP' WHEN speed_kph >= 5 THEN 'MOVING' ELSE 'STOPPED' END AS movement,
+    at_stop_id, at_since_us, done AS stops_completed, total AS stops_total, coalesce(n, 0) AS open_incidents, coalesce(types, '') AS open_types, worst AS worst_severity
+  FROM (SELECT * FROM seen_fix WHERE event_id % 41 <> 0 AND event_id % 47 <> 0 QUALIFY row_number() OVER (PARTITION BY shipment_id ORDER BY occurred_us DESC, event_id) = 1) p
+  JOIN (SELECT shipment_id, count(*) AS total, count(*) FILTER (WHERE status <> 'PENDING') AS done, min_by(stop_id, seq) FILTER (WHERE status = 'AT') AS at_stop_id,
+      min_by(arrived_us, seq) FILTER (WHERE status = 'AT') AS at_since_us FROM public_visit GROUP BY shipment_id) v USING (shipment_id)
+  LEFT JOIN (SELECT shipment_id, count(*) AS n, string_agg(type || ':' || coalesce(stop_id, '-'), ',' ORDER BY {sev_rank('severity')} DESC, onset_us, exception_id) AS types,
+      {sev_name(f"max({sev_rank('severity')})")} AS worst FROM incidents WHERE cleared_us IS NULL GROUP BY shipment_id) i USING (shipment_id)"""
+)
+def public_summary(run: Run) -> DataFrame:
+    """One marker per shipment that the archive has shown a position of."""
+    held = public.held_facts(run.spark, _held(run))
+    itineraries = run.shipments.select("shipment_id", "lane").join(run.plans.select("lane", "stops"), "lane")
+    return tidy(public.summary(held, itineraries, F.lit(NOW_US).cast("bigint"), run.params))
+
+
+@query(
+    f"""SELECT exception_id, shipment_id, type, stop_id, severity, raised_detail AS detail, {up('raised_value', 6)} AS observed_value, {up('threshold_value', 6)} AS threshold_value,
+    onset_us, cleared_us, resolution, state FROM incidents"""
+)
+def public_incidents(run: Run) -> DataFrame:
+    """Every incident of the archive, with type, stop and detail."""
+    return tidy(public.incidents(public.held_facts(run.spark, _held(run))))
+
+
+@query(
+    """SELECT (SELECT count(DISTINCT shipment_id) FROM seen_fix WHERE event_id % 41 <> 0 AND event_id % 47 <> 0) AS tracked,
+    (SELECT count(*) FROM incidents WHERE cleared_us IS NULL) AS open_incidents, 'archive' AS source, (SELECT max(timestamp_us) FROM hour_log) AS through_us"""
+)
+def public_meta(run: Run) -> DataFrame:
+    path = _held(run)
+    return public.meta(public.held_facts(run.spark, path), public.ledger(run.spark, path))
+
+
 # --- reconciliation and measures -----------------------------------------------------------------
 
 

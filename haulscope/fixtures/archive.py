@@ -44,6 +44,11 @@ def derived_records(visit_events: DataFrame) -> DataFrame:
     return _records(visit_events, "fleet.derived", "occurred_us", value)
 
 
+def estimate_records(estimates: DataFrame) -> DataFrame:
+    value = F.to_json(ev.estimate_value(), {"ignoreNullFields": "true"})
+    return _records(estimates, "fleet.eta", "occurred_us", value)
+
+
 def exception_records(incident_events: DataFrame) -> DataFrame:
     value = F.to_json(ev.incident_value(), {"ignoreNullFields": "true"})
     return _records(incident_events, "fleet.exceptions", "occurred_us", value)

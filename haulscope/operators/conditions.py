@@ -434,6 +434,8 @@ def incident_events(incidents: DataFrame) -> DataFrame:
         F.col("raised_by").alias("caused_by"),
         F.col("raised_detail").alias("detail"),
         F.col("raised_value").alias("observed_value"),
+        F.col("threshold_value").alias("threshold_value"),
+        F.lit(None).cast("bigint").alias("since_us"),
         F.lit(None).cast("bigint").alias("open_s"),
         F.lit(None).cast("string").alias("resolution"),
     )
@@ -444,6 +446,8 @@ def incident_events(incidents: DataFrame) -> DataFrame:
         F.col("cleared_by").alias("caused_by"),
         F.lit(None).cast("string").alias("detail"),
         F.lit(None).cast("double").alias("observed_value"),
+        F.lit(None).cast("double").alias("threshold_value"),
+        F.col("onset_us").alias("since_us"),
         F.col("open_s").alias("open_s"),
         F.col("resolution").alias("resolution"),
     )

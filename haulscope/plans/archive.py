@@ -14,7 +14,8 @@ DEFAULT_RETENTION_DAYS = 30
 VALUE_SCHEMA = (
     "eventId string, type string, shipmentId string, occurredAt string, stopId string, dwell string, estimatedArrival string, "
     "exceptionId string, severity string, openFor string, resolution string, raisedAt string, "
-    "position struct<latitude:double,longitude:double>, speedKph double, vehicleId string, receivedAt string, status string, detail string"
+    "position struct<latitude:double,longitude:double>, speedKph double, vehicleId string, receivedAt string, status string, detail string, "
+    "exceptionType string, observedValue double, thresholdValue double, previousEstimate string, remainingKm double, confidence double"
 )
 
 

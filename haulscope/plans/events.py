@@ -74,13 +74,34 @@ def incident_value() -> Column:
         instant_text(F.col("occurred_us")).alias("occurredAt"),
         F.col("caused_by").alias("causedBy"),
         F.col("exception_id").alias("exceptionId"),
+        F.col("type").alias("exceptionType"),
         F.when(raised, F.col("severity")).alias("severity"),
         F.col("detail"),
+        F.when(raised, F.col("stop_id")).alias("stopId"),
+        F.col("observed_value").alias("observedValue"),
+        F.col("threshold_value").alias("thresholdValue"),
+        instant_text(F.col("since_us")).alias("raisedAt"),
         iso_duration(F.col("open_s")).alias("openFor"),
         F.col("resolution"),
     )
 
 
+def estimate_value() -> Column:
+    """eta.updated from the rows of eta.estimates."""
+    return F.struct(
+        F.col("event_id").alias("eventId"),
+        F.lit("eta.updated").alias("type"),
+        F.col("shipment_id").alias("shipmentId"),
+        instant_text(F.col("occurred_us")).alias("occurredAt"),
+        F.col("caused_by").cast("string").alias("causedBy"),
+        F.col("stop_id").alias("stopId"),
+        instant_text(F.col("estimate_us")).alias("estimatedArrival"),
+        instant_text(F.col("previous_us")).alias("previousEstimate"),
+        F.col("remaining_km").alias("remainingKm"),
+        F.col("confidence"),
+    )
+
+
 def feed_event_value() -> Column:
     """A canonical source event as produced by plans.ingest.events."""
     position = F.when(F.col("lat").isNotNull(), F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")))
