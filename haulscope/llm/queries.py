@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulscope.llm import divergence, lines, negatives, personal, topk
+from haulscope.llm import divergence, lines, negatives, personal, shingles, suffixes, topk
 from haulscope.llm.caps import op10_cap_links
 from haulscope.llm.chunks import op8_chunk_dedup
 from haulscope.llm.divergence import op12_source_divergence
@@ -39,6 +39,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_top_k": topk.ORACLE,
     "op2_line_dedup": lines.ORACLE,
+    "op5_ngram_join": shingles.ORACLE,
+    "op7_suffix_dedup": suffixes.ORACLE,
     "op11_personal_data": personal.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
     "op13_hard_negatives": negatives.ORACLE,

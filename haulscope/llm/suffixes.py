@@ -469,3 +469,31 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+ORACLE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce("text", ''))) AS h FROM documents
+), places AS (
+  SELECT r, doc_id, unnest(range(len(h) // 2 - 99)) AS p FROM docs WHERE len(h) >= 200
+), strings AS (
+  SELECT places.r, places.doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM places JOIN docs USING (r)
+), repeated AS (
+  SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS after, lag(p) OVER (PARTITION BY r ORDER BY p) AS before
+  FROM (SELECT r, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM strings) WHERE n > 1
+), runs AS (
+  SELECT r, p AS low, row_number() OVER (PARTITION BY r ORDER BY p) AS k FROM repeated WHERE before IS NULL OR p - before > 100
+), ends AS (
+  SELECT r, p + 100 AS high, row_number() OVER (PARTITION BY r ORDER BY p) AS k FROM repeated WHERE after IS NULL OR after - p > 100
+), spans AS (
+  SELECT r, low, high, k, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY k) AS kept_from, max(high) OVER (PARTITION BY r) AS last
+  FROM runs JOIN ends USING (r, k)
+), cut AS (
+  SELECT spans.r, sum(high - low) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * kept_from + 1, 2 * (low - kept_from)), '' ORDER BY k) || substr(any_value(h), 2 * any_value(last) + 1) AS kept
+  FROM spans JOIN docs USING (r) GROUP BY spans.r
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
