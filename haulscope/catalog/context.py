@@ -38,7 +38,7 @@ class Run:
 
     @cached_property
     def track(self) -> DataFrame:
-        return positions.one_per_instant(self.fixes, self.params)
+        return positions.one_per_instant(self.staged_fixes, self.params)
 
     @cached_property
     def current(self) -> DataFrame:
@@ -61,6 +61,10 @@ class Run:
         return manifests.sla_terms(self.manifests)
 
     # inputs of several branches
+    @cached_property
+    def staged_fixes(self) -> DataFrame:
+        return stage(self.fixes, "fixes")
+
     @cached_property
     def staged_track(self) -> DataFrame:
         return stage(self.track, "track")
@@ -71,7 +75,7 @@ class Run:
 
     @cached_property
     def staged_messages(self) -> DataFrame:
-        return stage(feed_fixtures.messages(self.spark, self.sf_dir), "messages")
+        return stage(feed_fixtures.messages(self.spark, self.sf_dir), "messages", by="source")
 
     @cached_property
     def feed_rows(self) -> DataFrame:

@@ -12,7 +12,7 @@ from haulscope.catalog.oracle_base import (
     INCIDENT_COLUMNS, brg, compose, dist, instant, minutes, part, sev_name, sev_rank, up, uuid3,
 )
 from haulscope.fixtures import archive as archive_fixtures
-from haulscope.functions import geo, ids
+from haulscope.functions import geo, ids, text
 from haulscope.functions.text import abbreviate, first_line, lane_code, round_half_up, safe_int
 from haulscope.functions.timeparts import day_text, int_div, hour_start_us, hour_text, instant_text, instant_us
 from haulscope.model.contracts import CONTRACTS
@@ -769,6 +769,20 @@ def manifest_nodes(run: Run) -> DataFrame:
     return contracts.flatten(run.manifests).groupBy("shipment_id").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+@query(
+    """SELECT unit, CAST(sum(n) AS BIGINT) AS nodes, count(DISTINCT shipment_id) AS manifests FROM manifest_fact
+  JOIN (VALUES ('HYD', '°C', 2), ('HYD', 'min', 1), ('DEL', 'INR', 2), ('BLR', 'kg', 1), ('BLR', 'cm', 3), ('BOM', 'kg', 1), ('BOM', 'INR', 2)) AS v(lane, unit, n) USING (lane)
+  WHERE full_body GROUP BY unit"""
+)
+def manifest_units(run: Run) -> DataFrame:
+    """Numbers in the bodies by the unit that their key, or the key around it, names."""
+    nodes = contracts.flatten(run.manifests).where("kind IN ('number', 'integer')")
+    names = F.filter(F.split("shape", "/"), lambda s: s != "*")
+    unit = text.unit_of_key(F.element_at(names, -1), F.try_element_at(names, F.lit(-2)))
+    told = nodes.withColumn("unit", unit).where("unit IS NOT NULL")
+    return told.groupBy("unit").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("shipment_id").alias("manifests"))
+
+
 @query(
     """SELECT customer_id, mode, 0::BIGINT AS problems, count(*) AS manifests FROM manifest_fact WHERE fault <> 4 GROUP BY customer_id, mode"""
 )
@@ -1126,7 +1140,9 @@ def average_latency(run: Run) -> DataFrame:
 @query(
     """SELECT (SELECT count(*) FROM fixes) AS stored, (SELECT count(*) FROM fixes WHERE event_id % 37 = 0) AS duplicates, (SELECT count(*) FROM visit) AS arrivals,
     (SELECT count(departed_us) FROM visit) AS departures, (SELECT count(*) FROM eta) AS estimates, (SELECT count(*) FROM incidents) AS raised,
-    (SELECT count(cleared_us) FROM incidents) AS cleared"""
+    (SELECT count(cleared_us) FROM incidents) AS cleared, (SELECT CAST(coalesce(sum(restated), 0) AS BIGINT) FROM incidents) AS restated,
+    (SELECT count(*) FROM fixes WHERE lane NOT IN (SELECT lane FROM lane_stop)) AS unplanned, (SELECT count(*) FROM dead) AS dead_letters,
+    (SELECT floor((SELECT count(*) FROM eta) / CAST((SELECT count(*) FROM track) AS DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE) AS published_share"""
 )
 def processing_counters(run: Run) -> DataFrame:
     """What the services count while they run, as one row."""
@@ -1140,6 +1156,10 @@ def processing_counters(run: Run) -> DataFrame:
             "estimates": count(run.estimates),
             "raised": count(found),
             "cleared": count(found, F.col("cleared_us").isNotNull()),
+            "restated": found.agg(F.coalesce(F.sum("restated"), F.lit(0)).cast("bigint").alias("n")).scalar(),
+            "unplanned": count(positions.unplanned(run.staged_fixes, run.plans)),
+            "dead_letters": count(ingest.dead_letters(run.feed_rows)),
+            "published_share": round_half_up(count(run.staged_estimates) / count(run.staged_track).cast("double"), 6),
         }
     )
 
@@ -1273,14 +1293,44 @@ def stream_archive(run: Run) -> DataFrame:
     )
 
 
+part(
+    "heard_position",
+    """SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY heard_us) AS rn FROM (
+    SELECT shipment_id, occurred_us, vehicle_id, timestamp_us AS heard_us, event_id + CASE WHEN copy = 0 THEN 0 ELSE 1000000000000 END AS place
+    FROM pos_record WHERE NOT cut AND event_id % 47 <> 0
+    UNION ALL SELECT shipment_id, occurred_us, vehicle_id, received_us + 60000000, event_id + 1000000000000 FROM fixes
+      WHERE event_id % 53 = 0 AND event_id % 41 <> 0 AND event_id % 47 <> 0)
+  QUALIFY row_number() OVER (PARTITION BY shipment_id, heard_us ORDER BY place) = 1""",
+)
+part(
+    "let_through",
+    """RECURSIVE let_through AS (
+    SELECT shipment_id, occurred_us, vehicle_id, heard_us, rn, true AS kept, heard_us AS held FROM heard_position WHERE rn = 1
+    UNION ALL
+    SELECT r.shipment_id, r.occurred_us, r.vehicle_id, r.heard_us, r.rn, r.heard_us - g.held >= 900000000,
+      CASE WHEN r.heard_us - g.held >= 900000000 THEN r.heard_us ELSE g.held END
+    FROM let_through g JOIN heard_position r ON r.shipment_id = g.shipment_id AND r.rn = g.rn + 1)""",
+)
+
+
 @query(
-    """SELECT 'position' AS type, shipment_id, occurred_us AS at_us, vehicle_id AS vehicle FROM pos_record WHERE NOT cut AND event_id % 47 <> 0
-  UNION ALL SELECT 'position', shipment_id, occurred_us, vehicle_id FROM fixes WHERE event_id % 53 = 0 AND event_id % 41 <> 0 AND event_id % 47 <> 0"""
+    """SELECT 'position' AS type, shipment_id, occurred_us AS at_us, vehicle_id AS what FROM let_through WHERE kept
+  UNION ALL SELECT 'status', shipment_id, occurred_us, 'TEMPERATURE_READING' FROM fixes WHERE temp_c IS NOT NULL
+  UNION ALL SELECT 'estimate', shipment_id, occurred_us, stop_id FROM eta
+  UNION ALL SELECT 'arrived', shipment_id, arrived_us, stop_id FROM visit
+  UNION ALL SELECT 'departed', shipment_id, departed_us, stop_id FROM visit WHERE departed_us IS NOT NULL
+  UNION ALL SELECT 'exception.raised', shipment_id, onset_us, exception_id FROM incidents
+  UNION ALL SELECT 'exception.cleared', shipment_id, cleared_us, exception_id FROM incidents WHERE cleared_us IS NOT NULL"""
 )
 def stream_live_feed(run: Run) -> DataFrame:
-    records = archive_fixtures.position_records(run.fixes)
-    feed = flows.run_to_table(flows.live_feed(_as_stream(run, records, "timestamp_us")), "live")
-    return feed.select("type", "shipment_id", "at_us", F.get_json_object("payload", "$.vehicleId").alias("vehicle"))
+    """Updates of all seven kinds over all topics; positions at most one per shipment and quarter hour of hearing."""
+    feed = flows.run_to_table(flows.thinned_feed(_as_stream(run, _archived(run), "timestamp_us"), 900_000), "live")
+    told = lambda field: F.get_json_object("payload", f"$.{field}")
+    named = {"position": told("vehicleId"), "status": told("status"), "exception.raised": told("exceptionId"), "exception.cleared": told("exceptionId")}
+    what = told("stopId")
+    for kind, value in named.items():
+        what = F.when(F.col("type") == kind, value).otherwise(what)
+    return feed.select("type", "shipment_id", "at_us", what.alias("what"))
 
 
 def _live_updates(run: Run) -> DataFrame:
@@ -1427,13 +1477,22 @@ def stream_history(run: Run) -> DataFrame:
     return held.groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shipment_id").alias("shipments"))
 
 
-@query("SELECT count(*) AS input_rows FROM fixes")
+@query(
+    f"""SELECT k AS batch_id, count(*) AS input_rows, {STREAM_FILES} - 1 - k AS lag, count(*) FILTER (WHERE speed_kph >= 5) AS moving,
+    count(DISTINCT shipment_id) AS shipments
+  FROM (SELECT *, (occurred_us - low) // width AS k FROM fixes, (SELECT min(occurred_us) AS low, (max(occurred_us) - min(occurred_us)) // {STREAM_FILES} + 1 AS width FROM fixes))
+  GROUP BY k"""
+)
 def stream_drain(run: Run) -> DataFrame:
-    """Rows that a drained stream reports as read: the sum over its batches' progress."""
-    stream = _fix_stream(run, "event_id", "shipment_id", "occurred_us")
+    """A backlog being worked off: for each batch what it read, what was observed in it, and what is still ahead."""
+    stream = _fix_stream(run, "event_id", "shipment_id", "occurred_us", "speed_kph")
+    moving = F.col("speed_kph") >= run.params.moving_kph
+    counted = stream.observe("fixes", F.count_if(moving).alias("moving"))
     path = new_table(run.spark, "drain")
-    progress = flows.run_batches(stream, "drain", lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch={k}"))
-    return flows.progress_table(run.spark, progress).agg(F.sum("input_rows").alias("input_rows"))
+    progress = flows.run_batches(counted, "drain", flows.batch_folders(path))
+    told = flows.progress_table(run.spark, progress).where("input_rows > 0")
+    stored = run.spark.read.parquet(path).groupBy(F.col("batch").cast("bigint").alias("batch_id")).agg(F.count_distinct("shipment_id").alias("shipments"))
+    return told.join(stored, "batch_id").select("batch_id", "input_rows", "lag", F.col("observed")["moving"].alias("moving"), "shipments")
 
 
 @query(

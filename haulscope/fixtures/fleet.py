@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from haulscope.functions.timeparts import int_div, ntz_micros
-from haulscope.model.params import MICROS
+from haulscope.model.params import DEFAULT, MICROS
 from haulscope.operators import slices
 from haulscope.sources import plan
 
@@ -30,7 +30,7 @@ def fleet_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One position fix per event: a truck of lane ``user_id % 4`` on its way along the lane."""
     raw = events(spark, sf_dir).select("event_id", "user_id", "value", ntz_micros(F.col("ts")).alias("us"))
     ranked = slices.numbered(
-        slices.with_slice(raw, "us", DAY_S), ["user_id"], ["us", "event_id"], "k", "n"
+        slices.bounded(raw, ["user_id"], "us", DAY_S, DEFAULT.slice_rows), ["user_id"], ["us", "event_id"], "k", "n"
     ).drop(slices.SLICE)
     lanes = plan.lane_plans(spark).select("lane", "stops")
     user, event = F.col("user_id"), F.col("event_id")

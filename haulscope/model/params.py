@@ -43,6 +43,7 @@ class Params:
     gate_millis: int = 500
     # width of the time slices a long track is cut into (see operators.slices)
     slice_seconds: int = 3600
+    slice_rows: int = 200_000  # a slice with more rows is cut at seconds of its own
 
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

@@ -276,9 +276,8 @@ def late_arrivals(
         F.lit(None).cast("double").alias("remaining_km"), F.lit(None).cast("double").alias("confidence"),
         F.lit(True).alias("arrived"),
     )
-    rows = slices.with_slice(
-        projected.unionByName(reached).join(final_stops, ["lane", "stop_id"], "left_semi"), "occurred_us", params.slice_seconds
-    )
+    at_final = projected.unionByName(reached).join(final_stops, ["lane", "stop_id"], "left_semi")
+    rows = slices.bounded(at_final, SHIP, "occurred_us", params.slice_seconds, params.slice_rows)
     rows = rows.join(slices.spread(due, rows, SHIP), [*SHIP, SLICE])
     late_us = F.col("estimate_us") - F.col("closes_us")
     breach = ~F.col("arrived") & (late_us > params.late_grace_seconds * MICROS)
@@ -421,7 +420,7 @@ def sightings(*kinds: DataFrame, params: Params = DEFAULT) -> DataFrame:
     for df in kinds:
         part = df.select("shipment_id", "occurred_us", F.col("event_id").cast("string").alias("event_id"))
         rows = part if rows is None else rows.unionByName(part)
-    sliced = slices.with_slice(rows, "occurred_us", params.slice_seconds)
+    sliced = slices.bounded(rows, SHIP, "occurred_us", params.slice_seconds, params.slice_rows)
     return sliced.groupBy("shipment_id", SLICE, "occurred_us").agg(F.min("event_id").alias("event_id"))
 
 

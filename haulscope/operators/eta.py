@@ -28,7 +28,8 @@ def learn(track: DataFrame, params: Params = DEFAULT) -> DataFrame:
     narrow = int(MOST_HALVES * params.half_life_seconds)
     if params.slice_seconds > narrow:
         # learn in slices that are narrow enough and give the rows their own slice back
-        finer = slices.with_slice(track.withColumn("_wide", F.col(SLICE)), "occurred_us", narrow)
+        start = F.greatest(F.col(SLICE), slices.slice_start("occurred_us", narrow))
+        finer = track.withColumn("_wide", F.col(SLICE)).withColumn(SLICE, start)
         learned = learn(finer, params.but(slice_seconds=narrow))
         return learned.withColumn(SLICE, F.col("_wide")).drop("_wide")
     w = Window.partitionBy(*SHIP, SLICE).orderBy("occurred_us")

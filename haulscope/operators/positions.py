@@ -17,7 +17,7 @@ def one_per_instant(fixes: DataFrame, params: Params = DEFAULT, key: str = "ship
     The result carries ``slice`` and is partitioned by (key, slice), which every track operator reuses.
     """
     w = Window.partitionBy(key, SLICE).orderBy("occurred_us", "event_id")
-    sliced = slices.with_slice(fixes, "occurred_us", params.slice_seconds)
+    sliced = slices.bounded(fixes, [key], "occurred_us", params.slice_seconds, params.slice_rows)
     before = F.lag("occurred_us").over(w)
     return sliced.withColumn("_before", before).where(
         F.col("_before").isNull() | (F.col("_before") != F.col("occurred_us"))
@@ -144,14 +144,14 @@ def dedup(events: DataFrame) -> DataFrame:
 
 def late_rows(fixes: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Rows that arrive after a fix at least as new: kept in history, ignored by state."""
-    sliced = slices.with_slice(fixes, "received_us", params.slice_seconds)
+    sliced = slices.bounded(fixes, ["shipment_id"], "received_us", params.slice_seconds, params.slice_rows)
     seen = slices.running_max(sliced, ["shipment_id"], ["received_us", "event_id"], "occurred_us", "seen_us")
     return seen.where(F.col("occurred_us") <= F.col("seen_us")).drop(SLICE)
 
 
 def thin(fixes: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """At most one forwarded fix per shipment and gate interval of arrival time."""
-    arrivals = slices.with_slice(fixes, "received_us", params.slice_seconds)
+    arrivals = slices.bounded(fixes, ["shipment_id"], "received_us", params.slice_seconds, params.slice_rows)
     w = Window.partitionBy("shipment_id", SLICE).orderBy("received_us", "event_id")
     # several fixes in one arrival instant: only the first can pass
     firsts = arrivals.withColumn("_b", F.lag("received_us").over(w)).where(

@@ -5,7 +5,7 @@ third of all rows. Every operator here works in three steps instead:
 
 1. inside a slice (key columns + time bucket): ordinary windows, one task per slice;
 2. across slices: one summary row per slice, combined in slice order. A key has at most
-   (time span / slice width) of these, whatever its row count;
+   (time span / slice width + rows / rows of a full slice) of these;
 3. back on the rows: the state each slice starts with is joined on (key, slice), the partitioning
    the rows already have.
 
@@ -14,6 +14,7 @@ Results equal those of the plain window.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,8 +27,50 @@ from haulscope.model.params import MICROS
 SLICE = "slice"
 
 
+def slice_start(at: str, seconds: int) -> Column:
+    """Second at which the slice of fixed width begins; slices are named by it, whatever their width."""
+    return int_div(F.col(at), seconds * MICROS) * seconds
+
+
 def with_slice(df: DataFrame, at: str, seconds: int) -> DataFrame:
-    return df.withColumn(SLICE, int_div(F.col(at), seconds * MICROS))
+    return df.withColumn(SLICE, slice_start(at, seconds))
+
+
+SMALL = 100_000  # crowded slices whose cuts every task may hold
+
+
+def bounded(df: DataFrame, keys: Sequence[str], at: str, seconds: int, most: int) -> DataFrame:
+    """Slices of at most ``seconds`` and about ``most`` rows: a slice that holds more is cut at seconds of its own.
+
+    A first pass counts rows per key and slice. Where some are crowded, a second one counts these by second, and a slice
+    ends before the second that would fill it beyond ``most``; rows of one second, and so of one instant, stay together.
+    ``df`` is read again by each pass. The cuts of up to SMALL slices go to every task; beyond that they are joined.
+    """
+    keys = list(keys)
+    sliced = with_slice(df, at, seconds)
+    crowded = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n")
+    found = crowded.limit(SMALL + 1).count()
+    if not found:
+        return sliced
+    second = int_div(F.col(at), MICROS)
+    counted = sliced.join(_sized(crowded, found), [*keys, SLICE], "left_semi").groupBy(*keys, SLICE, second.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    state = lambda held, starts: F.struct(held.alias("held"), starts.alias("starts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = (acc["held"] > 0) & (acc["held"] + x["_n"] > most)
+        return F.when(full, state(x["_n"], F.concat(acc["starts"], F.array(x["_s"])))).otherwise(state(acc["held"] + x["_n"], acc["starts"]))
+
+    first = state(F.lit(0).cast("bigint"), F.array().cast("array<bigint>"))
+    cuts = counted.groupBy(*keys, SLICE).agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("_s", "_n"))), first, step, lambda acc: acc["starts"]).alias("_cuts")
+    )
+    joined = sliced.join(_sized(cuts, found), [*keys, SLICE], "left")
+    own = F.array_max(F.filter("_cuts", lambda c: c <= second))
+    return joined.withColumn(SLICE, F.coalesce(own, F.col(SLICE))).select(*df.columns, SLICE)
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def _local(keys: Sequence[str], order: Sequence[Column | str]):
@@ -142,25 +185,43 @@ def label_runs(df: DataFrame, keys: Sequence[str], at: str, label: str, initial:
 
 
 def _chain_table(values: np.ndarray, threshold: int):
-    """Ranges (from, to, leaving value) of entering values, plus the range no row reacts to."""
+    """Ranges (from, to, leaving value) of entering values, and the leaving value where nothing was kept before."""
+    values = values.tolist()
     n = len(values)
-    leaving = np.empty(n, dtype=np.int64)
+    leaving = [0] * n
+    # Of the rows behind i, only those that exceed all between can be the first at or above a bound, and only those below
+    # all between the first at or below one. Both are stacks with the nearest row on top, in order of value.
+    above, above_at = [], []  # falling towards the top, held as negative numbers
+    under, under_at = [], []  # rising towards the top
     for i in range(n - 1, -1, -1):
-        far = np.nonzero(np.abs(values[i + 1 :] - values[i]) >= threshold)[0]
-        leaving[i] = leaving[i + 1 + far[0]] if len(far) else values[i]
+        v = values[i]
+        over = bisect_right(above, -(v + threshold)) - 1
+        below = bisect_right(under, v - threshold) - 1
+        first = min(above_at[over] if over >= 0 else n, under_at[below] if below >= 0 else n)
+        leaving[i] = leaving[first] if first < n else v
+        while above and -above[-1] <= v:
+            above.pop()
+            above_at.pop()
+        above.append(-v)
+        above_at.append(i)
+        while under and under[-1] >= v:
+            under.pop()
+            under_at.pop()
+        under.append(v)
+        under_at.append(i)
     low, high = -(2**62), 2**62
     pieces: list[tuple[int, int, int]] = []
     for i in range(n):
-        inner_low, inner_high = int(values[i]) - threshold + 1, int(values[i]) + threshold - 1
+        inner_low, inner_high = values[i] - threshold + 1, values[i] + threshold - 1
         if low < inner_low:
-            pieces.append((low, min(high, inner_low - 1), int(leaving[i])))
+            pieces.append((low, min(high, inner_low - 1), leaving[i]))
             low = inner_low
         if high > inner_high and low <= high:
-            pieces.append((max(low, inner_high + 1), high, int(leaving[i])))
+            pieces.append((max(low, inner_high + 1), high, leaving[i]))
             high = inner_high
         if low > high:
             break
-    return pieces, int(leaving[0])
+    return pieces, leaving[0]
 
 
 def _record_batch(rows: list[tuple], kind: T.StructType) -> pa.RecordBatch:

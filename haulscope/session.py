@@ -38,14 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/haulscope-{context.applicationId}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Used where several branches of one result need the same expensive input. Unlike a cache the
-    table survives lost executors, cuts the lineage, and each branch reads only its own columns.
+    table survives lost executors, cuts the lineage, and each branch reads only its own columns, and with ``by`` (a
+    column of few values) only its own folders.
     """
     path = new_table(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ast
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from haulscope.functions.timeparts import int_div
@@ -61,14 +63,19 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append"):
-    """foreachBatch over everything available; returns the progress records."""
+def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink with a folder for each batch: one that is run again after a crash replaces what it had written."""
+    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None):
+    """foreachBatch over everything available; returns the progress records. With ``checkpoint`` it goes on from there."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(each)
-        .option("checkpointLocation", f"{new_table(spark, name)}-checkpoint")
+        .option("checkpointLocation", checkpoint or f"{new_table(spark, name)}-checkpoint")
         .trigger(availableNow=True)
         .start()
     )
@@ -158,7 +165,7 @@ def windowed_throughput(fixes: DataFrame, delay: str = "10 minutes") -> DataFram
 
 
 def live_feed(records: DataFrame) -> DataFrame:
-    """Typed live updates for viewers from position, status, derived and exception records."""
+    """Typed live updates for viewers from position, status, estimate, derived and exception records; unreadable ones go."""
     events = archive.decoded(records)
     update = (
         F.when(F.col("kind") == "shipment.arrived", "arrived")
@@ -167,30 +174,97 @@ def live_feed(records: DataFrame) -> DataFrame:
         .otherwise(F.col("kind"))
     )
     payload = F.struct(
-        "v.vehicleId", "v.position", "v.speedKph", "v.status", "v.stopId", "v.dwell", "v.estimatedArrival", "v.exceptionId",
-        "v.severity", "v.detail", "v.openFor", "v.resolution",
+        "v.vehicleId", "v.position", "v.speedKph", "v.status", "v.stopId", "v.dwell", "v.estimatedArrival", "v.previousEstimate",
+        "v.remainingKm", "v.confidence", "v.exceptionId", "v.exceptionType", "v.severity", "v.detail", "v.observedValue",
+        "v.thresholdValue", "v.raisedAt", "v.openFor", "v.resolution",
     )
-    return events.where("kind IS NOT NULL").select(
+    # a position without coordinates cannot be drawn
+    usable = F.col("kind").isNotNull() & ((F.col("kind") != "position") | F.col("v.position.latitude").isNotNull())
+    return events.where(usable).select(
         update.alias("type"),
         F.col("v.shipmentId").alias("shipment_id"),
         "at_us",
+        F.col("timestamp_us").alias("heard_us"),
+        "offset",
         F.to_json(payload, {"ignoreNullFields": "true"}).alias("payload"),
     )
 
 
-PROGRESS_SCHEMA = "batch_id bigint, input_rows bigint, rows_per_second double, state_rows bigint, duration_ms bigint"
+FEED_SCHEMA = "type string, shipment_id string, at_us bigint, heard_us bigint, payload string"
+
+
+class GateProcessor(StatefulProcessor):
+    """Lets every update of a shipment through but positions within ``gate_us`` of the last one let through.
+
+    The gate's clock is the instant a record was heard, so a repeated batch decides alike. Its state expires once the
+    watermark of that clock is a gate ahead: a silent shipment costs nothing, and its next position passes in any case.
+    """
+
+    def __init__(self, gate_us: int):
+        self.gate = gate_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "heard_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = last = self.last.get()[0] if self.last.exists() else None
+        for r in sorted(rows, key=lambda r: (r.heard_us, r.offset)):
+            if r.type == "position":
+                if last is not None and r.heard_us - last < self.gate:
+                    continue
+                last = r.heard_us
+            yield Row(type=r.type, shipment_id=key[0], at_us=r.at_us, heard_us=r.heard_us, payload=r.payload)
+        if last != held:
+            self.last.update((last,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + self.gate) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.last.clear()
+        return iter(())
+
+
+def thinned_feed(records: DataFrame, gate_millis: int, delay: str = "10 minutes") -> DataFrame:
+    """The live feed with positions thinned to one per shipment and ``gate_millis`` of hearing."""
+    heard = live_feed(records).withColumn("heard_at", F.timestamp_micros("heard_us")).withWatermark("heard_at", delay)
+    return heard.groupBy("shipment_id").transformWithState(
+        statefulProcessor=GateProcessor(gate_millis * 1000), outputStructType=FEED_SCHEMA, outputMode="Append", timeMode="EventTime"
+    )
+
+
+PROGRESS_SCHEMA = (
+    "batch_id bigint, input_rows bigint, rows_per_second double, state_rows bigint, duration_ms bigint, committed bigint, newest bigint, "
+    "lag bigint, observed map<string,bigint>"
+)
+
+
+def position_of(offset) -> int:
+    """How far an offset reaches: records over all partitions of a log, or entries of a file source's log."""
+    parsed = ast.literal_eval(offset) if isinstance(offset, str) else offset
+    if parsed is None:
+        return 0
+    if isinstance(parsed, dict):
+        return sum(position_of(v) for v in parsed.values())
+    return int(parsed)
 
 
 def progress_table(spark: SparkSession, progress: list) -> DataFrame:
-    """Progress records of a query (one per batch) as rows: what is read, how fast, and the state held."""
-    rows = [
-        (
-            p["batchId"],
-            p["numInputRows"],
-            float(p["processedRowsPerSecond"] or 0.0),
-            sum(o["numRowsTotal"] for o in p["stateOperators"]),
-            p["durationMs"].get("triggerExecution", 0),
-        )
-        for p in progress
-    ]
+    """Progress records of a query (one per batch) as rows: what is read, how fast, the state held, how far the batch
+    committed, how far the sources go and the lag between, and the metrics observed on the way.
+
+    A log tells its newest offset; a file source only that of the batch, so at least what the run came to was ahead.
+    """
+    rows = []
+    ends = [sum(position_of(s["endOffset"]) for s in p["sources"]) for p in progress]
+    for p, committed in zip(progress, ends):
+        newest = max(max(ends), sum(position_of(s["latestOffset"]) for s in p["sources"]))
+        observed = {k: int(v or 0) for row in (p["observedMetrics"] or {}).values() for k, v in row.asDict().items()}
+        rows.append(
+            (
+                p["batchId"], p["numInputRows"], float(p["processedRowsPerSecond"] or 0.0), sum(o["numRowsTotal"] for o in p["stateOperators"]),
+                p["durationMs"].get("triggerExecution", 0), committed, newest, newest - committed, observed,
+            )
+        )
     return spark.createDataFrame(rows, PROGRESS_SCHEMA)

@@ -1,9 +1,11 @@
 """Slice kernels against plain loops."""
 
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haulscope.operators import slices
 
@@ -88,3 +90,52 @@ def test_chain_table_covers_every_entering_value():
             hit = [out for lo, hi, out in pieces if lo <= entering <= hi]
             assert len(hit) <= 1
             assert (hit[0] if hit else entering) == leave(entering)
+
+
+def test_chain_table_of_a_long_slice_is_quick():
+    rng = np.random.default_rng(1)
+    for values in (np.arange(100_000), np.arange(100_000)[::-1], rng.integers(0, 10**9, 100_000), np.cumsum(rng.integers(-5, 6, 100_000))):
+        began = time.perf_counter()
+        slices._chain_table(values, 1000)
+        assert time.perf_counter() - began < 2
+
+
+def test_crowded_slices_are_cut(spark):
+    """Of one key nearly all rows lie in one hour; ties stay together, order and results do not change."""
+    rng = random.Random(3)
+    at = sorted([rng.randrange(100 * 3600) for _ in range(1500)] + [50 * 3600 + rng.randrange(3000) for _ in range(3000)] + [50 * 3600 + 3001] * 400)
+    rows = [("hot", t * 1_000_000 + rng.randrange(5) * (t % 2), i) for i, t in enumerate(at)] + [("k", t * 1_000_000, i) for i, t in enumerate(at[::9])]
+    rows += [(None, 5_000_000, 1)]
+    df = spark.createDataFrame(rows, "k string, at bigint, v bigint").repartition(4)
+    for most in (200, 10**9):
+        cut = slices.bounded(df, KEYS, "at", 3600, most)
+        sizes, seconds = {}, {}
+        for r in cut.collect():
+            name = (r.k, r[slices.SLICE])
+            sizes[name] = sizes.get(name, 0) + 1
+            seconds.setdefault((r.k, r["at"] // 1_000_000), set()).add(name)
+            assert r[slices.SLICE] <= r["at"] // 1_000_000 < r[slices.SLICE] + 3600
+        assert sum(sizes.values()) == len(rows) and all(len(s) == 1 for s in seconds.values())
+        assert (sorted(sizes.values())[-1] == 400) == (most == 200)
+        assert sum(n > 200 for n in sizes.values()) <= 1 or most > 200
+        # slices of a key follow each other in time
+        order = sorted((k, s, min(x for x in seconds if x[0] == k and seconds[x] == {(k, s)})[1]) for k, s in sizes if k)
+        assert all(a[2] < b[2] for a, b in zip(order, order[1:]) if a[0] == b[0])
+    plain = lambda most: sorted(
+        (r.v, r.i, r.n) for r in slices.numbered(slices.bounded(df.where("k = 'hot'"), KEYS, "at", 3600, most), KEYS, ["at", "v"], "i", "n").collect()
+    )
+    assert plain(200) == plain(10**9)
+
+
+def test_a_hot_hour_is_spread_over_tasks(spark):
+    """30 % of all rows belong to one shipment and one hour; no task of the ordered part gets more than a few slices of it."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 10 < 3, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("k"),
+        F.when(F.col("id") % 10 < 3, F.col("id") % 3600).otherwise(F.col("id") * 11).alias("s"),
+        F.col("id").alias("v"),
+    ).withColumn("at", F.col("s") * 1_000_000 + F.col("v") % 1000)
+    cut = slices.bounded(rows, KEYS, "at", 3600, 500)
+    shares = cut.repartition(50, *KEYS, slices.SLICE).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in shares) < 60_000 * 0.08
+    whole = slices.with_slice(rows, "at", 3600).repartition(50, *KEYS, slices.SLICE).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in whole) > 60_000 * 0.29

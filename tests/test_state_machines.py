@@ -47,9 +47,9 @@ def by_ship(rows):
     return out
 
 
-@pytest.mark.parametrize("width", [300, 3600, 10**9])
-def test_visits_and_estimates(spark, stops, many, width):
-    p = DEFAULT.but(slice_seconds=width)
+@pytest.mark.parametrize("width, rows", [(300, 10**9), (3600, 10**9), (10**9, 10**9), (10**9, 40), (3600, 7)])
+def test_visits_and_estimates(spark, stops, many, width, rows):
+    p = DEFAULT.but(slice_seconds=width, slice_rows=rows)
     track = positions.one_per_instant(frame(spark, many), p)
     sides = geofence.fix_stop_sides(track, stops, p)
     visited = geofence.visits(sides, p)
@@ -70,9 +70,9 @@ def test_visits_and_estimates(spark, stops, many, width):
     assert published == want_eta
 
 
-@pytest.mark.parametrize("width", [300, 7200])
-def test_excursions(spark, many, width):
-    p = DEFAULT.but(slice_seconds=width, excursion_seconds=300)
+@pytest.mark.parametrize("width, rows", [(300, 10**9), (7200, 10**9), (7200, 11)])
+def test_excursions(spark, many, width, rows):
+    p = DEFAULT.but(slice_seconds=width, slice_rows=rows, excursion_seconds=300)
     terms = spark.createDataFrame([], "shipment_id string, min_c double, max_c double, tolerance_s bigint, cold_chain boolean")
     track = positions.one_per_instant(frame(spark, many), p)
     got = {}
