@@ -1295,12 +1295,12 @@ def stream_archive(run: Run) -> DataFrame:
 
 part(
     "heard_position",
-    """SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY heard_us) AS rn FROM (
+    """SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY heard_us) AS rn FROM (SELECT * FROM (
     SELECT shipment_id, occurred_us, vehicle_id, timestamp_us AS heard_us, event_id + CASE WHEN copy = 0 THEN 0 ELSE 1000000000000 END AS place
     FROM pos_record WHERE NOT cut AND event_id % 47 <> 0
     UNION ALL SELECT shipment_id, occurred_us, vehicle_id, received_us + 60000000, event_id + 1000000000000 FROM fixes
       WHERE event_id % 53 = 0 AND event_id % 41 <> 0 AND event_id % 47 <> 0)
-  QUALIFY row_number() OVER (PARTITION BY shipment_id, heard_us ORDER BY place) = 1""",
+  QUALIFY row_number() OVER (PARTITION BY shipment_id, heard_us ORDER BY place) = 1)""",
 )
 part(
     "let_through",
