@@ -21,7 +21,7 @@ from haulscope.operators import asof, conditions, contracts, eta, geofence, mani
 from haulscope.plans import archive, events as ev, fleet as fleet_plan, ingest, live, public, reference
 from haulscope.session import new_table, stage
 from haulscope.sources import plan
-from haulscope.streaming import flows, incidents, tracking
+from haulscope.streaming import closing, flows, incidents, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1519,3 +1519,60 @@ def shipment_incidents(run: Run) -> DataFrame:
 def shipment_trail(run: Run) -> DataFrame:
     """The trail of every shipment, oldest point first."""
     return positions.in_track_order(tidy(positions.trail(run.fixes, run.params).drop("slice")))
+
+
+# --- closed files of the archive ------------------------------------------------------------------
+
+CLOSE_POLICY = closing.Policy(max_file_bytes=40_000, max_open_bytes=160_000)
+
+part(
+    "log_line",
+    """SELECT *, (heard_us - min(heard_us) OVER ()) // ((max(heard_us) OVER () - min(heard_us) OVER ()) // 4 + 1) AS k FROM (
+    SELECT topic, received_us // 3600000000 * 3600000000 AS hour_us, received_us + user_id % 3 * 1800000000 AS heard_us, event_id % 53 = 0 AS replay,
+      strlen(shipment_id) + strlen('{"eventId":"e-' || event_id || '"}') AS bytes
+    FROM fixes, (VALUES ('fleet.position'), ('fleet.status')) AS t(topic) WHERE topic = 'fleet.position' OR temp_c IS NOT NULL)""",
+)
+for _k in range(STREAM_FILES + 1):
+    _held = f"SELECT topic, hour_us, file, records, bytes, last_us FROM closing_{_k - 1} WHERE reason IS NULL UNION ALL" if _k else ""
+    _before = " UNION ALL ".join(f"SELECT topic, hour_us, file FROM closing_{j} WHERE reason IS NOT NULL" for j in range(_k))
+    _number = f"coalesce((SELECT max(file) + 1 FROM ({_before}) c WHERE c.topic = l.topic AND c.hour_us = l.hour_us), 0)" if _k else "0"
+    _last = "'shutdown'" if _k == STREAM_FILES else "NULL::VARCHAR"
+    part(
+        f"closing_{_k}",
+        f"""SELECT topic, hour_us, file, records, bytes, last_us, CASE WHEN own IS NOT NULL THEN own WHEN sum(CASE WHEN own IS NULL THEN bytes ELSE 0 END) OVER
+      (ORDER BY hour_us, topic, file ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > {CLOSE_POLICY.max_open_bytes} THEN 'buffer' ELSE {_last} END AS reason FROM (
+    SELECT *, CASE WHEN hour_us + 3600000000 <= now_us AND last_us + 60000000 <= now_us THEN 'quiet' WHEN bytes >= {CLOSE_POLICY.max_file_bytes} THEN 'size' END AS own
+    FROM (SELECT topic, hour_us, file, sum(records) AS records, sum(bytes) AS bytes, max(last_us) AS last_us FROM ({_held}
+      SELECT topic, hour_us, {_number} AS file, count(*) AS records, sum(bytes) AS bytes, max(heard_us) AS last_us FROM log_line l WHERE k = {_k} AND NOT replay GROUP BY topic, hour_us)
+      GROUP BY topic, hour_us, file), (SELECT max(heard_us) AS now_us FROM log_line WHERE k <= {_k}))""",
+    )
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT topic, hour_us, CAST(file AS BIGINT) AS file, {k}::BIGINT AS batch, reason, CAST(bytes AS BIGINT) AS bytes, CAST(records AS BIGINT) AS records FROM closing_{k} WHERE reason IS NOT NULL"
+        for k in range(STREAM_FILES + 1)
+    )
+)
+def stream_archive_files(run: Run) -> DataFrame:
+    """The files that four batches of two topics and a shutdown close, why, and the records found in them."""
+    e, topics = F.col("event_id"), F.array(F.lit("fleet.position"), F.when(F.col("temp_c").isNotNull(), "fleet.status"))
+    header = F.array(F.struct(F.lit(archive.REPLAY_HEADER).alias("key"), F.lit("x").cast("binary").alias("value")))
+    records = run.fixes.withColumn("topic", F.explode(F.array_compact(topics))).select(
+        "topic", (F.col("user_id") % 12).cast("int").alias("partition"), e.alias("offset"), F.col("received_us").alias("timestamp_us"),
+        F.col("shipment_id").alias("key"), F.concat(F.lit('{"eventId":"e-'), e.cast("string"), F.lit('"}')).alias("value"),
+        F.when(e % 53 == 0, header).otherwise(F.array().cast("array<struct<key:string,value:binary>>")).alias("headers"),
+        (F.col("received_us") + F.col("user_id") % 3 * (1800 * MICROS)).alias("heard_us"),
+    )
+    path = new_table(run.spark, "closing")
+    closer = closing.ArchiveCloser(path, CLOSE_POLICY)
+    flows.run_batches(_as_stream(run, records, "heard_us"), "closing", closer)
+    closer.shut_down(run.spark, STREAM_FILES - 1)
+    schema = f"record_topic string, {archive.RECORD_SCHEMA}, dt string, hour string"
+    files = run.spark.read.schema(schema).json(f"{path}/files")
+    hour_us = archive.hour_of_directory(files).alias("hour_us")
+    found = files.groupBy("topic", hour_us, F.col("batch").cast("bigint").alias("batch")).agg(F.count(F.lit(1)).alias("records"))
+    told = closer.closed(run.spark, STREAM_FILES + 1).drop("records")
+    return told.join(found, ["topic", "hour_us", "batch"]).select(
+        "topic", "hour_us", F.col("file").cast("bigint").alias("file"), "batch", "reason", "bytes", "records"
+    )
