@@ -783,6 +783,50 @@ def manifest_units(run: Run) -> DataFrame:
     return told.groupBy("unit").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("shipment_id").alias("manifests"))
 
 
+part(
+    "section_plan",
+    """SELECT * FROM (VALUES ('HYD', '/drugLicenceNo', 'field', NULL, NULL, NULL), ('HYD', '/temperature', 'group', 3, NULL, NULL), ('HYD', '/temperature/minC', 'field', NULL, NULL, NULL),
+    ('HYD', '/temperature/maxC', 'field', NULL, NULL, NULL), ('HYD', '/temperature/excursionToleranceMinutes', 'field', NULL, NULL, NULL), ('HYD', '/consignment', 'group', 5, NULL, NULL),
+    ('HYD', '/consignment/batchNo', 'field', NULL, NULL, NULL), ('HYD', '/consignment/expiryDate', 'field', NULL, NULL, NULL), ('HYD', '/consignment/units', 'field', NULL, NULL, NULL),
+    ('HYD', '/consignment/controlledSubstance', 'field', NULL, NULL, NULL), ('HYD', '/consignment/productName', 'field', NULL, NULL, NULL), ('HYD', '/custody', 'table', 1, 1, NULL),
+    ('DEL', '/dcCode', 'field', NULL, NULL, NULL), ('DEL', '/asnNumber', 'field', NULL, NULL, NULL), ('DEL', '/purchaseOrders', 'table', 2, NULL, NULL), ('DEL', '/deliveryWindow', 'group', 3, NULL, NULL),
+    ('DEL', '/deliveryWindow/opensAt', 'field', NULL, NULL, NULL), ('DEL', '/deliveryWindow/closesAt', 'field', NULL, NULL, NULL), ('DEL', '/deliveryWindow/dockNumber', 'field', NULL, NULL, NULL),
+    ('DEL', '/pallets', 'field', NULL, 1, NULL), ('DEL', '/temperatureControlled', 'field', NULL, NULL, NULL),
+    ('BLR', '/ewayBillNo', 'field', NULL, NULL, NULL), ('BLR', '/freightClass', 'field', NULL, NULL, NULL), ('BLR', '/pieces', 'table', 1, NULL, NULL), ('BLR', '/billTo', 'group', 2, 1, NULL),
+    ('BLR', '/billTo/party', 'field', NULL, 1, NULL), ('BLR', '/billTo/gstin', 'field', NULL, 1, NULL), ('BLR', '/accessorials', 'list', 1, NULL, NULL),
+    ('BOM', '/trackingNumber', 'field', NULL, NULL, NULL), ('BOM', '/serviceLevel', 'field', NULL, NULL, NULL), ('BOM', '/weightKg', 'field', NULL, NULL, NULL), ('BOM', '/recipient', 'group', 3, 1, NULL),
+    ('BOM', '/recipient/name', 'field', NULL, 1, NULL), ('BOM', '/recipient/pincode', 'field', NULL, 1, NULL), ('BOM', '/recipient/phone', 'field', NULL, 1, NULL),
+    ('BOM', '/signatureRequired', 'field', NULL, NULL, NULL), ('BOM', '/declaredValueInr', 'field', NULL, NULL, NULL), ('BOM', '/codAmountInr', 'field', NULL, NULL, NULL),
+    ('HYD', '/surprise', 'field', NULL, NULL, 0), ('DEL', '/surprise', 'field', NULL, NULL, 0), ('BLR', '/surprise', 'field', NULL, NULL, 0), ('BOM', '/surprise', 'field', NULL, NULL, 0))
+  AS v(lane, path, class, entries, not_with, only_with)""",
+)
+
+
+@query(
+    """SELECT shipment_id, path, class, CAST(entries AS BIGINT) AS entries, path IN ('/temperature', '/deliveryWindow') AS reserved FROM manifest_fact JOIN section_plan USING (lane)
+  WHERE full_body AND coalesce(fault <> not_with, true) AND coalesce(fault = only_with, true)"""
+)
+def manifest_sections(run: Run) -> DataFrame:
+    """Fields, groups, tables and lists of every manifest."""
+    return contracts.sections(run.manifests).select("shipment_id", "path", "class", "entries", "reserved")
+
+
+@query(
+    """SELECT shipment_id, path, "row"::BIGINT AS "row", place::BIGINT AS place, name, value FROM (
+    SELECT shipment_id, lane, fault, '/purchaseOrders' AS path, 0 AS "row", unnest([0, 1, 2, 3]) AS place, unnest(['poNumber', 'lineCount', 'valueInr', 'department']) AS name,
+      unnest(['PO' || (user_id + 50000000), CAST(user_id % 40 + 12 AS VARCHAR), '180000', 'Grocery']) AS value FROM manifest_fact WHERE full_body AND lane = 'DEL'
+    UNION ALL SELECT shipment_id, lane, fault, '/purchaseOrders', 1, unnest([0, 1, 2, 3]), unnest(['poNumber', 'lineCount', 'valueInr', 'department']),
+      unnest(['PO' || (user_id + 50000001), '4', '60000.5', NULL]) FROM manifest_fact WHERE full_body AND lane = 'DEL'
+    UNION ALL SELECT shipment_id, lane, fault, '/pieces', 0, unnest([0, 1, 2, 3]), unnest(['description', 'weightKg', 'dimensionsCm', 'hazmat']),
+      unnest(['Components', CASE WHEN fault = 3 THEN '0' ELSE CAST(user_id % 9 * 15 + 210 AS VARCHAR) END, '{"length":120,"width":80,"height":95}', 'false']) FROM manifest_fact WHERE full_body AND lane = 'BLR'
+    UNION ALL SELECT shipment_id, lane, fault, '/custody', 0, unnest([0, 1]), unnest(['party', 'handedOverAt']), unnest(['Genome Valley', '2026-08-31T22:00:00Z'])
+      FROM manifest_fact WHERE full_body AND lane = 'HYD' AND fault <> 1)"""
+)
+def manifest_tables(run: Run) -> DataFrame:
+    """Cells of the tables in all manifests; columns in the order they are first seen."""
+    return contracts.tables(run.manifests).select("shipment_id", "path", "row", "place", "name", "value")
+
+
 @query(
     """SELECT customer_id, mode, 0::BIGINT AS problems, count(*) AS manifests FROM manifest_fact WHERE fault <> 4 GROUP BY customer_id, mode"""
 )
@@ -1523,7 +1567,7 @@ def shipment_trail(run: Run) -> DataFrame:
 
 # --- closed files of the archive ------------------------------------------------------------------
 
-CLOSE_POLICY = closing.Policy(max_file_bytes=40_000, max_open_bytes=160_000)
+CLOSE_POLICY = closing.Policy(max_file_bytes=20_000, max_open_bytes=25_000)
 
 part(
     "log_line",

@@ -18,8 +18,8 @@ SCALARS = (
     "type", "pattern", "minimum", "maximum", "exclusiveMinimum", "minLength", "maxLength", "minItems", "maxItems",
     "uniqueItems", "format",
 )
-# instants in a text are quoted, so that brackets inside them do not count as nesting
-_QUOTED = r'"(\\.|[^"\\])*"'
+# Keys at the top of a body that the platform itself reads.
+RESERVED = ("temperature", "deliveryWindow")
 
 
 def compile_contract(document: dict, path: str = "") -> list[tuple[str, str, str]]:
@@ -81,27 +81,70 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     return constraints_of(lines.select(F.col("c.customerId").alias("customer_id"), "c.mode", "c.version", document))
 
 
-def nesting(bodies: DataFrame) -> int:
-    """How deep the deepest body is nested, counted over all of them."""
-    bare = F.regexp_replace("body", _QUOTED, "")
-    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    level = lambda depth, c: depth + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
-    deepest = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda a, c: F.struct(level(a["now"], c).alias("now"), F.greatest(a["most"], level(a["now"], c)).alias("most")),
+_IS_BOX = "(schema_of_variant({0}) LIKE 'OBJECT%' OR schema_of_variant({0}) LIKE 'ARRAY%')"
+
+
+def boxes(bodies: DataFrame, key: str = "shipment_id") -> DataFrame:
+    """Every object and array of every body, however deep, and bodies that are neither: path, shape, parsed value, own text.
+
+    The levels are found by recursion, so the plan is the same for all bodies, and only objects and arrays go from one
+    level to the next; each level is a shuffle of those alone. ``prepare`` lifts Spark's bounds on such recursion.
+    """
+    carried = [key, *_context(bodies)]
+    names = ", ".join(carried)
+    kept = ", ".join(f"b.{c}" for c in carried)
+    return bodies.sparkSession.sql(
+        f"""WITH RECURSIVE box({names}, path, shape, in_array, raw, v) AS (
+          SELECT {names}, '', '', false, body, try_parse_json(body) FROM {{bodies}} WHERE try_parse_json(body) IS NOT NULL
+          UNION ALL
+          SELECT {kept}, b.path || '/' || coalesce(c.key, CAST(c.pos AS STRING)), b.shape || '/' || coalesce(c.key, '*'), b.in_array OR c.key IS NULL,
+            CASE WHEN c.key IS NOT NULL THEN from_json(b.raw, 'map<string,string>')[c.key] ELSE from_json(b.raw, 'array<string>')[c.pos] END,
+            c.value
+          FROM box b, LATERAL variant_explode(b.v) AS c WHERE {_IS_BOX.format("c.value")})
+        SELECT * FROM box""",
+        bodies=bodies.select(*carried, "body"),
     )
-    return bodies.agg(F.max(deepest["most"])).first()[0] or 0
 
 
 def flatten(bodies: DataFrame, key: str = "shipment_id", levels: int | None = None) -> DataFrame:
     """One row per JSON node: its path, the path with '*' for array positions, its kind, text, number, size and
-    (objects) keys. Row-local, nothing is shuffled.
+    (objects) keys.
 
-    All levels there are, or the first ``levels`` below the root.
+    All levels there are, by recursion, or the first ``levels`` below the root, row by row without a shuffle.
     """
-    levels = nesting(bodies) if levels is None else levels
-    spark, carried = bodies.sparkSession, [key, *_context(bodies)]
+    rows = _nodes(boxes(bodies, key)) if levels is None else _first_levels(bodies, key, levels)
+    return _described(rows, [key, *_context(bodies)])
+
+
+def _opened(rows: DataFrame, container: Column) -> DataFrame:
+    """Each row as it is (open = false) and, if it is a container, once for each child (open = true): pos, k, child."""
+    both = F.when(container, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    tvf = rows.sparkSession.tvf
+    out = rows.withColumn("open", F.explode(both)).lateralJoin(
+        tvf.variant_explode_outer(F.when(F.col("open").outer(), F.col("v").outer())).toDF("pos", "k", "child")
+    )
+    return out.where(~F.col("open") | F.col("pos").isNotNull())
+
+
+def _stepped(column: str, step: Column) -> Column:
+    return F.when(F.col("open"), F.concat(column, F.lit("/"), step)).otherwise(F.col(column)).alias(column)
+
+
+def _nodes(found: DataFrame) -> DataFrame:
+    """The boxes themselves and their children that are none."""
+    rows = _opened(found.drop("raw", "in_array"), F.expr(_IS_BOX.format("v")))
+    rows = rows.where(~F.col("open") | ~F.expr(_IS_BOX.format("child")))
+    carried = [c for c in found.columns if c not in ("path", "shape", "in_array", "raw", "v")]
+    return rows.select(
+        *carried,
+        _stepped("path", F.coalesce("k", F.col("pos").cast("string"))),
+        _stepped("shape", F.coalesce("k", F.lit("*"))),
+        F.when(F.col("open"), F.col("child")).otherwise(F.col("v")).alias("v"),
+    )
+
+
+def _first_levels(bodies: DataFrame, key: str, levels: int) -> DataFrame:
+    carried = [key, *_context(bodies)]
     rows = bodies.select(
         *carried,
         F.lit("").alias("path"),
@@ -111,19 +154,17 @@ def flatten(bodies: DataFrame, key: str = "shipment_id", levels: int | None = No
     ).where("v IS NOT NULL")
     for _ in range(levels):
         # a fresh container stays as a node (open = false) and is opened into its children (open = true)
-        container = F.col("fresh") & F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-        both = F.when(container, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-        rows = rows.withColumn("open", F.explode(both)).lateralJoin(
-            spark.tvf.variant_explode_outer(F.when(F.col("open").outer(), F.col("v").outer())).toDF("pos", "k", "child")
-        )
-        opened = F.col("open")
-        rows = rows.where(~opened | F.col("pos").isNotNull()).select(
+        rows = _opened(rows, F.col("fresh") & F.expr(_IS_BOX.format("v"))).select(
             *carried,
-            F.when(opened, F.concat("path", F.lit("/"), F.coalesce("k", F.col("pos").cast("string")))).otherwise(F.col("path")).alias("path"),
-            F.when(opened, F.concat("shape", F.lit("/"), F.coalesce("k", F.lit("*")))).otherwise(F.col("shape")).alias("shape"),
-            F.when(opened, F.col("child")).otherwise(F.col("v")).alias("v"),
-            opened.alias("fresh"),
+            _stepped("path", F.coalesce("k", F.col("pos").cast("string"))),
+            _stepped("shape", F.coalesce("k", F.lit("*"))),
+            F.when(F.col("open"), F.col("child")).otherwise(F.col("v")).alias("v"),
+            F.col("open").alias("fresh"),
         )
+    return rows
+
+
+def _described(rows: DataFrame, carried: list[str]) -> DataFrame:
     kind = F.schema_of_variant("v")
     text = F.to_json("v")
     word = (
@@ -136,8 +177,7 @@ def flatten(bodies: DataFrame, key: str = "shipment_id", levels: int | None = No
     )
     df = rows.withColumn("kind", word).withColumn("json", text)
     return df.select(
-        key,
-        *_context(bodies),
+        *carried,
         "path",
         "shape",
         "kind",
@@ -149,6 +189,49 @@ def flatten(bodies: DataFrame, key: str = "shipment_id", levels: int | None = No
     )
 
 
+def _is_table() -> Column:
+    """Is the box an array of objects only? A null among them makes it a list."""
+    items = F.from_json("raw", "array<string>")
+    return F.schema_of_variant("v").startswith("ARRAY<OBJECT") & F.forall(items, lambda r: r.isNotNull())
+
+
+def sections(bodies: DataFrame, key: str = "shipment_id") -> DataFrame:
+    """What a body is made of for a reader: path, class (field, group, table, list), entries, and whether it is reserved.
+
+    Arrays are shown whole: one of objects is a table, any other a list, and nothing below an array is a section of its
+    own. Bodies that are not objects have none.
+    """
+    carried = [key, *_context(bodies)]
+    found = boxes(bodies, key).where(~F.col("in_array") & (F.schema_of_variant("v").startswith("OBJECT") | (F.col("path") != "")))
+    array = F.schema_of_variant("v").startswith("ARRAY")
+    rows = _opened(found, ~array).where(~F.col("open") | ~F.expr(_IS_BOX.format("child")))
+    kind = F.when(F.col("open"), "field").when(~array, "group").when(_is_table(), "table").otherwise("list")
+    size = F.when(~F.col("open"), F.when(array, F.json_array_length("raw")).otherwise(F.size(F.json_object_keys("raw")))).cast("bigint")
+    path = _stepped("path", F.coalesce("k", F.lit("")))
+    rows = rows.select(*carried, path, kind.alias("class"), size.alias("entries"))
+    # the root of an object is the body itself; a root array has been left out
+    rows = rows.where("path <> ''")
+    return rows.withColumn("reserved", (F.col("class") == "group") & F.col("path").isin([f"/{c}" for c in RESERVED]))
+
+
+def tables(bodies: DataFrame, key: str = "shipment_id") -> DataFrame:
+    """Cells of all arrays of objects: path, row, place and name of the column, and its text; null where a row lacks it.
+
+    The columns of a table are the keys of all its rows in the order they are first seen. An object or array in a cell
+    is given as its text.
+    """
+    found = boxes(bodies, key).where((F.col("path") != "") & ~F.col("in_array") & _is_table())
+    items = F.from_json("raw", "array<string>")
+    columns = F.array_distinct(F.flatten(F.transform(items, lambda r: F.json_object_keys(r))))
+    carried = [key, *_context(bodies), "path"]
+    rows = found.select(*carried, columns.alias("columns"), F.posexplode(items).alias("row", "item"))
+    cells = rows.select(*carried, "row", F.from_json("item", "map<string,string>").alias("values"), F.posexplode("columns").alias("place", "name"))
+    return cells.select(
+        *carried, F.col("row").cast("bigint").alias("row"), F.col("place").cast("bigint").alias("place"), "name",
+        F.try_element_at("values", F.col("name")).alias("value"),
+    )
+
+
 def _context(bodies: DataFrame) -> list[str]:
     return [c for c in ("customer_id", "mode") if c in bodies.columns]
 

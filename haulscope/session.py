@@ -16,6 +16,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # (shipment, slice) is already even, so a join on more keys need not shuffle again
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        # a recursion ends with the data: no body is too deep, no level too long
+        "spark.sql.cteRecursionLevelLimit": "-1",
+        "spark.sql.cteRecursionRowLimit": "-1",
     }.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

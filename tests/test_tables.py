@@ -221,10 +221,42 @@ def test_contracts_at_any_depth_and_newest_version_only(spark):
     )
     out = {r.shipment_id: (r.version, r.outcome, r.violations) for r in contracts.outcomes(manifests, rules).collect()}
     assert out == {"low": ("10", "INVALID", 1), "middle": ("10", "VALID", 0), "high": ("10", "VALID", 0)}
-    assert contracts.nesting(manifests) == 6
     assert contracts.flatten(manifests).where("path = '/n/n/n/n/n/n'").count() == 3
     tricky = spark.createDataFrame([("t", '{"a": "[[[[{{", "b": "\\\\"}')], "shipment_id string, body string")
-    assert contracts.nesting(tricky) == 1
+    assert contracts.flatten(tricky).count() == 3
+
+
+def test_a_body_nested_deeply_does_not_make_a_deep_plan(spark):
+    levels = 120
+    rows = [("deep", "[" * levels + "1" + "]" * levels), ("flat", '{"a": 1}'), ("bare", "7"), ("broken", "{"), ("none", None)]
+    bodies = spark.createDataFrame(rows, "shipment_id string, body string")
+    nodes = contracts.flatten(bodies)
+    assert len(nodes._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 60
+    found = {r.shipment_id: r["count"] for r in nodes.groupBy("shipment_id").count().collect()}
+    assert found == {"deep": levels + 1, "flat": 2, "bare": 1}
+    by_level = contracts.flatten(bodies.where("shipment_id <> 'deep'"), levels=4)
+    assert sorted(by_level.collect()) == sorted(nodes.where("shipment_id <> 'deep'").collect())
+
+
+def test_sections_and_tables_of_ragged_bodies(spark):
+    body = (
+        '{"zone": null, "pieces": [{"kg": 1, "box": {"z": 1, "a": [2]}}, {"note": "x", "kg": null}], "mixed": [{"a": 1}, 2], "holes": [{"a": 1}, null],'
+        ' "words": ["{}", "a"], "none": [], "temperature": {"inner": {"temperature": {}, "rows": [{"b": "1"}]}}, "deliveryWindow": 5}'
+    )
+    bodies = spark.createDataFrame([("s", body), ("array", '[{"a": 1}]'), ("empty", "{}")], "shipment_id string, body string")
+    found = sorted((r.path, r["class"], r.entries, r.reserved) for r in contracts.sections(bodies).collect())
+    assert found == [
+        ("/deliveryWindow", "field", None, False), ("/holes", "list", 2, False), ("/mixed", "list", 2, False), ("/none", "list", 0, False),
+        ("/pieces", "table", 2, False), ("/temperature", "group", 1, True), ("/temperature/inner", "group", 2, False),
+        ("/temperature/inner/rows", "table", 1, False), ("/temperature/inner/temperature", "group", 0, False), ("/words", "list", 2, False),
+        ("/zone", "field", None, False),
+    ]
+    cells = sorted((r.path, r.row, r.place, r.name, r.value) for r in contracts.tables(bodies).collect())
+    assert cells == [
+        ("/pieces", 0, 0, "kg", "1"), ("/pieces", 0, 1, "box", '{"z":1,"a":[2]}'), ("/pieces", 0, 2, "note", None),
+        ("/pieces", 1, 0, "kg", None), ("/pieces", 1, 1, "box", None), ("/pieces", 1, 2, "note", "x"),
+        ("/temperature/inner/rows", 0, 0, "b", "1"),
+    ]
 
 
 def test_contracts_are_read_from_files(spark, tmp_path):
