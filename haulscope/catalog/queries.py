@@ -883,6 +883,8 @@ def _misfiled(run: Run) -> str:
     records = archive.skip_replayed(archive_fixtures.position_records(run.fixes))
     shift = F.when(F.col("offset") % 101 == 0, 3600 * MICROS).otherwise(0)
     laid = archive.layout(records.withColumn("_at", F.col("timestamp_us")).withColumn("timestamp_us", F.col("timestamp_us") + shift))
+    # one file an hour
+    laid = laid.repartition("dt", "hour")
     archive.write_laid_out(laid.withColumn("timestamp_us", F.col("_at")), path)
     return path
 
@@ -894,22 +896,38 @@ part(
 )
 
 
+REPLAY_FROM_US = 1_788_228_000_000_000
+
+
 @query(
-    """SELECT 'fleet.position' AS topic, count(*) AS lines, count(*) FILTER (WHERE shift > 0) AS misplaced, count(*) FILTER (WHERE eid IS NULL) AS without_event_id,
-    count(DISTINCT eid) AS distinct_ids, count(eid) - count(DISTINCT eid) AS duplicates, false AS ok FROM replayed"""
+    """SELECT 'fleet.position' AS topic, count(DISTINCT (timestamp_us + shift) // 3600000000) AS files, count(*) AS lines, count(*) FILTER (WHERE shift > 0) AS misplaced,
+    count(*) FILTER (WHERE eid IS NULL) AS without_event_id, count(DISTINCT eid) AS distinct_ids, count(eid) - count(DISTINCT eid) AS duplicates,
+    count(DISTINCT eid) AS published, count(*) FILTER (WHERE shift > 0 OR eid IS NULL) = 0 AS ok FROM replayed
+  UNION ALL SELECT 'fleet.status', count(DISTINCT received_us // 3600000000), count(*), 0, 0, count(*), 0, 0, count(*) > 0 FROM fixes
+    WHERE temp_c IS NOT NULL AND received_us >= 1788228000000000 AND received_us < 1788242400000000"""
 )
 def replay_report(run: Run) -> DataFrame:
-    """Check of the four hours from 02:00 on; the number of files is Spark's own affair."""
-    start = 1_788_228_000_000_000
-    scanned = archive.scan(run.spark, _misfiled(run), "fleet.position", start, start + 4 * 3600 * MICROS)
-    return archive.replay_report(scanned).drop("files")
+    """Check of four hours of two topics: one with flaws that is published, one without that is only verified."""
+    path, end = _misfiled(run), REPLAY_FROM_US + 4 * 3600 * MICROS
+    archive.write(archive_fixtures.status_records(run.fixes).repartition(hour_text(F.col("timestamp_us"))), path)
+    report = lambda topic, target: archive.replay_report(archive.scan(run.spark, path, topic, REPLAY_FROM_US, end), target)
+    return report("fleet.position", "fleet.replay").unionByName(report("fleet.status", None))
 
 
-@query("SELECT DISTINCT shipment_id AS key, eid AS event_id, 'fleet.replay' AS topic FROM replayed WHERE eid IS NOT NULL")
+@query(
+    """SELECT arg_min(shipment_id, timestamp_us) AS key, eid AS event_id, 'fleet.replay' AS topic, min((timestamp_us + shift) // 3600000000) * 3600000000 AS hour_us
+  FROM replayed WHERE eid IS NOT NULL GROUP BY eid"""
+)
 def replay_records(run: Run) -> DataFrame:
-    start = 1_788_228_000_000_000
-    scanned = archive.scan(run.spark, _misfiled(run), "fleet.position", start, start + 4 * 3600 * MICROS)
-    return archive.replay_records(scanned, "fleet.replay").select("key", archive.event_id_of(F.col("value")).alias("event_id"), "topic")
+    """What a replay has published, read back: each event once, from the first hour that has it as its header says."""
+    scanned = archive.scan(run.spark, _misfiled(run), "fleet.position", REPLAY_FROM_US, REPLAY_FROM_US + 4 * 3600 * MICROS)
+    path = new_table(run.spark, "replay")
+    archive.publish(archive.replay_records(scanned, "fleet.replay"), path)
+    sent = run.spark.read.parquet(path)
+    named = sent.select("*", F.col("headers")[0]["value"].cast("string").alias("from"))
+    place = lambda part: F.regexp_extract("from", f"/{part}=([^/]+)/", 1).alias(part)
+    told = named.select("topic", "key", archive.event_id_of(F.col("value")).alias("event_id"), place("dt"), place("hour"))
+    return told.select("key", "event_id", "topic", archive.hour_of_directory(told).alias("hour_us"))
 
 
 part(

@@ -65,7 +65,17 @@ def scan(spark: SparkSession, path: str, topic: str, from_us: int, to_us: int |
         (F.col("topic") == topic)
         & (stamp >= F.date_format(first, "yyyy-MM-dd HH"))
         & (stamp < F.date_format(last, "yyyy-MM-dd HH"))
-    ).withColumn("file", F.col("_metadata.file_path"))
+    ).withColumns({"file": F.col("_metadata.file_path"), "written_ms": written_ms(F.col("_metadata.file_path"), F.col("_metadata.file_modification_time"))})
+
+
+def file_name(file: Column) -> Column:
+    return F.regexp_extract(file, r"([^/]+)$", 1)
+
+
+def written_ms(file: Column, modified: Column | None = None) -> Column:
+    """When a file was written: the millis at the end of its name, or else when it was last modified."""
+    named = F.regexp_extract(file_name(file), r"-(\d+)\.ndjson\.gz$", 1).try_cast("bigint")
+    return named if modified is None else F.coalesce(named, F.unix_millis(modified))
 
 
 def event_id_of(value: Column) -> Column:
@@ -79,10 +89,11 @@ def hour_of_directory(df: DataFrame) -> Column:
     return F.unix_micros(F.try_to_timestamp(F.concat_ws(" ", "dt", "hour"), F.lit("yyyy-MM-dd HH")))
 
 
-def replay_report(scanned: DataFrame) -> DataFrame:
-    """Lines, distinct and repeated ids, misplaced lines and lines without id, per topic.
+def replay_report(scanned: DataFrame, target: str | None = None) -> DataFrame:
+    """Lines, distinct and repeated ids, misplaced lines and lines without id, per topic, and what goes to ``target``.
 
-    Counting repeats as (lines with id - distinct ids) needs no order over the files.
+    Counting repeats as (lines with id - distinct ids) needs no order over the files. Without a target nothing is
+    published.
     """
     rows = scanned.select(
         "topic",
@@ -106,26 +117,34 @@ def replay_report(scanned: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in ("lines", "misplaced", "without_event_id")]
     )
     joined = totals.join(distinct, "topic", "left").fillna(0, ["distinct_ids", "duplicates"])
-    return joined.withColumn(
+    return joined.withColumn("published", F.col("distinct_ids") if target else F.lit(0).cast("bigint")).withColumn(
         "ok", (F.col("files") > 0) & (F.col("misplaced") == 0) & (F.col("without_event_id") == 0)
     )
 
 
 def replay_records(scanned: DataFrame, target: str) -> DataFrame:
-    """Each distinct event once, in the form a Kafka sink takes, with a header naming its file."""
+    """Each distinct event once, in the form a Kafka sink takes, with a header naming its file.
+
+    Of the lines of an event the first counts: hours in turn, in each the files by when they were written, then by name.
+    """
     named = scanned.withColumn("event_id", event_id_of(F.col("value"))).where("event_id IS NOT NULL")
-    first = named.groupBy("event_id").agg(
-        F.min_by(F.struct("key", "value", "file"), F.struct("file", "offset")).alias("r")
-    )
+    turn = F.struct(hour_of_directory(scanned).alias("hour"), "written_ms", file_name(F.col("file")).alias("name"), "file", "offset")
+    first = named.groupBy("event_id").agg(F.min_by(F.struct("key", "value", "file"), turn).alias("r"))
     header = F.array(F.struct(F.lit(REPLAY_HEADER).alias("key"), F.col("r.file").cast("binary").alias("value")))
     return first.select(F.lit(target).alias("topic"), "r.key", "r.value", header.alias("headers"))
 
 
+def publish(records: DataFrame, path: str) -> None:
+    """A replay as files, one folder for each topic it goes to; a run that is repeated replaces what it had written."""
+    records.write.mode("overwrite").partitionBy("topic").parquet(path)
+
+
 def in_replay_order(scanned: DataFrame) -> DataFrame:
-    """Files of a scan by the instant in their name, then by name."""
-    name = F.regexp_extract("file", r"([^/]+)$", 1)
-    written = F.regexp_extract(name, r"-(\d+)\.ndjson\.gz$", 1).try_cast("bigint")
-    return scanned.groupBy("file").agg(F.count(F.lit(1)).alias("lines")).orderBy(written.asc_nulls_first(), "file")
+    """Files of a scan in the order of their replay: by hour, when they were written, and name."""
+    written = F.col("written_ms") if "written_ms" in scanned.columns else written_ms(F.col("file"))
+    hour = hour_of_directory(scanned) if "hour" in scanned.columns else F.lit(None).cast("bigint")
+    files = scanned.groupBy(hour.alias("hour_us"), written.alias("written_ms"), "file").agg(F.count(F.lit(1)).alias("lines"))
+    return files.select("file", "lines", "hour_us", "written_ms").orderBy("hour_us", F.col("written_ms").asc_nulls_first(), file_name(F.col("file")), "file")
 
 
 def retained(records: DataFrame, today: Column) -> DataFrame:

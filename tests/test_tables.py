@@ -48,6 +48,19 @@ def test_archive_scan_prunes_and_orders(spark):
     assert archive.in_replay_order(names).first().file == "x/p0-o9-100.ndjson.gz"
 
 
+def test_a_replay_takes_the_first_line_of_an_event(spark):
+    line = lambda hour, written, name, note: (
+        "t", "2026-09-01", hour, f"a/{name}-{written}.ndjson.gz", written, 1, "k", json.dumps({"eventId": "e", "note": note})
+    )
+    lines = [line("03", 5, "p0", "later hour"), line("02", 9, "a", "written later"), line("02", 7, "b", "name later"), line("02", 7, "a", "first")]
+    schema = "topic string, dt string, hour string, file string, written_ms bigint, `offset` bigint, `key` string, value string"
+    scanned = spark.createDataFrame(lines, schema)
+    (sent,) = archive.replay_records(scanned, "again").collect()
+    assert json.loads(sent.value)["note"] == "first" and bytes(sent.headers[0].value) == b"a/a-7.ndjson.gz"
+    order = [(r.file, r.lines) for r in archive.in_replay_order(scanned).collect()]
+    assert order == [("a/a-7.ndjson.gz", 1), ("a/b-7.ndjson.gz", 1), ("a/a-9.ndjson.gz", 1), ("a/p0-5.ndjson.gz", 1)]
+
+
 def test_clear_without_raise_and_raise_without_clear(spark):
     value = lambda **v: json.dumps({"shipmentId": "s", "occurredAt": "1970-01-01T00:00:01Z", **v})
     rows = [
