@@ -622,9 +622,17 @@ def canonical_events(run: Run) -> DataFrame:
     return tidy(ingest.events(run.feed_rows))
 
 
-@query("SELECT * FROM dead")
+@query("SELECT *, CASE WHEN source = 'EDI_214' THEN 'application/edi-x12' ELSE 'application/json' END AS content_type, true AS body_kept FROM dead")
 def dead_letters(run: Run) -> DataFrame:
-    return ingest.dead_letters(run.feed_rows).drop("body", "content_type")
+    """Dead letters as read back from the sink; the body is compared with the message it came in."""
+    path = new_table(run.spark, "dead")
+    ingest.write_dead_letters(ingest.dead_letters(run.feed_rows), path)
+    sent = run.spark.read.parquet(path).withColumn("reason", F.col("reason").cast("string"))
+    came = run.staged_messages.select("message_id", F.xxhash64("body").alias("came"))
+    return sent.join(came, "message_id").select(
+        "message_id", "source", "reason", "detail", "routing_key", "received_us", "content_type",
+        (F.xxhash64("body") == F.col("came")).alias("body_kept"),
+    )
 
 
 @query(
@@ -889,6 +897,30 @@ def _misfiled(run: Run) -> str:
     return path
 
 
+@query(
+    """SELECT shipment_id AS key, 'fleet.position-' || (user_id % 12) || '@' || (event_id + CASE WHEN copy = 0 THEN 0 ELSE 1000000000000 END) AS origin,
+    CASE WHEN cut THEN 'UNPARSEABLE' ELSE 'INCOMPLETE' END AS reason,
+    CASE WHEN cut THEN 'unreadable JSON' WHEN event_id % 59 = 0 THEN 'missing shipmentId' ELSE 'missing position' END AS detail, CASE WHEN cut THEN 40::BIGINT END AS cut_at, true AS told
+  FROM pos_record WHERE cut OR event_id % 59 = 0 OR event_id % 43 = 0"""
+)
+def consumer_dead_letters(run: Run) -> DataFrame:
+    """Positions from the log that no consumer can use: cut, without a shipment, or without a place."""
+    e = F.col("event_id")
+    records = archive.skip_replayed(archive_fixtures.position_records(run.fixes.withColumn("lat", F.when(e % 43 != 0, F.col("lat")))))
+    unnamed = F.regexp_replace("value", '"shipmentId":"[^"]*",?', "")
+    event = F.col("offset") % archive_fixtures.REPEAT_OFFSET
+    records = records.withColumn("value", F.when(event % 59 == 0, unnamed).otherwise(F.col("value")))
+    # the last cut, so that both flaws of one event leave 40 characters
+    records = records.withColumn("value", F.when(event % 41 == 0, F.rpad("value", 40, ".")).otherwise(F.col("value")))
+    path = new_table(run.spark, "dead")
+    ingest.write_dead_letters(ingest.consumer_dead_letters(records), path)
+    sent = run.spark.read.parquet(path).withColumn("reason", F.col("reason").cast("string"))
+    header = lambda n: F.col("headers")[n]["value"].cast("string")
+    told = (header(0) == F.col("reason")) & (header(1) == F.col("detail")) & (header(2) == F.col("origin"))
+    cut_at = F.when(F.col("reason") == "UNPARSEABLE", F.length("value").cast("bigint"))
+    return sent.select("key", "origin", "reason", "detail", cut_at.alias("cut_at"), told.alias("told"))
+
+
 part(
     "replayed",
     """SELECT * FROM (SELECT *, CASE WHEN (CASE WHEN copy = 0 THEN event_id ELSE event_id + 1000000000000 END) % 101 = 0 THEN 3600000000 ELSE 0 END AS shift FROM pos_record)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions import ids
+from haulscope.functions.timeparts import instant_us
 from haulscope.functions.text import blank_to_null
 from haulscope.operators import asof
 from haulscope.sources import feeds
@@ -136,3 +137,35 @@ def first_missing() -> Column:
         .when(F.col("occurred_us").isNull(), "occurredAt")
         .when(F.col("lat").isNull() | F.col("lon").isNull(), "position")
     )
+
+
+# Header names of records a consumer sets aside.
+DEAD_REASON, DEAD_DETAIL, DEAD_ORIGIN = "fleet.dlq.reason", "fleet.dlq.detail", "fleet.dlq.origin"
+
+
+def consumer_dead_letters(records: DataFrame) -> DataFrame:
+    """Log records of positions that no consumer can use, with key and value as they were and headers that say why and
+    from where (topic-partition@offset): values that are no JSON object, and events that lack a field."""
+    v = F.from_json("value", "shipmentId string, occurredAt string, position struct<latitude:double,longitude:double>")
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    df = records.withColumn("v", v).withColumns(
+        {
+            "shipment_id": F.col("v.shipmentId"), "occurred_us": instant_us(F.col("v.occurredAt")),
+            "lat": F.col("v.position.latitude"), "lon": F.col("v.position.longitude"),
+        }
+    )
+    df = df.withColumn("reason", F.when(~readable, "UNPARSEABLE").when(first_missing().isNotNull(), "INCOMPLETE")).where("reason IS NOT NULL")
+    detail = F.when(~readable, "unreadable JSON").otherwise(F.concat(F.lit("missing "), first_missing()))
+    origin = F.format_string("%s-%d@%d", "topic", "partition", "offset")
+    headers = F.array(
+        *[
+            F.struct(F.lit(name).alias("key"), value.cast("binary").alias("value"))
+            for name, value in ((DEAD_REASON, F.col("reason")), (DEAD_DETAIL, detail), (DEAD_ORIGIN, origin))
+        ]
+    )
+    return df.select("reason", detail.alias("detail"), origin.alias("origin"), "key", "value", headers.alias("headers"))
+
+
+def write_dead_letters(letters: DataFrame, path: str) -> None:
+    """Dead letters of either kind, a folder for each reason; a run that is repeated replaces what it had written."""
+    letters.write.mode("overwrite").partitionBy("reason").parquet(path)
