@@ -1617,7 +1617,7 @@ def shipment_trail(run: Run) -> DataFrame:
 
 # --- closed files of the archive ------------------------------------------------------------------
 
-CLOSE_POLICY = closing.Policy(max_file_bytes=20_000, max_open_bytes=25_000)
+CLOSE_POLICY = closing.Policy(max_file_bytes=20_000, max_open_bytes=10_000)
 
 part(
     "log_line",
