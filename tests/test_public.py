@@ -84,3 +84,12 @@ def test_fold_merge_counts_each_hour_once(run):
         "fleet.derived": (3, 3, 0, 0, 3, us("08:30:00")),
         "fleet.exceptions": (3, 4, 0, 0, 4, us("08:20:00")),
     }
+
+
+def test_public_summary_shows_the_newest_position_of_each_shipment(run):
+    one, two = sorted(catalog.public_summary(run).collect(), key=lambda r: r.shipment_id)
+    assert (one.shipment_id, one.vehicle_id, one.occurred_us, one.received_us) == (ONE, "VEH-00001", us("09:00:00"), us("09:00:05"))
+    assert (one.stale_s, one.speed_kph, one.movement, one.at_stop_id, one.at_since_us) == (10_795, 0.0, "AT_STOP", "S2", us("08:30:00"))
+    assert (one.stops_completed, one.stops_total, one.open_incidents, one.open_types, one.worst_severity) == (2, 3, 1, "LATE:S2", "WARNING")
+    assert (two.shipment_id, two.occurred_us, two.stale_s, two.movement, two.at_stop_id) == (TWO, us("01:00:00"), 39_600, "MOVING", None)
+    assert (two.stops_completed, two.stops_total, two.open_incidents, two.open_types, two.worst_severity) == (0, 3, 0, "", None)
