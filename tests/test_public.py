@@ -93,3 +93,13 @@ def test_public_summary_shows_the_newest_position_of_each_shipment(run):
     assert (one.stops_completed, one.stops_total, one.open_incidents, one.open_types, one.worst_severity) == (2, 3, 1, "LATE:S2", "WARNING")
     assert (two.shipment_id, two.occurred_us, two.stale_s, two.movement, two.at_stop_id) == (TWO, us("01:00:00"), 39_600, "MOVING", None)
     assert (two.stops_completed, two.stops_total, two.open_incidents, two.open_types, two.worst_severity) == (0, 3, 0, "", None)
+
+
+def test_public_incidents_pair_raise_and_clear_of_any_hours(run):
+    rows = {r.exception_id: r for r in catalog.public_incidents(run).collect()}
+    assert {k: (r.shipment_id, r.stop_id, r.onset_us, r.cleared_us, r.resolution, r.state) for k, r in rows.items()} == {
+        "X1": (ONE, None, us("04:10:00"), us("08:20:00"), "done", "CLEARED"),
+        "X2": (ONE, "S2", us("05:00:00"), None, None, "OPEN"),
+        "X3": (UNSEEN, None, us("05:20:00"), None, None, "OPEN"),
+    }
+    assert {(r.type, r.severity, r.detail, r.observed_value, r.threshold_value) for r in rows.values()} == {("LATE", "WARNING", "d", 2.0, 1.0)}
