@@ -103,3 +103,8 @@ def test_public_incidents_pair_raise_and_clear_of_any_hours(run):
         "X3": (UNSEEN, None, us("05:20:00"), None, None, "OPEN"),
     }
     assert {(r.type, r.severity, r.detail, r.observed_value, r.threshold_value) for r in rows.values()} == {("LATE", "WARNING", "d", 2.0, 1.0)}
+
+
+def test_public_meta_counts_shipments_seen_and_open_incidents(run):
+    (row,) = catalog.public_meta(run).collect()
+    assert (row.tracked, row.open_incidents, row.source, row.through_us) == (2, 2, "archive", us("10:10:00"))
