@@ -4,12 +4,14 @@ import ast
 import inspect
 import json
 from collections import Counter
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 
 from haulscope.catalog import queries as catalog
+from haulscope.catalog.oracle_base import compose
 from haulscope.model.params import DEFAULT
 from haulscope.plans import archive
 
@@ -105,6 +107,22 @@ def test_public_incidents_pair_raise_and_clear_of_any_hours(run):
     assert {(r.type, r.severity, r.detail, r.observed_value, r.threshold_value) for r in rows.values()} == {("LATE", "WARNING", "d", 2.0, 1.0)}
 
 
+def test_public_incidents_of_events_without_a_time_equal_their_sql(spark, tmp_path):
+    """Events without a time still count among those of their user, so the places of the others depend on them."""
+    begin, rows = datetime(2024, 1, 1), []
+    for user in (0, 1, 2, 7):
+        for i in range(120):
+            ts = None if i % 10 == user else begin + timedelta(hours=5 * i, minutes=user)
+            rows.append((user * 1_000 + i, ts, user, "click", float(i % 50) if i % 13 else None))
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    df = catalog.QUERIES["public_incidents"](spark, str(tmp_path))
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({compose(catalog.ORACLES['public_incidents'])})").fetchall()
+    assert want and Counter(map(tuple, df.collect())) == Counter(want)
+
+
 def test_public_meta_counts_shipments_seen_and_open_incidents(run):
     (row,) = catalog.public_meta(run).collect()
     assert (row.tracked, row.open_incidents, row.source, row.through_us) == (2, 2, "archive", us("10:10:00"))

@@ -59,6 +59,12 @@ def test_numbered_previous_running(spark, width):
             best = v if best is None else max(best, v)
 
 
+def test_rows_without_an_instant_are_counted_last(spark):
+    df = spark.createDataFrame([("a", None, 9), ("a", 5_000_000, 2), ("a", 1_000_000, 1), ("a", 5_000_000, None), ("b", None, 1)], "k string, at bigint, v bigint")
+    got = slices.numbered(slices.with_slice(df, "at", 3), KEYS, ["at", "v"], "i", "n").collect()
+    assert {(r.k, r["at"], r.v): (r.i, r.n) for r in got} == {("a", 1_000_000, 1): (1, 4), ("a", 5_000_000, 2): (2, 4), ("a", 5_000_000, None): (3, 4)}
+
+
 @pytest.mark.parametrize("threshold,width", [(1, 5), (150, 5), (150, 40), (600, 17), (5000, 9)])
 def test_greedy_chain(spark, threshold, width):
     rows, df = data(spark, threshold + width, width=width)
