@@ -193,13 +193,14 @@ def _meet(chunks: DataFrame, queries: DataFrame, k: int, block: int) -> DataFram
     """Scores of every chunk with every block of queries.
 
     Chunks are dealt to as many numbered lanes as there are tasks; query blocks are copied to each lane, and a
-    lane's chunks meet them there. Rows are blocks of bounded size, and a lane streams its pairs.
+    lane's chunks meet them there. Rows are blocks of bounded size, and a lane streams its pairs. The copies are never
+    broadcast: their size is estimated without the lanes, and together they would not fit the driver.
     """
     lanes = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = chunks.withColumn("lane", F.pmod(F.xxhash64("chunk"), F.lit(lanes)))
     copied = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     return (
-        dealt.join(copied, "lane")
+        dealt.join(copied.hint("merge"), "lane")
         .drop("lane", "chunk", "n")
         .mapInArrow(lambda batches: _scored(batches, k, block), "query_id long, vec_id long, score long")
     )

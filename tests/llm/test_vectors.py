@@ -132,3 +132,9 @@ def test_list_decoding_finds_every_direction():
 def test_registered_queries_run(spark, sf_dir):
     for name in ("op1_top_k", "op10_cap_links"):
         assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    plan = topk.top_k(table.where("vec_id % 10 = 0"), table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [lane" in plan and "Broadcast" not in plan
