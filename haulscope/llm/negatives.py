@@ -238,11 +238,14 @@ def _met(batches: Iterator[pa.RecordBatch], n: int, second: bool) -> Iterator[pa
 
 
 def _meet(chunks: DataFrame, blocks: DataFrame, n: int, second: bool) -> DataFrame:
-    """The first ``n`` of every (anchor, slot) over all chunks; chunks are dealt to numbered lanes, blocks go to each lane."""
+    """The first ``n`` of every (anchor, slot) over all chunks; chunks are dealt to numbered lanes, blocks go to each lane.
+
+    The copies are never broadcast: their size is estimated without the lanes, and together they would not fit the driver.
+    """
     lanes = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = chunks.withColumn("lane", F.pmod(F.xxhash64("chunk"), F.lit(lanes))).drop("chunk")
     copied = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    found = dealt.join(copied, "lane").drop("lane").mapInArrow(lambda batches: _met(batches, n, second), FOUND)
+    found = dealt.join(copied.hint("merge"), "lane").drop("lane").mapInArrow(lambda batches: _met(batches, n, second), FOUND)
     best = Window.partitionBy("anchor_id", "slot").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).drop("place")
 

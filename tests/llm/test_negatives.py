@@ -111,3 +111,9 @@ def test_repeated_ids_and_empty_table(spark):
     got = sorted(tuple(r) for r in negatives.mine(df, df.vec_id == 100).collect())
     assert got == [(100, 1, 1, 2, 65536, 32768), (100, 1, 2, 2, 65536, 32768)]
     assert negatives.mine(df.where("vec_id < 0"), df.vec_id == 100).collect() == []
+
+
+def test_copies_of_anchor_blocks_are_not_broadcast(spark, folder):
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    plan = negatives.mine(table, table.vec_id % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [lane" in plan and "BroadcastHashJoin [lane" not in plan
