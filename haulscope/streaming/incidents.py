@@ -3,7 +3,8 @@
 Events become signals (what a rule has to say about one event) by columns. The state of a shipment holds
 
 * a reorder buffer: signals wait until the watermark, the least over all topics, has passed them, and are then applied in
-  event-time order. It holds what the watermark's delay allows to be late;
+  event-time order. It holds what the watermark's delay allows to be late. A signal is one text from the columns to the
+  state and back, so that a value is parsed once, when its signal is applied;
 * its cases, by (rule, stop): the breach being watched or the incident being open, with what its sentences need. A case
   ends with its incident and leaves the state;
 * when it was last heard from, by any kind of event, and whether that is over.
@@ -14,6 +15,7 @@ batch, never to be read again for an update, and rewrites only the open ones.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -35,6 +37,8 @@ SIGNAL = (
     "observed double, threshold double, severity int, recovery string, note string, onset_us bigint, completes boolean"
 )
 _SIGNAL = [c.split() for c in SIGNAL.split(", ")]
+_BLANK = dict.fromkeys(n for n, _ in _SIGNAL)
+_DOUBLES = [n for n, t in _SIGNAL if t == "double"]
 
 FACT = "at_us bigint, by string, excess double, observed double, threshold double, held_us bigint, severity int, note string"
 _FACT = [c.split() for c in FACT.split(", ")]
@@ -126,6 +130,22 @@ def sighting_signals(events: DataFrame) -> DataFrame:
     return events.select(*_signal(**event), "occurred_at")
 
 
+def _line() -> Column:
+    """A signal as a line: its instant, a space, and its other values."""
+    rest = [F.col(n) for n, _ in _SIGNAL if n not in ("shipment_id", "occurred_us")]
+    return F.concat(F.col("occurred_us").cast("string"), F.lit(" "), F.to_json(F.struct(*rest)))
+
+
+def _parsed(at: int, line: str) -> dict:
+    """The signal of a line; shipment_id is the key."""
+    signal = _BLANK | json.loads(line[line.index(" ") :])
+    signal["occurred_us"] = at
+    for n in _DOUBLES:
+        if isinstance(signal[n], str):  # NaN or infinite
+            signal[n] = float(signal[n])
+    return signal
+
+
 class IncidentProcessor(StatefulProcessor):
     """Raises, restates, escalates and clears the incidents of one shipment.
 
@@ -141,29 +161,32 @@ class IncidentProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", SIGNAL)
         self.cases = handle.getMapState("cases", "rule string, stop_id string", CASE)
-        self.seen = handle.getValueState("seen", "last_us bigint, last_id string, heard double, silent boolean, done boolean, severity int")
+        # with the number of cases, the timer that is set, and the buffer: the lines of what waits
+        self.seen = handle.getValueState(
+            "seen", "last_us bigint, last_id string, heard double, silent boolean, done boolean, severity int, n_cases int, timer_ms bigint, buffer string"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] is None:
             return
-        arrived = [tuple(getattr(r, n) for n, _ in _SIGNAL) for r in rows]
-        yield from self._advance(key[0], arrived, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key[0], [r.signal for r in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._advance(key[0], [], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key[0], [], timerValues.getCurrentWatermarkInMs(), expired=True)
 
-    def _advance(self, shipment: str, arrived: list[tuple], clock_ms: int) -> Iterator[Row]:
-        names = [n for n, _ in _SIGNAL]
-        last, last_id, heard, silent, done, rank = tuple(self.seen.get()) if self.seen.exists() else (None, None, 0.0, False, False, 1)
+    def _advance(self, shipment: str, arrived: list[str], clock_ms: int, expired: bool = False) -> Iterator[Row]:
+        last, last_id, heard, silent, done, rank, n_cases, timer, buffer = self.seen.get() or (None, None, 0.0, False, False, 1, 0, None, None)
+        if expired:
+            timer = None  # it is gone
         if arrived:
             heard = time.time()
-        waiting = [*(tuple(r) for r in self.buffer.get()), *arrived]
+        lines = [(int(line[: line.index(" ")]), line) for line in [*(buffer.split("\n") if buffer else ()), *arrived]]
         # what is older than the last applied instant came later than the watermark allows
-        ready = [dict(zip(names, w)) for w in waiting if w[3] // 1000 <= clock_ms and (last is None or w[3] > last)]
-        waiting = [w for w in waiting if w[3] // 1000 > clock_ms]
-        cases = {tuple(k): dict(zip(_CASE, v)) for k, v in self.cases.iterator()} if ready or silent or not done else {}
+        ready = [_parsed(at, line) for at, line in lines if at // 1000 <= clock_ms and (last is None or at > last)]
+        waiting = [(at, line) for at, line in lines if at // 1000 > clock_ms]
+        looked = bool(n_cases and (ready or silent or not done))
+        cases = {tuple(k): dict(zip(_CASE, v)) for k, v in self.cases.iterator()} if looked else {}
         before = {k: dict(v) for k, v in cases.items()}
         ended: list[tuple[tuple, dict, tuple]] = []
 
@@ -199,7 +222,8 @@ class IncidentProcessor(StatefulProcessor):
                     silent, due = True, None
                 else:
                     due = clock_ms + 1  # looked at again when the clock moves
-        self._keep(cases, before, waiting, (last, last_id, heard, silent, done, rank), due)
+        n_cases = n_cases + len(cases) - len(before)
+        self._keep(cases, before, waiting, (last, last_id, heard, silent, done, rank, n_cases), due, timer)
         for k, case, (at, by, word) in ended:
             if case["findings"]:
                 yield self._row(shipment, k, case, at, by, word, clock_ms)
@@ -239,23 +263,22 @@ class IncidentProcessor(StatefulProcessor):
             case |= {f"{part}_{n}": v for (n, _), v in zip(_FACT, fact)}
         return case
 
-    def _keep(self, cases: dict, before: dict, waiting: list[tuple], seen: tuple, due: int | None) -> None:
+    def _keep(self, cases: dict, before: dict, waiting: list[tuple[int, str]], seen: tuple, due: int | None, timer: int | None) -> None:
         for k in before.keys() - cases.keys():
             self.cases.removeKey(k)
         for k, case in cases.items():
             if case != before.get(k):
                 self.cases.updateValue(k, tuple(case[n] for n in _CASE))
         if waiting:
-            self.buffer.put(waiting)
-            first = min(w[3] for w in waiting) // 1000
+            first = min(at for at, _ in waiting) // 1000
             due = first if due is None else min(due, first)
-        else:
-            self.buffer.clear()
-        self.seen.update(seen)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if due is not None:
-            self.handle.registerTimer(due - 1)
+        wanted = None if due is None else due - 1
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.seen.update((*seen, wanted, "\n".join(line for _, line in waiting) or None))
 
     @staticmethod
     def _row(shipment, k, case, at, by, word, clock_ms) -> Row:
@@ -267,6 +290,7 @@ def incident_changes(*signals: DataFrame, params: Params = DEFAULT, guard_s: flo
     rows = signals[0]
     for more in signals[1:]:
         rows = rows.unionByName(more)
+    rows = rows.select("shipment_id", _line().alias("signal"), "occurred_at")
     return rows.groupBy("shipment_id").transformWithState(
         statefulProcessor=IncidentProcessor(params, guard_s, silences), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime"
     )
