@@ -97,6 +97,16 @@ def test_a_line_gives_back_its_signal(spark):
     assert incidents._parsed(T0 + 1, row.line) == signal | {"shipment_id": None} and "\n" not in row.line
 
 
+def test_a_gate_keeps_its_timer():
+    processor = flows.GateProcessor(900 * MICROS)
+    handle = begun(processor)
+    row = lambda s, kind="position": Row(type=kind, shipment_id="s", at_us=s, heard_us=T0 + s * MICROS, offset=s, payload="{}")
+    heard = [[row(500), row(0), row(10, "status")], [row(899)], [row(900), row(950, "status")]]
+    told = [[r.at_us for r in processor.handleInputRows(("s",), rows, None)] for rows in heard]
+    assert told == [[0, 10], [], [900, 950]]
+    assert handle.calls == {"get": 3, "update": 2, "registerTimer": 2, "deleteTimer": 1} and handle.timers == {(T0 + 1800 * MICROS) // 1000 + 1}
+
+
 @pytest.mark.parametrize("file_rows, files", [(100_000, 1), (25, 4)])
 def test_a_micro_batch_is_several_files(spark, monkeypatch, file_rows, files):
     monkeypatch.setattr(catalog, "FILE_ROWS", file_rows, raising=False)
