@@ -1,6 +1,7 @@
 """What the keyed states of streams cost: calls to the state store for a shipment in a batch, and the files of a batch."""
 
 import collections
+import json
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import Row, functions as F
 from haulscope.catalog import queries as catalog
 from haulscope.catalog.context import Run
 from haulscope.model.params import DEFAULT, MICROS
-from haulscope.streaming import flows, incidents
+from haulscope.streaming import flows, incidents, tracking
 
 T0 = 1_788_220_800 * MICROS
 
@@ -97,6 +98,27 @@ def test_a_line_gives_back_its_signal(spark):
     assert incidents._parsed(T0 + 1, row.line) == signal | {"shipment_id": None} and "\n" not in row.line
 
 
+def test_a_track_costs_one_read_and_one_write():
+    processor = tracking.TrackProcessor(DEFAULT)
+    handle = begun(processor)
+
+    def fix(i, at, event_id=None, **more):
+        sides = {"stops": ["A", "B"], "labels": [tracking.IN, tracking.OUT], "road_km": [0.1, 20.0]}
+        return Row(occurred_us=T0 + at * MICROS, fix=json.dumps(sides | {"event_id": event_id or i, "speed_kph": 40.0} | more))
+
+    away = {"labels": [tracking.OUT, tracking.OUT], "road_km": [9.0, 11.0]}
+    # repeats of an instant: the lowest id counts
+    first = [fix(2, 100), fix(1, 0), fix(3, 0, labels=[tracking.OUT, tracking.OUT]), fix(4, 200)]
+    second = [fix(5, 200, **away), fix(6, 300, **away), fix(7, 500, accuracy_m=5.0, **away)]
+    told = [*processor.handleInputRows(("s",), first, None), *processor.handleInputRows(("s",), second, None)]
+    assert handle.calls == {"get": 2, "update": 2}
+    assert [(r.type, r.stop_id, (r.occurred_us - T0) // MICROS, r.caused_by) for r in told] == [
+        ("shipment.arrived", "A", 0, "4"), ("shipment.departed", "A", 300, "7"), ("eta.updated", "B", 300, "6"), ("eta.updated", "B", 500, "7")
+    ]
+    # a batch of rows that are older costs a read
+    assert list(processor.handleInputRows(("s",), first, None)) == [] and handle.calls == {"get": 3, "update": 2}
+
+
 def test_a_gate_keeps_its_timer():
     processor = flows.GateProcessor(900 * MICROS)
     handle = begun(processor)
