@@ -119,6 +119,20 @@ def test_a_track_costs_one_read_and_one_write():
     assert list(processor.handleInputRows(("s",), first, None)) == [] and handle.calls == {"get": 3, "update": 2}
 
 
+def test_silences_keep_their_timer():
+    processor = tracking.SilenceProcessor(2700 * MICROS)
+    handle = begun(processor)
+    row = lambda s: Row(occurred_us=T0 + s * MICROS, event_id=s, completed=False)
+    assert list(processor.handleInputRows(("s",), [row(60), row(0)], None)) == []
+    told = list(processor.handleInputRows(("s",), [row(4000), row(50)], None))
+    assert [(r.change, r.onset_us, r.caused_by) for r in told] == [("raised", T0 + 60 * MICROS, "60"), ("cleared", T0 + 60 * MICROS, "4000")]
+    assert handle.calls == {"get": 2, "update": 2, "registerTimer": 2, "deleteTimer": 1} and handle.timers == {(T0 + 6700 * MICROS) // 1000}
+    handle.timers.clear()
+    assert [r.change for r in processor.handleExpiredTimer(("s",), None, None)] == ["raised"]
+    assert [r.change for r in processor.handleInputRows(("s",), [row(9000)], None)] == ["cleared"]
+    assert handle.timers == {(T0 + 11_700 * MICROS) // 1000} and not handle.calls["listTimers"]
+
+
 def test_a_gate_keeps_its_timer():
     processor = flows.GateProcessor(900 * MICROS)
     handle = begun(processor)
