@@ -155,3 +155,19 @@ def test_a_micro_batch_is_several_files(spark, monkeypatch, file_rows, files):
     want = {k: sorted((r.id, r["at"]) for r in rows.collect() if r["at"] // 100 == k) for k in range(4)}
     assert {k: told.get(k, []) for k in range(4)} == want and set(told) <= set(range(4))
     assert [len({r[2] for r in seen[k]}) for k in (0, 1, 3)] == [files, files, 1]
+
+
+def test_stays_cross_batches_as_text():
+    """A visit whose run inside, proof and departure come in three batches."""
+    processor = tracking.TrackProcessor(DEFAULT)
+    handle = begun(processor)
+
+    def told(*rows):
+        fixes = [Row(occurred_us=T0 + at * MICROS, fix=json.dumps({"event_id": at, "stops": ["A"], "labels": [side], "road_km": [0.0]})) for at, side in rows]
+        events = processor.handleInputRows(("s",), fixes, None)
+        return [(r.type, (r.occurred_us - T0) // MICROS, r.dwell_s) for r in events if r.type != "eta.updated"]
+
+    assert told((0, tracking.IN), (100, tracking.BETWEEN)) == []
+    assert told((180, tracking.UNUSABLE), (181, tracking.BETWEEN)) == [("shipment.arrived", 0, None)]
+    assert told((400, tracking.OUT), (580, tracking.OUT)) == [("shipment.departed", 400, 400)]
+    assert told((9000, tracking.IN), (9900, tracking.IN)) == [] and handle.calls == {"get": 4, "update": 4}
